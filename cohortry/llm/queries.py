@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, lines, urls
+from . import bpe, exact, lines, packing, urls
 
 #: (verdict, host, path)
 URL_RULES = [
@@ -22,6 +22,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _vocabulary("byte_bpe_50k.json")
+    tokens = bpe.encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
+    return bpe.with_digests(bpe.decode_ids(tokens, path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.document_pieces(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1)
+    lengths = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.assign_sequences(lengths)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.drop_boilerplate_lines(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "source", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -36,7 +54,9 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe_codec": op1_bpe_codec,
     "op3_line_dedup": op3_line_dedup,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op6_url_filter": op6_url_filter,
     "op8_exact_dedup": op8_exact_dedup,
 }
