@@ -219,7 +219,8 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, text_col: str = "text", i
     with open(tokenizer_path, encoding="utf-8") as f:
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
     own = docs.drop(ids_col)
-    place = own.columns.index(text_col)
+    names = [*own.columns, ids_col]
+    place = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(vocabulary.value)
@@ -227,7 +228,7 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, text_col: str = "text", i
             for start in range(0, max(batch.num_rows, 1), 1000):
                 part = batch.slice(start, 1000)
                 ids = _lists([model.encode(t) if t else b"" for t in part.column(place).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*own.columns, ids_col])
+                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=names)
 
     schema = T.StructType([*own.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), True), True)])
     return own.mapInArrow(run, schema)
@@ -239,7 +240,8 @@ def decode_ids(tokens: DataFrame, tokenizer_path: str, ids_col: str = "ids", tex
     with open(tokenizer_path, encoding="utf-8") as f:
         vocabulary = tokens.sparkSession.sparkContext.broadcast(f.read())
     own = tokens.drop(text_col)
-    place = own.columns.index(ids_col)
+    names = [*own.columns, text_col]
+    place = names.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelt = model_of(vocabulary.value).decode_table().__getitem__
@@ -249,7 +251,7 @@ def decode_ids(tokens: DataFrame, tokenizer_path: str, ids_col: str = "ids", tex
                 column = part.column(place)
                 values, offsets = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
                 texts = [b"".join(map(spelt, values[a:b].tolist())).decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*own.columns, text_col])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=names)
 
     return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField(text_col, T.StringType(), True)]))
 
