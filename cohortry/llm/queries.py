@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, lines, packing, urls
+from . import bpe, exact, lines, neardup, packing, urls
 
 #: (verdict, host, path)
 URL_RULES = [
@@ -53,12 +53,17 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
     "op3_line_dedup": op3_line_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_url_filter": op6_url_filter,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 
 OP3_SQL = """
