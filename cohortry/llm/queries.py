@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, lines, neardup, packing, urls
+from . import bpe, exact, lines, neardup, packing, pii, urls
 
 #: (verdict, host, path)
 URL_RULES = [
@@ -57,6 +57,16 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return found.select(
+        "doc_id",
+        *[pii.count_of(kind, "base").alias(f"n_{kind}") for kind in pii.BASE],
+        F.sha2(pii.spelled("base").cast("binary"), 256).alias("base_sha256"),
+        pii.spelled("spans").alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
     "op3_line_dedup": op3_line_dedup,
@@ -64,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filter": op6_url_filter,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_pii": op10_pii,
 }
 
 OP3_SQL = """
