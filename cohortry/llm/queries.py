@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, lines, neardup, packing, pii, urls
+from . import bpe, exact, lines, neardup, packing, pii, repeats, urls
 
 #: (verdict, host, path)
 URL_RULES = [
@@ -34,6 +34,17 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.with_digests(bpe.decode_ids(tokens, path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(_table(spark, sf_dir, "documents"), length=400)
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.document_pieces(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1)
     lengths = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
@@ -70,6 +81,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
     "op3_line_dedup": op3_line_dedup,
+    "op4_repeated_passages": op4_repeated_passages,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_url_filter": op6_url_filter,
     "op8_exact_dedup": op8_exact_dedup,
