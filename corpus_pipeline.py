@@ -1,25 +1,70 @@
-"""Corpus pipeline: quality, boilerplate lines, near duplicates, personal data, packing."""
+"""Corpus pipeline: quality, boilerplate lines, near duplicates, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the
+columns of ``documents``. Where a stage changes texts, ``n_chars`` is counted anew.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortry.llm import lines
+from cohortry.llm import lines, neardup, packing, pii, quality
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long"))).select(*COLUMNS)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier accepts."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.quality_scores(docs, labels).where("good").select(*COLUMNS)
+
+
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lines.drop_boilerplate_lines(docs).select(*COLUMNS)
+    """All documents, without the boilerplate lines of their source."""
+    return _counted(lines.drop_boilerplate_lines(docs))
+
+
+def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    return neardup.drop_near_duplicates(docs, size=5, percent=80).select(*COLUMNS)
 
 
-STAGES = [("line_dedup", line_stage)]
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data masked."""
+    return _counted(pii.redact(pii.find_pii(docs)))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' ids, each with its place in a sequence of 4096."""
+    import public_tokenizers
+
+    pieces = packing.document_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return packing.assign_sequences(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("line_dedup", line_stage),
+    ("near_dedup", near_dup_stage),
+    ("pii", pii_stage),
+    ("packing", packing_stage),
+]
+#: A fitted classifier and greedy packing are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over the whole of documents."""
+    """The stages one after the other over the whole of documents, each result written and read again."""
+    from cohortry.llm.common import saved
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = saved(docs)
     return docs
