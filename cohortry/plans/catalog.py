@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import evaluation
+
+#: Which runs beat the baseline, and by how much, on paired bootstrap replicates.
+FLAGSHIP = "bootstrap_deltas"
+_PLANS = (evaluation,)
+QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
+ORACLE_SQL = {name: sql for plan in _PLANS for name, sql in plan.ORACLE_SQL.items()}
