@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import evaluation
+from . import evaluation, release, series
 
 #: Which runs beat the baseline, and by how much, on paired bootstrap replicates.
 FLAGSHIP = "bootstrap_deltas"
-_PLANS = (evaluation,)
+_PLANS = (evaluation, release, series)
 QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 ORACLE_SQL = {name: sql for plan in _PLANS for name, sql in plan.ORACLE_SQL.items()}
