@@ -4,9 +4,11 @@ Each permutation yields its minimum and its maximum over a document's shingles,
 make a signature of a given length. Bands over the minima and over the maxima give buckets.
 
 Documents with one shingle set are one class from the start, so copies cost nothing. In each bucket every class
-is compared with one pivot, drawn anew for each bucket; after components are formed, only classes of a bucket
-that are still apart are compared with each other. No bucket is expanded into all its pairs, none is capped,
-and a link between different classes is lost only if no band catches it (see ``miss_rate``).
+is compared with one pivot, drawn anew for each bucket. After components are formed, classes of a bucket that are
+still apart are compared with each other, but only where counts allow a link: an intersection is at most the sum,
+over classes of shingles, of the smaller count of shingles that occur in more than one of the sets in question.
+No bucket is expanded into all its pairs, none is capped, and a link between different classes is lost only if
+no band catches it (see ``miss_rate``).
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .graph import connected_components
 MEMORY = 500_000
 #: Shingles hashed at once; bounds memory for very long texts.
 STEP = 1 << 15
+#: Classes of shingles whose counts bound an intersection.
+PARTS = 32
 
 
 def miss_rate(similarity: float, bands: int, rows: int) -> float:
@@ -146,6 +150,36 @@ def _near_in_size(percent: int) -> str:
     return f"100 * least(n, other_n) >= {percent} * greatest(n, other_n)"
 
 
+def _shared_counts(sets: DataFrame) -> DataFrame:
+    """``class``, ``shared``: for each part of the shingle space, how many of a set's shingles another set has too."""
+    each = sets.select("class", F.explode("shingles").alias("s")).withColumn("part", F.pmod("s", F.lit(PARTS)).cast("int"))
+    own = each.groupBy("class", "part").agg(F.count(F.lit(1)).alias("n"))
+    once = each.groupBy("s", "part").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("class")).where("n = 1")
+    once = once.groupBy("class", "part").agg(F.count(F.lit(1)).alias("alone"))
+    left = own.join(once, ["class", "part"], "left").select("class", "part", (F.col("n") - F.coalesce("alone", F.lit(0))).cast("int").alias("n"))
+    counts = left.groupBy("class").agg(F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("m"))
+    return counts.select("class", F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.coalesce(F.col("m")[k], F.lit(0))).alias("shared"))
+
+
+def _apart(named: DataFrame, traits: DataFrame, percent: int, bands: int) -> DataFrame:
+    """Pairs (a, b) of classes that share a bucket, have different labels, and may be linked by their counts.
+
+    ``named``: class, n, band, bucket, label. In a bucket, all classes meet those outside its largest component; a
+    pair is taken at the first band that it shares.
+    """
+    named = saved(named.join(traits, "class"))
+    most = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("members"))
+    most = most.groupBy("bucket").agg(F.max(F.struct("members", "label"))["label"].alias("main"))
+    rest = named.join(most, "bucket").where("label <> main").select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("class", "n", "label", "shared", "buckets")])
+    bound = sum((F.least(F.col("shared")[k], F.col("other_shared")[k]) for k in range(1, PARTS)), F.least(F.col("shared")[0], F.col("other_shared")[0]))
+    first = F.when(F.col("buckets")[0] == F.col("other_buckets")[0], 0)
+    for k in range(1, bands):
+        first = first.when(F.col("buckets")[k] == F.col("other_buckets")[k], k)
+    may = (100 + percent) * bound >= percent * (F.col("n") + F.col("other_n"))
+    met = named.join(rest, "bucket").where((F.col("label") != F.col("other_label")) & F.expr(_near_in_size(percent)) & (first == F.col("band")) & may)
+    return met.select(F.least("class", "other_class").alias("a"), F.greatest("class", "other_class").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -168,12 +202,12 @@ def near_duplicates(
     rows_ = saved(sketches(docs, id_col, text_col, size, bands, rows))
     full = rows_.where("set_key is not null")
     placed = full.groupBy("set_key").agg(F.first("n").alias("n"), F.first("buckets").alias("buckets"))
-    places = placed.select("set_key", "n", F.explode("buckets").alias("bucket"))
+    places = placed.select("set_key", "n", F.posexplode("buckets").alias("band", "bucket"))
     crowded = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select("bucket")
     met = saved(places.join(crowded, "bucket"))
     firsts = full.groupBy("set_key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id"))["id"].alias("first_id"))
     classes = numbered(met.select("set_key").distinct(), "set_key", name="class")
-    met = saved(met.join(classes, "set_key").select("class", "n", "bucket"))
+    met = saved(met.join(classes, "set_key").select("class", "n", "band", "bucket"))
 
     wanted = classes.join(firsts, "set_key").select(F.col("first_id").alias(id_col), F.col("set_key").alias("want_key"), "class")
     known = wanted.where(F.col(id_col).isNotNull())
@@ -191,14 +225,13 @@ def near_duplicates(
     links = saved(_confirmed(pairs, sets, percent))
 
     labels = saved(connected_components(links))
-    named = met.join(labels, met["class"] == labels["node"], "left").select("class", "n", "bucket", F.coalesce("label", "class").alias("label"))
-    apart = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    named = saved(named.join(apart, "bucket"))
-    most = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("members"))
-    most = most.groupBy("bucket").agg(F.max(F.struct("members", "label"))["label"].alias("main"))
-    rest = named.join(most, "bucket").where("label <> main").select("bucket", F.col("class").alias("other"), F.col("n").alias("other_n"), F.col("label").alias("other_label"))
-    more = named.join(rest, "bucket").where("label <> other_label").where(_near_in_size(percent))
-    more = more.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    named = met.join(labels, met["class"] == labels["node"], "left").select("class", "n", "band", "bucket", F.coalesce("label", "class").alias("label"))
+    split = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+    named = saved(named.join(split, "bucket"))
+    open_ = named.select("class").distinct()
+    traits = _shared_counts(sets.join(open_, "class", "left_semi"))
+    traits = traits.join(placed.join(classes, "set_key").join(open_, "class", "left_semi").select("class", "buckets"), "class")
+    more = _apart(named, traits, percent, bands).join(pairs, ["a", "b"], "left_anti")
     late = saved(_confirmed(more, sets, percent))
     if not late.isEmpty():
         labels = saved(connected_components(links.unionByName(late)))
