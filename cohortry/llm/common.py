@@ -23,6 +23,8 @@ def saved(df: DataFrame, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    # the write's shuffle files are garbage now; Spark frees them once the driver's JVM has collected their handles
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -13,7 +13,8 @@ down that order:
   Phrases whose core occurs once are unique, which settles most other text.
 
 Only phrases at the edge of a repeated passage are left: a core seen before in a phrase that is not. There, one
-phrase of each kind with that core is opened, and its strings are compared one by one by 128-bit digests.
+phrase of each kind with that core is opened. The same two facts hold for cells of ``CELL`` strings at equal
+distances from the trigger; only strings of the cells that remain are compared one by one, by 128-bit digests.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from .common import saved, text_of
 GRAM = 8
 #: Positions parsed at once; bounds memory for very long texts. A cut only makes phrases shorter.
 STEP = 1 << 19
+#: Strings of an opened phrase that are compared together first.
+CELL = 16
 
 
 def _hashes(data: bytes) -> np.ndarray:
@@ -106,32 +109,86 @@ def phrases(texts: DataFrame, length: int, reach: int) -> DataFrame:
 
 
 def _opened(marked: DataFrame, length: int) -> DataFrame:
-    """``high``, ``low`` (128-bit digest), ``many``, ``id``, ``text_key``, ``at`` of each string of the phrases in ``open``."""
+    """``core``, ``many``, ``id``, ``text_key``, ``first``, ``last``, ``data``: the bytes of each phrase in ``open``."""
     schema = T.StructType([
-        T.StructField("high", T.LongType()), T.StructField("low", T.LongType()), T.StructField("many", T.BooleanType()),
-        marked.schema["id"], marked.schema["text_key"], T.StructField("at", T.LongType()),
+        T.StructField("core", T.LongType()), T.StructField("many", T.BooleanType()), marked.schema["id"], marked.schema["text_key"],
+        T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("data", T.BinaryType()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest as digest
-
         for batch in batches:
-            for start in range(0, batch.num_rows, 50):
-                part = batch.slice(start, 50)
-                rows, many, at, found = [], [], [], []
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                rows, found, cut = [], [], []
                 for k, (text, opened) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
                     data = text.encode()
                     for phrase in opened:
-                        for i in range(phrase["first"], phrase["last"] + 1):
+                        rows.append(k)
+                        found.append(phrase)
+                        cut.append(data[phrase["first"] : phrase["last"] + length])
+                take = pa.array(rows, pa.int64())
+                of = lambda name, kind: pa.array([x[name] for x in found], kind)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [of("core", pa.int64()), of("many", pa.bool_()), part.column(0).take(take), part.column(1).take(take), of("first", pa.int64()), of("last", pa.int64()), pa.array(cut, pa.binary())],
+                    names=schema.names,
+                )
+
+    return marked.mapInArrow(run, schema)
+
+
+def _cells(opened: DataFrame, length: int, reach: int) -> DataFrame:
+    """``kind``, ``core``, ``many``, ``cell``, ``inner``, ``outer``, ``low``, ``high`` of the cells of opened phrases.
+
+    ``low`` and ``high`` are starts within the phrase's bytes; ``inner`` hashes what all strings of the cell have in
+    common, ``outer`` all that they cover.
+    """
+    schema = "kind long, core long, many boolean, cell int, inner long, outer long, low long, high long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest as digest
+
+        for batch in batches:
+            out: list[tuple] = []
+            for kind, core, many, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                last = len(data) - length
+                trigger = last + int(np.argmin(_hashes(data[last : last + reach + GRAM - 1]) & ~np.uint64(0xFFFFF)))
+                at = 0
+                while at <= last:
+                    cell = (trigger - at) // CELL
+                    # strings of one cell lie at distances cell * CELL to cell * CELL + CELL - 1 before the trigger
+                    near, far = trigger - cell * CELL, trigger - cell * CELL - CELL + 1
+                    to = min(last, near)
+                    out.append((kind, core, many, cell, digest(data[near : far + length]), digest(data[at : to + length]), at, to))
+                    at = to + 1
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.uint64(), pa.uint64(), pa.int64(), pa.int64()]
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 8, kinds, strict=True)]
+            columns[4:6] = [pa.array(c.to_numpy().view(np.int64)) for c in columns[4:6]]
+            yield pa.RecordBatch.from_arrays(columns, names=["kind", "core", "many", "cell", "inner", "outer", "low", "high"])
+
+    return opened.select("kind", "core", "many", "data").mapInArrow(run, schema)
+
+
+def _strings(marked: DataFrame, length: int) -> DataFrame:
+    """``left``, ``right`` (128-bit digest), ``many``, ``kind``, ``at`` of each string in ``open`` of (kind, data, open)."""
+    schema = "left long, right long, many boolean, kind long, at long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest as digest
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                found, rows = [], []
+                for kind, data, opened in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    for cell in opened:
+                        for i in range(cell["low"], cell["high"] + 1):
                             found.append(digest(data[i : i + length]))
-                            rows.append(k)
-                            many.append(phrase["many"])
-                            at.append(i)
+                            rows.append((cell["many"], kind, i))
                 both = np.frombuffer(b"".join(found), dtype="<i8").reshape(-1, 2)
-                take = pa.array(rows, pa.int64())
+                many, kinds, at = zip(*rows, strict=True) if rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(many, pa.bool_()), part.column(0).take(take), part.column(1).take(take), pa.array(at, pa.int64())],
-                    names=["high", "low", "many", "id", "text_key", "at"],
+                    [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(many, pa.bool_()), pa.array(kinds, pa.int64()), pa.array(at, pa.int64())],
+                    names=["left", "right", "many", "kind", "at"],
                 )
 
     return marked.mapInArrow(run, schema)
@@ -150,16 +207,31 @@ def repeated_ranges(texts: DataFrame, length: int, reach: int) -> DataFrame:
 
     edges = kinds.groupBy("core").agg(F.min("seen").alias("least"), F.count(F.lit(1)).alias("kinds")).where("least = 1 and kinds > 1").select("core")
     chosen = kinds.join(edges, "core", "left_semi").groupBy(F.col("one.id").alias("id"), F.col("one.text_key").alias("text_key"))
-    chosen = chosen.agg(F.collect_list(F.struct("one.first", "one.last", (F.col("seen") > 1).alias("many"))).alias("open"))
+    chosen = chosen.agg(F.collect_list(F.struct("core", "one.first", "one.last", (F.col("seen") > 1).alias("many"))).alias("open"))
     marked = texts.join(chosen, texts["id"].eqNullSafe(chosen["id"]) & (texts["text_key"] == chosen["text_key"]))
+    # rows that repeat another one have no phrase of their own that is alone, so they may be opened twice
     marked = marked.select(texts["id"], texts["text_key"], "text", "open")
-    strings = saved(_opened(marked, length))
-    again = strings.groupBy("high", "low").agg(F.count(F.lit(1)).alias("seen"), F.max("many").alias("many")).where("seen > 1 or many").select("high", "low")
-    single = strings.where("not many").join(again, ["high", "low"], "left_semi").select("id", "text_key", F.col("at").alias("first"), F.col("at").alias("last"))
-    return settled.unionByName(single).groupBy("id", "text_key").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    opened = saved(_opened(marked, length).withColumn("kind", F.monotonically_increasing_id()))
+
+    cells = saved(_cells(opened, length, reach))
+    alike = cells.groupBy("core", "cell", "inner", "outer").agg(
+        F.count(F.lit(1)).alias("seen"), F.max("many").alias("many"), F.min(F.struct("kind", "low", "high")).alias("one")
+    )
+    alike = saved(alike.withColumn("known", F.col("many") | (F.col("seen") > 1)))
+    mixed = alike.groupBy("core", "cell", "inner").agg(F.bool_and("known").alias("all_known"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1 and not all_known")
+    settled_cells = cells.where("not many").join(alike.where("known").select("core", "cell", "inner", "outer"), ["core", "cell", "inner", "outer"], "left_semi")
+    open_cells = alike.join(mixed.select("core", "cell", "inner"), ["core", "cell", "inner"], "left_semi")
+    open_cells = open_cells.groupBy("one.kind").agg(F.collect_list(F.struct("one.low", "one.high", F.col("known").alias("many"))).alias("open"))
+    strings = saved(_strings(opened.select("kind", "data").join(open_cells, "kind").select("kind", "data", "open"), length))
+    again = strings.groupBy("left", "right").agg(F.count(F.lit(1)).alias("seen"), F.max("many").alias("many")).where("seen > 1 or many").select("left", "right")
+    single = strings.where("not many").join(again, ["left", "right"], "left_semi").select("kind", F.col("at").alias("low"), F.col("at").alias("high"))
+
+    late = settled_cells.select("kind", "low", "high").unionByName(single).join(opened.select("kind", "id", "text_key", F.col("first").alias("base")), "kind")
+    late = late.select("id", "text_key", (F.col("base") + F.col("low")).alias("first"), (F.col("base") + F.col("high")).alias("last"))
+    return settled.unionByName(late).groupBy("id", "text_key").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, reach: int = 200) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, reach: int = 300) -> DataFrame:
     """``id_col``, ``n_bytes``, ``spans`` (array of struct(start, end), maximal removed runs) and ``kept`` (binary).
 
     Texts are UTF-8 bytes. A byte is removed if some ``length``-byte string that covers it also starts anywhere
