@@ -97,7 +97,7 @@ def whole_crop(shape: Column) -> Column:
 
 def numeric_columns(df: DataFrame, columns: list[str], share: float = 0.9) -> list[str]:
     """Columns of which at least ``share`` of the known values are numbers, in one pass."""
-    parts = df.agg(*[F.avg(F.col(c).cast("string").try_cast("double").isNotNull().cast("double")).alias(c) for c in columns]).first()
+    parts = df.agg(*[F.avg(F.when(F.col(c).isNotNull(), F.col(c).cast("string").try_cast("double").isNotNull().cast("double"))).alias(c) for c in columns]).first()
     return [c for c in columns if parts[c] is not None and parts[c] >= share]
 
 
