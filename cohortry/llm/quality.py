@@ -209,7 +209,9 @@ def fit_quality(
         found[r["id"]] = (r["text_view"], r["meta_view"])
     ids = sorted(found, key=lambda i: hash((i * 2654435761) & 0xFFFFFFFF))
     has, lacks = [i for i in ids if chosen[i] is not None], [i for i in ids if chosen[i] is None]
-    views = [np.array([found[i][v] for i in part]).reshape(len(part), -1) for part in (has, lacks) for v in (0, 1)]
+    if not has:
+        return None
+    views = [np.array([found[i][v] for i in part]).reshape(len(part), w) for part in (has, lacks) for v, w in ((0, TEXT_WIDTH), (1, VALUE_BUCKETS * len(meta_cols) + 2))]
     try:
         return co_train(views[0], views[1], np.array([chosen[i] for i in has]), views[2], views[3], bounds)
     except (ValueError, np.linalg.LinAlgError):
