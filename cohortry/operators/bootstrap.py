@@ -6,10 +6,11 @@ multiplicities per subject before any run is looked at; a run's replicate is the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import metrics
+from .ranking import md5_number, numbered_within, seeded
 
 VALUES = ["auroc", "average_precision", "balanced_accuracy"]
 
@@ -17,15 +18,14 @@ VALUES = ["auroc", "average_precision", "balanced_accuracy"]
 def draw_weights(subjects: DataFrame, replicates: int, seed: int, strata: tuple[str, ...] = ("dataset", "label"), subject: str = "patient_id") -> DataFrame:
     """``replicate``, ``subject``, ``weight``: how often each subject is drawn; weights of a stratum sum to its size.
 
-    ``subjects`` has one row a subject. Positions within a stratum follow the subject's order.
+    ``subjects`` has one row a subject. Positions within a stratum follow a hash of the subject, then the subject.
     """
-    place = Window.partitionBy(*strata).orderBy(subject)
     size = subjects.groupBy(*strata).agg(F.count(F.lit(1)).alias("size"))
-    ranked = subjects.select(*strata, subject).withColumn("slot", (F.row_number().over(place) - 1).cast("int"))
+    placed = numbered_within(subjects.select(*strata, subject), list(strata), seeded(seed, subject), subject, "place")
+    ranked = placed.select(*strata, subject, (F.col("place") - 1).cast("int").alias("slot"))
     slots = ranked.select(*strata, "slot").join(size, list(strata)).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     text = F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), *[F.col(s).cast("string") for s in strata], F.col("slot").cast("string"))
-    number = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
-    drawn = slots.select(*strata, "replicate", (number % F.col("size")).cast("int").alias("slot"))
+    drawn = slots.withColumn("text", text).select(*strata, "replicate", (md5_number(F.col("text")) % F.col("size")).cast("int").alias("slot"))
     counted = drawn.groupBy(*strata, "replicate", "slot").agg(F.count(F.lit(1)).alias("weight"))
     return counted.join(ranked, [*strata, "slot"]).select("replicate", subject, "weight")
 

@@ -31,13 +31,13 @@ def parse_run_name(name: Column, models: list[str]) -> Column:
 
 
 def comparison_table(runs: DataFrame, models: list[str]) -> DataFrame:
-    """``runs`` with the parsed columns and ``place``: the leaderboard's order, by model, group, crop, input, run."""
+    """``runs`` with the parsed columns and ``place``: a sort key of model, group, crop, input and run. Order by it."""
     parsed = runs.withColumn("__run", parse_run_name(F.col("run_name"), models)).select("*", "__run.*").drop("__run")
     order = {m: k for k, m in enumerate(["clinical", *models])}
     rank = lambda column, values: F.coalesce(*[F.when(F.col(column) == v, k) for v, k in values.items()], F.lit(len(values)))
     keys = [rank("model", order), rank("benchmark_group", {g: k for k, g in enumerate(GROUPS)}), rank("crop", {"N/A": 0, "Whole volume": 1, "Expert ROI": 2}), "input", "run_name"]
-    # one row a run: the whole table is a report
-    return parsed.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*keys)))
+    named = [(F.col(k) if isinstance(k, str) else k).alias(f"k{i}") for i, k in enumerate(keys)]
+    return parsed.withColumn("place", F.struct(*named))
 
 
 def unparsed_runs(runs: DataFrame, models: list[str]) -> DataFrame:
@@ -47,28 +47,26 @@ def unparsed_runs(runs: DataFrame, models: list[str]) -> DataFrame:
 def best_by_metric(board: DataFrame) -> DataFrame:
     """``scope`` (model or overall), ``benchmark_group``, ``metric``, winner and value; ties to the leaderboard's order."""
     long = board.unpivot(["place", "run_name", "model", "benchmark_group"], list(METRICS.values()), "metric", "value")
-    order = [F.desc_nulls_last("value"), F.col("place")]
-    model = Window.partitionBy("model", "benchmark_group", "metric").orderBy(*order)
-    overall = Window.partitionBy("benchmark_group", "metric").orderBy(*order)
-    first = long.withColumn("in_model", F.row_number().over(model)).withColumn("in_all", F.row_number().over(overall))
-    scopes = F.array_compact(F.array(F.when(F.col("in_model") == 1, F.lit("model")), F.when(F.col("in_all") == 1, F.lit("overall"))))
-    return first.select(F.explode(scopes).alias("scope"), "benchmark_group", "metric", "model", "run_name", "value")
+    # the first of each scope is an aggregate, so a group of very many runs is combined before it is shuffled
+    first = F.min(F.struct(F.col("value").isNull().alias("none"), (-F.col("value")).alias("v"), "place", "run_name", "model", "value")).alias("w")
+    model = long.groupBy("benchmark_group", "metric", "model").agg(first).select(F.lit("model").alias("scope"), "benchmark_group", "metric", "w.model", "w.run_name", "w.value")
+    overall = long.groupBy("benchmark_group", "metric").agg(first).select(F.lit("overall").alias("scope"), "benchmark_group", "metric", "w.model", "w.run_name", "w.value")
+    return model.unionByName(overall)
 
 
 def shortlist(board: DataFrame) -> DataFrame:
     """Baseline, AUROC winners of each model and group, and overall winners of each group, with their reasons in order."""
     primary = board.where(F.col("benchmark_group").isin(GROUPS[1:]))
     base = board.where(F.col("run_name") == BASELINE).select("run_name", F.lit(0).alias("part"), F.lit("").alias("k1"), F.lit("").alias("k2"), F.lit("Clinical-only reference").alias("reason"))
-    per_model = Window.partitionBy("model", "benchmark_group").orderBy(F.desc("auroc"), "run_name")
-    winners = primary.withColumn("r", F.row_number().over(per_model)).where("r = 1")
+    best = lambda metric: F.min(F.struct(F.col(metric).isNull().alias("none"), (-F.col(metric)).alias("v"), "run_name"))["run_name"].alias("run_name")
+    winners = primary.groupBy("model", "benchmark_group").agg(best("auroc"))
     winners = winners.select("run_name", F.lit(1).alias("part"), F.col("model").alias("k1"), F.col("benchmark_group").alias("k2"), F.format_string("Exploratory per-model %s AUROC winner", "benchmark_group").alias("reason"))
     reasons = base.unionByName(winners)
+    tops = primary.groupBy("benchmark_group").agg(*[best(column).alias(column) for column in METRICS.values()])
     for k, (label, column) in enumerate(METRICS.items()):
-        best = Window.partitionBy("benchmark_group").orderBy(F.desc(column), "run_name")
         part = F.when(F.col("benchmark_group") == GROUPS[1], 2).otherwise(3)
-        top = primary.withColumn("r", F.row_number().over(best)).where("r = 1")
         reasons = reasons.unionByName(
-            top.select("run_name", part.alias("part"), F.lit(str(k)).alias("k1"), F.lit("").alias("k2"), F.format_string(f"Exploratory overall %s {label} winner", "benchmark_group").alias("reason"))
+            tops.select(F.col(column).alias("run_name"), part.alias("part"), F.lit(str(k)).alias("k1"), F.lit("").alias("k2"), F.format_string(f"Exploratory overall %s {label} winner", "benchmark_group").alias("reason"))
         )
     listed = reasons.groupBy("run_name").agg(F.array_sort(F.collect_list(F.struct("part", "k1", "k2", "reason"))).alias("r"))
     listed = listed.select("run_name", F.array_join(F.array_distinct(F.col("r.reason")), "; ").alias("selection_reason"))

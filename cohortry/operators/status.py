@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import issues, parse_bool
+from .ranking import numbered_within, seeded
 
 
 def cascade(*rules: tuple[Column, str], otherwise: str) -> Column:
@@ -113,22 +114,16 @@ def first_per_cohort(df: DataFrame, cohort: str, order: str, n: int) -> DataFram
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(cohort).orderBy(order))).where(F.col("__r") <= n).drop("__r")
 
 
-def hashed(seed: int, *columns: str) -> Column:
-    """A number in [0, 2**32) from md5, the same in other engines."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns])
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
-
-
 def stratified_split(train: DataFrame, fraction: float, seed: int, key: str = "patient_id", label: str = "label") -> DataFrame:
     """``fold``: ``validation`` for round(fraction * n) rows of each label in the order of a seeded hash, else ``train``."""
     size = train.groupBy(F.col(label).alias("__l")).agg(F.count(F.lit(1)).alias("__n"))
-    place = F.row_number().over(Window.partitionBy(label).orderBy(hashed(seed, key), key))
-    ranked = train.withColumn("__r", place).join(size, F.col(label).eqNullSafe(F.col("__l")))
-    return ranked.withColumn("fold", F.when(F.col("__r") <= F.rint(F.col("__n") * fraction), "validation").otherwise("train")).drop("__r", "__n", "__l")
+    ranked = numbered_within(train, [label], seeded(seed, key), key, "__place")
+    joined = ranked.join(size, F.col(label).eqNullSafe(F.col("__l")))
+    return joined.withColumn("fold", F.when(F.col("__place") <= F.rint(F.col("__n") * fraction), "validation").otherwise("train")).drop("__place", "__n", "__l")
 
 
 def stratified_sample(df: DataFrame, strata: list[str], n: int, n_strata: int, seed: int, key: str) -> DataFrame:
     """``n`` rows: ceil(n / strata) of each stratum by a seeded hash, topped up and cut in the same order."""
     share = -(-n // n_strata)
-    ranked = df.withColumn("__h", hashed(seed, key)).withColumn("__r", F.row_number().over(Window.partitionBy(*strata).orderBy("__h", key)))
+    ranked = numbered_within(df.withColumn("__h", seeded(seed, key)), strata, F.col("__h"), key, "__r")
     return ranked.withColumn("__late", (F.col("__r") > share).cast("int")).orderBy("__late", "__h", key).limit(n).drop("__h", "__r", "__late")

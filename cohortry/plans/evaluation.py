@@ -199,7 +199,7 @@ def bootstrap_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WEIGHTS_SQL = f"""{PREDS_SQL}, subjects AS (SELECT patient_id, dataset, label FROM preds WHERE run_name = 'clinical_logreg'),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY dataset, label ORDER BY patient_id) - 1 AS slot, count(*) OVER (PARTITION BY dataset, label) AS size FROM subjects
+  SELECT *, row_number() OVER (PARTITION BY dataset, label ORDER BY ('0x' || substr(md5('{SEED}|' || patient_id), 1, 8))::BIGINT, patient_id) - 1 AS slot, count(*) OVER (PARTITION BY dataset, label) AS size FROM subjects
 ), drawn AS (
   SELECT b AS replicate, dataset, label, ('0x' || substr(md5('{SEED}|' || b || '|' || dataset || '|' || label || '|' || slot), 1, 8))::BIGINT % size AS slot
   FROM ranked, range({REPLICATES}) t(b)
@@ -230,7 +230,8 @@ _REPLICATE_SQL = f"""{WEIGHTS_SQL}, weighted AS (SELECT p.*, w.replicate, w.weig
   UNION ALL SELECT p.*, -1, 1 FROM preds p),
 {_ranking_sql('run_name, replicate', 'weighted', 'weight')}, balanced AS (
   SELECT run_name, replicate,
-    (sum(weight) FILTER (label = 1 AND prob >= 0.5) / sum(weight) FILTER (label = 1) + sum(weight) FILTER (label = 0 AND prob < 0.5) / sum(weight) FILTER (label = 0)) / 2 AS ba
+    (coalesce(sum(weight) FILTER (label = 1 AND prob >= 0.5), 0) / sum(weight) FILTER (label = 1)
+     + coalesce(sum(weight) FILTER (label = 0 AND prob < 0.5), 0) / sum(weight) FILTER (label = 0)) / 2 AS ba
   FROM weighted GROUP BY run_name, replicate
 ), long AS (
   SELECT run_name, replicate, unnest(['auroc', 'average_precision', 'balanced_accuracy']) AS metric, unnest([auroc, average_precision, ba::DOUBLE]) AS value
