@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import remembered
+
 #: The byte-level pre-token pattern, as published; ``\s`` is spelled by its Unicode property.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Pre-tokens (and chunks) that a worker remembers, some 100 MB each at most; a full memory is emptied.
@@ -189,15 +191,9 @@ class BytePairModel:
         return out
 
 
-_models: dict[int, tuple[str, BytePairModel]] = {}
-
-
 def model_of(tokenizer_json: str) -> BytePairModel:
     """One model a worker process; the vocabulary text comes by broadcast and is of fixed size."""
-    held = _models.get(0)
-    if held is None or held[0] != tokenizer_json:
-        held = _models[0] = (tokenizer_json, BytePairModel(tokenizer_json))
-    return held[1]
+    return remembered(f"bpe {hash(tokenizer_json)}", lambda: BytePairModel(tokenizer_json))
 
 
 def _lists(rows: list[bytes]) -> pa.Array:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +27,17 @@ def saved(df: DataFrame, **options: str) -> DataFrame:
     df.write.options(**options).parquet(path)
     # the write's shuffle files are garbage now; Spark frees them once the driver's JVM has collected their handles
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.shared_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``saved`` that nothing needs any more: all that reads them has been written."""
+    for table in tables:
+        jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(table.shared_path)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def text_of(column: str | Column = "text") -> Column:
@@ -48,3 +60,15 @@ def numbered(distinct: DataFrame, *order: str, name: str = "name") -> DataFrame:
     """
     ordered = distinct.repartitionByRange(*order).sortWithinPartitions(*order)
     return saved(ordered.withColumn(name, F.monotonically_increasing_id()))
+
+
+_held: dict[str, Any] = {}
+
+
+def remembered(name: str, make: Callable[[], Any]) -> Any:
+    """What one operator keeps in a Python worker from task to task. Another operator's is dropped first: workers are
+    used again by later stages, and their memories must not add up."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]

@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import numbered, saved
+from .common import numbered, remembered, saved
 from .graph import connected_components
 
 #: Words that a worker remembers; a full memory is emptied.
-MEMORY = 500_000
+MEMORY = 250_000
 #: Shingles hashed at once; bounds memory for very long texts.
 STEP = 1 << 15
 #: Classes of shingles whose counts bound an intersection.
@@ -47,9 +47,6 @@ class _Words(dict):
         return found
 
 
-_words = _Words()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
@@ -64,7 +61,7 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, dtype=np.uint64)
-    ids = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
+    ids = np.fromiter(map(remembered("shingle words", _Words).__getitem__, words), dtype=np.uint64, count=len(words))
     take = min(size, len(ids))
     made = np.full(len(ids) - take + 1, take, dtype=np.uint64)
     for k in range(take):

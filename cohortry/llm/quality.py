@@ -17,17 +17,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import remembered
+
 #: Buckets of hashed words in the text view; of hashed values in the metadata view.
 WORD_BUCKETS, VALUE_BUCKETS = 256, 64
-MEMORY = 500_000
+MEMORY = 250_000
 
 
 @dataclass(frozen=True)
 class Bounds:
     """Most rows that reach the driver for fitting, drawn by the hash of their ids."""
 
-    labelled: int = 8000
-    unlabelled: int = 8000
+    labelled: int = 6000
+    unlabelled: int = 4000
     held_out: float = 0.3
     rounds: int = 3
     per_round: int = 400
@@ -44,7 +46,6 @@ class _WordBuckets(dict):
         return found
 
 
-_buckets = _WordBuckets()
 _LOWER, _UPPER, _DIGIT, _SPACE, _MARK, _SENTENCE, _OTHER = range(7)
 
 
@@ -68,7 +69,7 @@ def text_features(text: str | None) -> np.ndarray:
     if not words:
         out[-1] = 1
         return out
-    counts = np.bincount(np.fromiter(map(_buckets.__getitem__, words), dtype=np.int64, count=len(words)), minlength=WORD_BUCKETS)
+    counts = np.bincount(np.fromiter(map(remembered("word buckets", _WordBuckets).__getitem__, words), dtype=np.int64, count=len(words)), minlength=WORD_BUCKETS)
     out[:WORD_BUCKETS] = np.sqrt(counts / len(words))
     classes = np.bincount(_CLASSES[data], minlength=7) / len(data)
     n = len(words)
@@ -206,7 +207,7 @@ def fit_quality(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_col, F.col(length_col).cast("long"), *meta_cols)
     found: dict = {}
     for r in _measured(rows.join(F.broadcast(sample), "id", "left_semi").dropDuplicates(["id"])).toLocalIterator():
-        found[r["id"]] = (r["text_view"], r["meta_view"])
+        found[r["id"]] = tuple(np.array(r[v], dtype=np.float32) for v in ("text_view", "meta_view"))
     ids = sorted(found, key=lambda i: hash((i * 2654435761) & 0xFFFFFFFF))
     has, lacks = [i for i in ids if chosen[i] is not None], [i for i in ids if chosen[i] is None]
     if not has:

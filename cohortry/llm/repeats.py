@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, text_of
+from .common import discard, saved, text_of
 
 #: Bytes under the rolling hash.
 GRAM = 8
@@ -228,7 +228,9 @@ def repeated_ranges(texts: DataFrame, length: int, reach: int) -> DataFrame:
 
     late = settled_cells.select("kind", "low", "high").unionByName(single).join(opened.select("kind", "id", "text_key", F.col("first").alias("base")), "kind")
     late = late.select("id", "text_key", (F.col("base") + F.col("low")).alias("first"), (F.col("base") + F.col("high")).alias("last"))
-    return settled.unionByName(late).groupBy("id", "text_key").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    ranges = saved(settled.unionByName(late).groupBy("id", "text_key").agg(F.collect_list(F.struct("first", "last")).alias("ranges")))
+    discard(met, kinds, opened, cells, alike, strings)
+    return ranges
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, reach: int = 300) -> DataFrame:
