@@ -3,6 +3,9 @@
 A site's pages that hold a line, divided by the site's pages, is the line's ratio. Lines at or above a ratio
 are dropped from the pages of that site only. Counting moves 16-byte line digests, never texts; the text moves
 once, to meet its own list of dropped digests.
+
+Copies of one text are not evidence of boilerplate. Where groups of copies are known, ``page_col`` names the group
+of a row, and all rows of a group count as one page of their site, in the pages with a line and in all pages.
 """
 
 from __future__ import annotations
@@ -22,17 +25,23 @@ def _counted(line: Column) -> Column:
     return F.trim(line) != ""
 
 
-def line_ratios(docs: DataFrame, host_col: str = "source", text_col: str = "text") -> DataFrame:
+def line_ratios(docs: DataFrame, host_col: str = "source", text_col: str = "text", page_col: str | None = None) -> DataFrame:
     """``host``, ``digest`` (16 bytes), ``pages`` (with the line), ``host_pages``, ``ratio`` for every line of every host.
 
     A page counts once for a line however often it repeats it. Null hosts form one host; null text has no lines.
+    Without ``page_col`` each row is a page; with it, the rows of a host with one value (null is a value) are.
     """
+    page = [] if page_col is None else [F.col(page_col).alias("page")]
     lines = docs.select(
         F.col(host_col).alias("host"),
+        *page,
         F.explode(F.array_distinct(F.transform(F.filter(F.split(text_of(text_col), "\n"), _counted), _digest))).alias("digest"),
     )
+    pages = docs.select(F.col(host_col).alias("total_host"), *page)
+    if page:
+        lines, pages = lines.distinct(), pages.distinct()
     counts = lines.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("pages"))
-    totals = docs.groupBy(F.col(host_col).alias("total_host")).agg(F.count(F.lit(1)).alias("host_pages"))
+    totals = pages.groupBy("total_host").agg(F.count(F.lit(1)).alias("host_pages"))
     return counts.join(totals, counts["host"].eqNullSafe(totals["total_host"])).select(
         "host", "digest", "pages", "host_pages", (F.col("pages") / F.col("host_pages")).alias("ratio")
     )
@@ -45,6 +54,7 @@ def drop_boilerplate_lines(
     text_col: str = "text",
     ratio: float = 0.005,
     min_pages: int = 5,
+    page_col: str | None = None,
 ) -> DataFrame:
     """``docs`` with its columns and rows, boilerplate lines cut from ``text_col``; adds ``n_lines``, ``n_dropped``.
 
@@ -52,10 +62,11 @@ def drop_boilerplate_lines(
     ``min_pages`` keeps small hosts whole: on a host of one page every line has ratio 1.
 
     * Null or empty text: kept as it is, ``n_lines`` 0. Blank lines stay. Lines compare without change.
-    * Null hosts form one host. Repeated rows are pages of their own. An empty table gives no rows.
+    * Null hosts form one host. An empty table gives no rows.
+    * Repeated rows are pages of their own, unless ``page_col`` puts them into one page (see ``line_ratios``).
     * A clashing column named ``n_lines`` or ``n_dropped`` in ``docs`` is replaced.
     """
-    often = saved(line_ratios(docs, host_col, text_col).where((F.col("pages") >= min_pages) & (F.col("ratio") >= ratio)).select("host", "digest"))
+    often = saved(line_ratios(docs, host_col, text_col, page_col).where((F.col("pages") >= min_pages) & (F.col("ratio") >= ratio)).select("host", "digest"))
     base = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), text_of(text_col).alias("text"))
     lines = base.select(
         "id", "host", F.xxhash64("text").alias("text_key"),

@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.llm import lines, neardup, packing, pii, quality
+from cohortry.llm.common import saved
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Five-word shingles, similarity 0.8.
+NEAR = {"size": 5, "percent": 80}
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -25,13 +28,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the boilerplate lines of their source."""
-    return _counted(lines.drop_boilerplate_lines(docs))
+    """All documents, without the boilerplate lines of their source.
+
+    A group of near duplicates, as the next stage forms them, is one page of its source: else the lines that its
+    copies share would pass for boilerplate, and nothing of the text would be left. A null id is a group of its own.
+    """
+    groups = neardup.near_duplicates(docs, **NEAR).groupBy(F.col("doc_id").alias("__id")).agg(F.min("component_id").alias("__page"))
+    paged = docs.join(saved(groups), docs["doc_id"].eqNullSafe(F.col("__id")), "left").drop("__id")
+    return _counted(lines.drop_boilerplate_lines(paged, page_col="__page"))
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
-    return neardup.drop_near_duplicates(docs, size=5, percent=80).select(*COLUMNS)
+    return neardup.drop_near_duplicates(docs, **NEAR).select(*COLUMNS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +69,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other over the whole of documents, each result written and read again."""
-    from cohortry.llm.common import saved
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -60,3 +60,25 @@ def test_stages_take_empty_and_odd_tables(spark):
     for docs in (odd, odd.where("false")):
         for _, stage in pipeline.STAGES:
             stage(spark, docs, SF).count()
+
+
+@pytest.mark.parametrize("near", [False, True])
+def test_a_text_whose_copies_hold_a_third_of_the_rows_survives_once(spark, near):
+    """Its lines are no boilerplate; a line that different pages share is."""
+    whole = [[f"copied{line}w{k}" for k in range(12)] for line in range(10)]
+    rows = []
+    for k in range(60):
+        if k % 3:
+            rows.append((k, "\n".join(["menu home about", *(" ".join(f"page{k}line{j}w{x}" for x in range(12)) for j in range(3))]), "en", "s", 0))
+        else:
+            edited = [list(line) for line in whole]
+            if near and k:
+                edited[k // 3 % 10][11] = f"edit{k}"
+            rows.append((k, "\n".join(" ".join(line) for line in edited), "en", "s", 0))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    cut = saved(pipeline.line_stage(spark, df, SF))
+    texts = {r["doc_id"]: r["text"] for r in cut.collect()}
+    assert all(texts[k] == t for k, t, *_ in rows if k % 3 == 0)
+    assert all(texts[k] == t.split("\n", 1)[1] for k, t, *_ in rows if k % 3)
+    kept = {r["doc_id"]: r["text"] for r in pipeline.near_dup_stage(spark, cut, SF).collect()}
+    assert sorted(kept) == sorted([0, *(k for k in range(60) if k % 3)]) and kept[0] == rows[0][1]
