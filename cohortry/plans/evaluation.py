@@ -9,7 +9,7 @@ from ..operators import bootstrap, dq, leaderboard, metrics
 from .common import r6, rounded, table
 
 MODELS = ["alpha", "beta"]
-SEED, REPLICATES = 20260921, 20
+SEED, REPLICATES = 20260921, 5000
 #: Run name -> probability of a document, in both engines.
 SCORES = {
     "clinical_logreg": "(n_chars % 97) / 96.0D",
