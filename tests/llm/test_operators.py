@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cohortry.llm import bpe, exact, graph, lines, neardup, packing, pii, quality, queries, repeats, topk, urls
+from cohortry.llm.common import saved
 from tests.llm import brute
 from tests.oracle import assert_same, connect
 
@@ -95,6 +96,24 @@ def test_quality_query_on_the_tables(spark):
     assert right[0] > 0.97 and right[1] > 0.98
 
 
+def test_quality_exchange_takes_all_unlabelled_rows(spark):
+    """Sums over the pool equal those over one matrix, and every row that is sure enough and within the part is given."""
+    d, _ = labelled(spark, 9000)
+    pool = saved(quality._measured(d.select("doc_id", "text", "n_chars", "source", "lang")))
+    views = [quality._matrix([r[c] for r in pool.collect()]) for c in ("text_view", "meta_view")]
+    weights = [np.linspace(-1, 1, v.shape[1] + 1) for v in views]
+    counts = quality._summed(pool, quality._histograms([], weights))
+    assert counts[-1] == 9000 and counts[:-1].reshape(2, -1).sum(axis=1).tolist() == [9000, 9000]
+    bounds = quality.Bounds(sure=0.5)
+    high, low, n = quality._chosen(counts[: quality.BINS], 9000, 0.5, bounds)
+    rounds = [quality.Round(tuple(weights), (high, high), (low, low))]
+    given = quality._given(views, rounds)
+    assert (given[1] >= 0).sum() == n
+    scale = np.full((2, 1), 0.25)
+    got = quality._summed(pool, quality._pool_slopes(rounds, scale, weights))
+    assert np.allclose(got, quality._pool_slopes(rounds, scale, weights)(views), rtol=1e-4, atol=1e-2) and quality.Bounds().unlabelled is None
+
+
 # 3: lines
 
 
