@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from bisect import bisect_left, insort
 from collections import Counter
 
 BASE = {
@@ -79,3 +80,16 @@ def kept_lines(rows, ratio, least):
         pages.update({(h, x) for x in (t or "").split("\n") if x.strip(" ")})
     bad = {k for k, n in pages.items() if n >= least and n / hosts[k[0]] >= ratio}
     return {i: None if t is None else "\n".join(x for x in t.split("\n") if (h, x) not in bad) for i, h, t in rows}
+
+
+def best_fit_decreasing(lengths, capacity):
+    """Sequences that plain best-fit decreasing over all pieces needs."""
+    free, used = [], 0
+    for n in sorted(lengths, reverse=True):
+        at = bisect_left(free, n)
+        if at < len(free):
+            room = free.pop(at)
+        else:
+            room, used = capacity, used + 1
+        insort(free, room - n)
+    return used

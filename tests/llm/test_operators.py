@@ -183,7 +183,7 @@ def test_packing_is_gapless_complete_and_tight(spark):
     rng = np.random.default_rng(5)
     lengths = np.minimum(4096, rng.lognormal(6.5, 1, 3000).astype(int) + 1).tolist()
     df = spark.createDataFrame([(k, n) for k, n in enumerate(lengths)], "doc_id long, length long").withColumn("offset", F.lit("clash"))
-    got = packing.assign_sequences(df, block_rows=1000).collect()
+    got = packing.assign_sequences(df.repartition(5)).collect()
     assert sorted((r["doc_id"], r["length"]) for r in got) == list(enumerate(lengths))
     bins = {}
     for r in got:
@@ -198,6 +198,71 @@ def test_packing_is_gapless_complete_and_tight(spark):
     assert packing.assign_sequences(df.where("false")).count() == 0
 
 
+def _packed_as_sequences(plan, lengths, capacity=4096):
+    used = {}
+    for times, runs in plan:
+        assert times > 0 and sum(n * each for n, each in runs) <= capacity
+        for n, each in runs:
+            used[n] = used.get(n, 0) + times * each
+    assert used == {n: lengths.count(n) for n in set(lengths)}
+    return sum(times for times, _ in plan)
+
+
+@pytest.mark.parametrize("low,high", [(1400, 3000), (200, 4096), (1000, 2500), (None, None), (1, 40)])
+def test_packing_needs_no_more_sequences_than_best_fit_decreasing(low, high):
+    rng = np.random.default_rng(11)
+    drawn = np.minimum(4096, rng.lognormal(6.3, 1, 20480).astype(int) + 1) if low is None else rng.integers(low, high + 1, 20480)
+    lengths = drawn.tolist()
+    found = _packed_as_sequences(packing.plan_sequences({n: lengths.count(n) for n in set(lengths)}, 4096), lengths)
+    assert found <= brute.best_fit_decreasing(lengths, 4096)
+
+
+def test_packing_with_fewer_groups_than_lengths_rounds_up():
+    """Rounding costs about a group's cardinality of sequences (50 pieces here)."""
+    rng = np.random.default_rng(12)
+    lengths = rng.integers(700, 2500, 5000).tolist()
+    found = _packed_as_sequences(packing.plan_sequences({n: lengths.count(n) for n in set(lengths)}, 4096, groups=100), lengths)
+    assert found <= brute.best_fit_decreasing(lengths, 4096) + 2 * 50
+
+
+def test_packing_refuses_lengths_beyond_the_capacity(spark):
+    for n in (0, 4097):
+        with pytest.raises(Exception, match="piece lengths must be"):
+            packing.assign_sequences(spark.createDataFrame([(1, n)], "doc_id long, length long")).count()
+
+
+def test_control_and_latin_characters_beside_words(spark):
+    texts = [f for c in map(chr, range(0x250)) for f in (f"word{c}", f"{c}word", f"a {c} b", f"Wo{c}rd.")]
+    got = packing.document_pieces(docs(spark, texts), WORDS, end_id=1).collect()
+    library = Tokenizer.from_file(WORDS)
+    for r in got:
+        assert np.frombuffer(bytes(r["ids"]), dtype="<u4").tolist() == library.encode(texts[r["doc_id"]], add_special_tokens=False).ids + [1], texts[r["doc_id"]]
+
+
+def test_packing_query_on_the_tables(spark):
+    """Every piece equals the library's, and sequences are gapless and no more than best fit decreasing needs."""
+    import zlib
+
+    library = Tokenizer.from_file(WORDS)
+    library.no_truncation(), library.no_padding()
+    want, lengths = {}, []
+    for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect():
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids + [1]
+        for p, at in enumerate(range(0, len(ids), 4096)):
+            cut = ids[at : at + 4096]
+            want[r["doc_id"], p] = (at, len(cut), zlib.crc32(np.array(cut, dtype="<u4").tobytes()))
+            lengths.append(len(cut))
+    got = queries.op5_best_fit_packing(spark, SF).collect()
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in got} == want and len(got) == len(want)
+    bins = {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for b in bins.values():
+        b.sort()
+        assert [o for o, _ in b] == [sum(n for _, n in b[:k]) for k in range(len(b))] and sum(n for _, n in b) <= 4096
+    assert len(bins) <= brute.best_fit_decreasing(lengths, 4096)
+
+
 # 6: urls
 
 
