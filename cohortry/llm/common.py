@@ -11,22 +11,44 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Spark's own removal of a query's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: A key with over this part of all rows is heavy, so fewer than ``1 / HEAVY_PART`` keys can be.
+HEAVY_PART = 1 / 1024
+#: Rows of one key that are too few to spread, whatever their part.
+HEAVY_ROWS = 256
+#: Tasks over which a heavy key is spread.
+COPIES = 32
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where it is unset."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local session (tests) gets
+    a new folder of its machine; a cluster gets an error, as its executors would not see each other's files."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = _local.setdefault(spark.sparkContext.applicationId, None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        _local[spark.sparkContext.applicationId] = path
     return path.rstrip("/")
 
 
+_local: dict[str, str | None] = {}
+
+
 def saved(df: DataFrame, **options: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: cuts lineage and outlives executors."""
+    """Write ``df`` as a Parquet table in the shared folder and read it back: cuts lineage and outlives executors.
+
+    The write's shuffle files go when it has ended: from then on the table stands for them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    # the write's shuffle files are garbage now; Spark frees them once the driver's JVM has collected their handles
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     table.shared_path = path
     return table
@@ -53,6 +75,24 @@ def same(left: DataFrame, right: DataFrame, *columns: str) -> Column:
     return condition
 
 
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, by: list[str]) -> DataFrame:
+    """Inner join of ``rows`` with ``groups`` on ``keys`` (no nulls) where a key may hold a large part of ``rows``.
+
+    ``groups`` is a saved table; ``size`` is its column that counts a key's rows in ``rows`` (null: none). Heavy keys, fewer
+    than ``1 / HEAVY_PART`` by their definition, are sent to all tasks; their rows are spread over ``COPIES`` tasks by
+    a hash of ``by``, and their groups are copied as often. All other keys are joined as they are.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    heavy = [tuple(r) for r in groups.where(F.col(size) > max(total * HEAVY_PART, HEAVY_ROWS)).select(*keys).distinct().collect()]
+    if not heavy:
+        return rows.join(groups, keys)
+    marks = F.broadcast(rows.sparkSession.createDataFrame(heavy, groups.select(*keys).schema).withColumn("__heavy", F.lit(True)))
+    left = rows.join(marks, keys, "left").withColumn("__salt", F.when(F.col("__heavy"), F.pmod(F.xxhash64(*by), F.lit(COPIES)).cast("int")).otherwise(0)).drop("__heavy")
+    salts = F.when(F.col("__heavy"), F.sequence(F.lit(0), F.lit(COPIES - 1))).otherwise(F.array(F.lit(0)))
+    right = groups.join(marks, keys, "left").withColumn("__salt", F.explode(salts)).drop("__heavy")
+    return left.join(right, [*keys, "__salt"]).drop("__salt")
+
+
 def numbered(distinct: DataFrame, *order: str, name: str = "name") -> DataFrame:
     """Integer names for distinct rows, in the order of ``order``: a range sort, then a number for each place.
 

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, same, saved, text_of
+from .common import discard, numbered, same, saved, spread_join, text_of
 
 #: Stands for the missing second half of an odd pair; no name takes this value.
 NO_NAME = -(2**62)
@@ -46,9 +46,9 @@ def block_identities(
         .withColumn("fp", fingerprint(F.col("block")))
     )
     contents = blocks.groupBy("fp", "block").agg(F.count(F.lit(1)).alias("uses"))
-    names = numbered(contents.groupBy("fp").agg(F.count(F.lit(1)).alias("contents")), "fp")
+    names = numbered(contents.groupBy("fp").agg(F.count(F.lit(1)).alias("contents"), F.sum("uses").alias("uses")), "fp")
     places = blocks.select("id", "text_key", "n", "pos", "fp")
-    state = places.join(names, "fp").where("contents = 1").select("id", "text_key", "n", "pos", "name")
+    state = spread_join(places, names, ["fp"], "uses", ["id", "pos"]).where("contents = 1").select("id", "text_key", "n", "pos", "name")
     if not names.where("contents > 1").isEmpty():
         shared = names.where("contents > 1").select("fp")
         own = numbered(contents.join(shared, "fp", "left_semi").select("fp", "block"), "fp", "block")
@@ -56,6 +56,7 @@ def block_identities(
             blocks.join(own, ["fp", "block"]).select("id", "text_key", "n", "pos", (-1 - F.col("name")).alias("name"))
         )
     state, level, found = saved(state), 0, []
+    discard(names)
     while True:
         found.append(state.where("n = 1").select("id", "text_key", F.lit(level).alias("level"), "name").distinct())
         state = state.where("n > 1")
@@ -67,8 +68,10 @@ def block_identities(
             F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(NO_NAME)).alias("b"),
         )
         pairs = saved(pairs)
-        names = numbered(pairs.select("a", "b").distinct(), "a", "b")
-        state = saved(pairs.join(names, ["a", "b"]).select("id", "text_key", F.expr("cast((n + 1) div 2 as int)").alias("n"), "pos", "name"))
+        names = numbered(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("uses")), "a", "b")
+        state = spread_join(pairs, names, ["a", "b"], "uses", ["id", "pos"])
+        state = saved(state.select("id", "text_key", F.expr("cast((n + 1) div 2 as int)").alias("n"), "pos", "name"))
+        discard(pairs, names)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -82,6 +85,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     * ``keep_id`` is the largest id of the group (null only if all its ids are null); ``group_size`` counts rows.
     * Rows that repeat an id with the same text are all returned and all counted; each row whose id is
       ``keep_id`` is ``kept``.
+    * Null ids are ids like others, but never ``keep_id`` where a group has another.
     * Other columns of ``docs`` are not read, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).select(
@@ -89,8 +93,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     names = block_identities(docs, id_col, text_col, block_chars, fingerprint)
     placed = saved(rows.join(names, same(rows, names, "id", "text_key")).select(rows["id"], "level", "name", "text_sha256"))
-    groups = placed.groupBy("level", "name").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return placed.join(groups, ["level", "name"]).select(
+    groups = saved(placed.groupBy("level", "name").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    return spread_join(placed, groups, ["level", "name"], "group_size", ["id"]).select(
         F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 

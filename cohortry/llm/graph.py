@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved, spread_join
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,17 +16,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     change nothing; null ends are ignored; no edges give no rows.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    loops = now.where("u = v").select("u").distinct()
+    loops = saved(now.where("u = v").select("u").distinct())
     now = saved(now.where("u > v").distinct())
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        large = saved(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = saved(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        least = saved(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("degree")))
+        large = spread_join(both, least, ["u"], "degree", ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+        large = saved(large.distinct())
+        low = saved(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")))
+        small = spread_join(large, low, ["u"], "degree", ["v"]).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = saved(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        discard(now, least, large, low)
+        now = after
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == mark:
             break
