@@ -75,18 +75,25 @@ def same(left: DataFrame, right: DataFrame, *columns: str) -> Column:
     return condition
 
 
-def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, by: list[str]) -> DataFrame:
-    """Inner join of ``rows`` with ``groups`` on ``keys`` (no nulls) where a key may hold a large part of ``rows``.
+def heavy_keys(groups: DataFrame, keys: list[str], size: str) -> DataFrame | None:
+    """Keys of ``groups`` (a saved table, or a small one) that hold over ``HEAVY_PART`` of all rows, as ``size`` counts
+    them. Their number is below ``1 / HEAVY_PART`` by this definition. None if there are none."""
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    found = [tuple(r) for r in groups.where(F.col(size) > max(total * HEAVY_PART, HEAVY_ROWS)).select(*keys).distinct().collect()]
+    if not found:
+        return None
+    return groups.sparkSession.createDataFrame(found, groups.select(*keys).schema).withColumn("__heavy", F.lit(True))
+
 
-    ``groups`` is a saved table; ``size`` is its column that counts a key's rows in ``rows`` (null: none). Heavy keys, fewer
-    than ``1 / HEAVY_PART`` by their definition, are sent to all tasks; their rows are spread over ``COPIES`` tasks by
-    a hash of ``by``, and their groups are copied as often. All other keys are joined as they are.
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], heavy: DataFrame | None, by: list[str]) -> DataFrame:
+    """Inner join on ``keys`` (no nulls) where a key may hold a large part of ``rows``.
+
+    Rows of ``heavy`` keys are spread over ``COPIES`` tasks by a hash of ``by``, and the rows of ``groups`` that they
+    meet are copied as often. All other keys are joined as they are.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
-    heavy = [tuple(r) for r in groups.where(F.col(size) > max(total * HEAVY_PART, HEAVY_ROWS)).select(*keys).distinct().collect()]
-    if not heavy:
+    if heavy is None:
         return rows.join(groups, keys)
-    marks = F.broadcast(rows.sparkSession.createDataFrame(heavy, groups.select(*keys).schema).withColumn("__heavy", F.lit(True)))
+    marks = F.broadcast(heavy)
     left = rows.join(marks, keys, "left").withColumn("__salt", F.when(F.col("__heavy"), F.pmod(F.xxhash64(*by), F.lit(COPIES)).cast("int")).otherwise(0)).drop("__heavy")
     salts = F.when(F.col("__heavy"), F.sequence(F.lit(0), F.lit(COPIES - 1))).otherwise(F.array(F.lit(0)))
     right = groups.join(marks, keys, "left").withColumn("__salt", F.explode(salts)).drop("__heavy")

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, numbered, same, saved, spread_join, text_of
+from .common import discard, heavy_keys, numbered, same, saved, spread_join, text_of
 
 #: Stands for the missing second half of an odd pair; no name takes this value.
 NO_NAME = -(2**62)
@@ -48,7 +48,7 @@ def block_identities(
     contents = blocks.groupBy("fp", "block").agg(F.count(F.lit(1)).alias("uses"))
     names = numbered(contents.groupBy("fp").agg(F.count(F.lit(1)).alias("contents"), F.sum("uses").alias("uses")), "fp")
     places = blocks.select("id", "text_key", "n", "pos", "fp")
-    state = spread_join(places, names, ["fp"], "uses", ["id", "pos"]).where("contents = 1").select("id", "text_key", "n", "pos", "name")
+    state = spread_join(places, names, ["fp"], heavy_keys(names, ["fp"], "uses"), ["id", "pos"]).where("contents = 1").select("id", "text_key", "n", "pos", "name")
     if not names.where("contents > 1").isEmpty():
         shared = names.where("contents > 1").select("fp")
         own = numbered(contents.join(shared, "fp", "left_semi").select("fp", "block"), "fp", "block")
@@ -69,7 +69,7 @@ def block_identities(
         )
         pairs = saved(pairs)
         names = numbered(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("uses")), "a", "b")
-        state = spread_join(pairs, names, ["a", "b"], "uses", ["id", "pos"])
+        state = spread_join(pairs, names, ["a", "b"], heavy_keys(names, ["a", "b"], "uses"), ["id", "pos"])
         state = saved(state.select("id", "text_key", F.expr("cast((n + 1) div 2 as int)").alias("n"), "pos", "name"))
         discard(pairs, names)
     out = found[0]
@@ -94,7 +94,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     names = block_identities(docs, id_col, text_col, block_chars, fingerprint)
     placed = saved(rows.join(names, same(rows, names, "id", "text_key")).select(rows["id"], "level", "name", "text_sha256"))
     groups = saved(placed.groupBy("level", "name").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
-    return spread_join(placed, groups, ["level", "name"], "group_size", ["id"]).select(
+    return spread_join(placed, groups, ["level", "name"], heavy_keys(groups, ["level", "name"], "group_size"), ["id"]).select(
         F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, saved, spread_join
+from .common import discard, heavy_keys, saved, spread_join
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -22,10 +22,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = saved(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("degree")))
-        large = spread_join(both, least, ["u"], "degree", ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+        large = spread_join(both, least, ["u"], heavy_keys(least, ["u"], "degree"), ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         large = saved(large.distinct())
         low = saved(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")))
-        small = spread_join(large, low, ["u"], "degree", ["v"]).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = spread_join(large, low, ["u"], heavy_keys(low, ["u"], "degree"), ["v"]).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = saved(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         discard(now, least, large, low)
         now = after

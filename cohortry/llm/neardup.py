@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import numbered, remembered, saved
+from .common import discard, heavy_keys, numbered, remembered, saved, spread_join
 from .graph import connected_components
 
 #: Words that a worker remembers; a full memory is emptied.
@@ -139,7 +139,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("right"))
     common = F.size(F.array_intersect("left", "right"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", common.alias("common"), (F.size("left") + F.size("right")).alias("total"))
+    heavy = [heavy_keys(pairs.groupBy(c).agg(F.count(F.lit(1)).alias("uses")), [c], "uses") for c in ("a", "b")]
+    both = spread_join(spread_join(pairs, left, ["a"], heavy[0], ["b"]), right, ["b"], heavy[1], ["a"]).select("a", "b", common.alias("common"), (F.size("left") + F.size("right")).alias("total"))
     return both.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b")
 
 
@@ -158,22 +159,22 @@ def _shared_counts(sets: DataFrame) -> DataFrame:
     return counts.select("class", F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.coalesce(F.col("m")[k], F.lit(0))).alias("shared"))
 
 
-def _apart(named: DataFrame, traits: DataFrame, percent: int, bands: int) -> DataFrame:
+def _apart(named: DataFrame, traits: DataFrame, percent: int, bands: int, heavy: DataFrame | None) -> DataFrame:
     """Pairs (a, b) of classes that share a bucket, have different labels, and may be linked by their counts.
 
-    ``named``: class, n, band, bucket, label. In a bucket, all classes meet those outside its largest component; a
+    ``named``: class, n, band, bucket, label; ``heavy``: large buckets. In a bucket, all classes meet those outside its largest component; a
     pair is taken at the first band that it shares.
     """
     named = saved(named.join(traits, "class"))
     most = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("members"))
     most = most.groupBy("bucket").agg(F.max(F.struct("members", "label"))["label"].alias("main"))
-    rest = named.join(most, "bucket").where("label <> main").select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("class", "n", "label", "shared", "buckets")])
+    rest = spread_join(named, most, ["bucket"], heavy, ["class"]).where("label <> main").select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("class", "n", "label", "shared", "buckets")])
     bound = sum((F.least(F.col("shared")[k], F.col("other_shared")[k]) for k in range(1, PARTS)), F.least(F.col("shared")[0], F.col("other_shared")[0]))
     first = F.when(F.col("buckets")[0] == F.col("other_buckets")[0], 0)
     for k in range(1, bands):
         first = first.when(F.col("buckets")[k] == F.col("other_buckets")[k], k)
     may = (100 + percent) * bound >= percent * (F.col("n") + F.col("other_n"))
-    met = named.join(rest, "bucket").where((F.col("label") != F.col("other_label")) & F.expr(_near_in_size(percent)) & (first == F.col("band")) & may)
+    met = spread_join(named, rest, ["bucket"], heavy, ["class"]).where((F.col("label") != F.col("other_label")) & F.expr(_near_in_size(percent)) & (first == F.col("band")) & may)
     return met.select(F.least("class", "other_class").alias("a"), F.greatest("class", "other_class").alias("b")).distinct()
 
 
@@ -200,11 +201,14 @@ def near_duplicates(
     full = rows_.where("set_key is not null")
     placed = full.groupBy("set_key").agg(F.first("n").alias("n"), F.first("buckets").alias("buckets"))
     places = placed.select("set_key", "n", F.posexplode("buckets").alias("band", "bucket"))
-    crowded = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select("bucket")
-    met = saved(places.join(crowded, "bucket"))
-    firsts = full.groupBy("set_key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id"))["id"].alias("first_id"))
-    classes = numbered(met.select("set_key").distinct(), "set_key", name="class")
-    met = saved(met.join(classes, "set_key").select("class", "n", "band", "bucket"))
+    crowded = saved(places.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1"))
+    heavy = heavy_keys(crowded, ["bucket"], "classes")
+    found = saved(spread_join(places, crowded.select("bucket"), ["bucket"], heavy, ["set_key"]))
+    lowest_id = F.min(F.struct(F.col("id").isNull().alias("none"), "id"))["id"].alias("first_id")
+    firsts = saved(full.groupBy("set_key").agg(lowest_id, F.count(F.lit(1)).alias("copies")))
+    classes = numbered(found.select("set_key").distinct(), "set_key", name="class")
+    met = saved(found.join(classes, "set_key").select("class", "n", "band", "bucket"))
+    discard(crowded, found)
 
     wanted = classes.join(firsts, "set_key").select(F.col("first_id").alias(id_col), F.col("set_key").alias("want_key"), "class")
     known = wanted.where(F.col(id_col).isNotNull())
@@ -217,27 +221,37 @@ def near_duplicates(
 
     pivots = met.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("class", "bucket"), "class", "n")).alias("p"))
     pivots = pivots.select("bucket", F.col("p.class").alias("other"), F.col("p.n").alias("other_n"))
-    near = met.join(pivots, "bucket").where("class <> other").where(_near_in_size(percent))
+    near = spread_join(met, pivots, ["bucket"], heavy, ["class"]).where("class <> other").where(_near_in_size(percent))
     pairs = saved(near.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct())
     links = saved(_confirmed(pairs, sets, percent))
 
     labels = saved(connected_components(links))
     named = met.join(labels, met["class"] == labels["node"], "left").select("class", "n", "band", "bucket", F.coalesce("label", "class").alias("label"))
+    named = saved(named)
     split = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    named = saved(named.join(split, "bucket"))
-    open_ = named.select("class").distinct()
+    apart = saved(spread_join(named, split, ["bucket"], heavy, ["class"]))
+    open_ = apart.select("class").distinct()
     traits = _shared_counts(sets.join(open_, "class", "left_semi"))
     traits = traits.join(placed.join(classes, "set_key").join(open_, "class", "left_semi").select("class", "buckets"), "class")
-    more = _apart(named, traits, percent, bands).join(pairs, ["a", "b"], "left_anti")
+    more = saved(_apart(apart, traits, percent, bands, heavy).join(pairs, ["a", "b"], "left_anti"))
     late = saved(_confirmed(more, sets, percent))
     if not late.isEmpty():
-        labels = saved(connected_components(links.unionByName(late)))
+        # components of the first links stand for their members
+        joined = late.join(labels.select(F.col("node").alias("a"), F.col("label").alias("from")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("to")), "b", "left")
+        between = saved(joined.select(F.coalesce("from", "a").alias("a"), F.coalesce("to", "b").alias("b")).distinct())
+        tops = saved(connected_components(between))
+        ends = labels.unionByName(tops.select("node", F.col("node").alias("label")).join(labels.select("node"), "node", "left_anti"))
+        renamed = ends.join(tops.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left")
+        labels = saved(renamed.select("node", F.coalesce("top", "label").alias("label")))
+    discard(met, sets, pairs, links, named, apart, more, late)
 
     grouped = labels.join(classes, labels["node"] == classes["class"]).join(firsts, "set_key").select("set_key", "label", "first_id")
-    lowest = grouped.groupBy("label").agg(F.min("first_id").alias("lowest"))
-    found = firsts.join(grouped.join(lowest, "label").select("set_key", "lowest"), "set_key", "left")
-    found = found.select("set_key", F.coalesce("lowest", "first_id").alias("component_id"))
-    linked = full.select("id", "n", "set_key").join(found, "set_key").select("id", "n", "component_id")
+    lowest = grouped.groupBy("label").agg(F.min("first_id").alias("lowest"), F.count(F.lit(1)).alias("members"))
+    lowest = saved(lowest)
+    found = spread_join(grouped, lowest, ["label"], heavy_keys(lowest, ["label"], "members"), ["set_key"])
+    found = firsts.join(found.select("set_key", "lowest"), "set_key", "left")
+    found = saved(found.select("set_key", "copies", F.coalesce("lowest", "first_id").alias("component_id")))
+    linked = spread_join(full.select("id", "n", "set_key"), found, ["set_key"], heavy_keys(found, ["set_key"], "copies"), ["id"]).select("id", "n", "component_id")
     alone = rows_.where("set_key is null").select("id", "n", F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")

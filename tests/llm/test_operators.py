@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cohortry.llm import bpe, exact, graph, lines, neardup, packing, pii, quality, queries, repeats, topk, urls
+from cohortry.llm import bpe, common, exact, graph, lines, neardup, packing, pii, quality, queries, repeats, topk, urls
 from cohortry.llm.common import saved
 from tests.llm import brute
 from tests.oracle import assert_same, connect
@@ -398,3 +398,37 @@ def test_redaction_merges_overlaps(spark):
     df = docs(spark, ["x 1.2.3.4@a.b.c y é", None, "+12 345 678 90, 4242424242424242"])
     got = {r["doc_id"]: r["text"] for r in pii.redact(pii.find_pii(df)).collect()}
     assert got[0] == "x [EMAIL] y é" and got[1] is None and "4242" not in got[2]
+
+
+# shared
+
+
+def test_a_heavy_key_is_spread_and_its_join_is_whole(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY_ROWS", 10)
+    rows = spark.createDataFrame([(7 if k % 3 == 0 else k % 50, k) for k in range(600)], "key long, row long")
+    groups = saved(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("key <> 5"))
+    heavy = common.heavy_keys(groups, ["key"], "size")
+    assert 7 in {r["key"] for r in heavy.collect()}
+    want = sorted(tuple(r) for r in rows.join(groups, "key").collect())
+    assert sorted(tuple(r) for r in common.spread_join(rows, groups, ["key"], heavy, ["row"]).collect()) == want
+    assert common.heavy_keys(groups.where("false"), ["key"], "size") is None
+
+
+def test_operators_on_heavy_groups(spark, monkeypatch):
+    """Copies, near copies and a common passage hold most rows; every heavy path is taken."""
+    monkeypatch.setattr(common, "HEAVY_ROWS", 3)
+    rnd = random.Random(13)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8)))
+    base, passage = [word() for _ in range(60)], " ".join(word() for _ in range(20))
+    texts = [" ".join(base)] * 30
+    for k in range(40):
+        t = list(base)
+        t[k + 5] = f"near{k}"
+        texts.append(" ".join(t))
+    texts += [f"{word()} {word()} {passage} {word()} {word()}" for _ in range(30)] + [" ".join(word() for _ in range(30)) for _ in range(20)]
+    df = docs(spark, texts)
+    want, sizes = brute.components(list(enumerate(texts)), 4, 80)
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, size=4).collect()} == want
+    assert {r["doc_id"]: r["group_size"] for r in exact.exact_duplicates(df, block_chars=16).collect()} == {k: texts.count(t) for k, t in enumerate(texts)}
+    got = {r["doc_id"]: (r["n_bytes"], bytes(r["kept"])) for r in repeats.remove_repeats(df, length=40, reach=20).collect()}
+    assert got == {k: (n, kept) for k, (n, _, _, kept) in enumerate(brute.removed(texts, 40))}
