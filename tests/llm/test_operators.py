@@ -150,6 +150,25 @@ def test_repeats_match_brute_force(spark):
     assert repeats.remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_repeats_query_on_the_tables(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    want = dict(zip(texts, brute.removed(list(texts.values()), 400), strict=True))
+    got = queries.op4_repeated_passages(spark, SF).collect()
+    assert len(got) == len(texts) and any(n for _, n, _, _ in want.values())
+    for r in got:
+        size, n, runs, kept = want[r["doc_id"]]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (size, n, runs, brute.sha(kept))
+
+
+def test_repeats_of_very_long_texts_with_clashing_columns(spark):
+    rnd = random.Random(14)
+    long = "".join(rnd.choice("abcd ") for _ in range(1_200_000))
+    texts = ["x" + long[200_000:700_000], long, "y" * 399, None]
+    df = docs(spark, texts).withColumnsRenamed({"lang": "core", "source": "ranges", "n_chars": "kept"})
+    got = {r["doc_id"]: (r["n_bytes"], [tuple(s) for s in r["spans"]]) for r in repeats.remove_repeats(df).collect()}
+    assert got == {0: (500_001, [(1, 500_001)]), 1: (1_200_000, [(200_000, 700_000)]), 2: (399, []), 3: (0, [])}
+
+
 def test_repeated_rows_repeat_their_text(spark):
     df = docs(spark, ["abcdefghij" * 3 + "klm", "other"])
     got = repeats.remove_repeats(df.unionByName(df.where("doc_id = 0")), length=20, reach=8).where("doc_id = 0").collect()
