@@ -1,9 +1,10 @@
 """Personal data: base patterns with exact places, and identifiers that their contexts give away.
 
-Everything here is DataFrame functions. Base matches take their places from the texts between them. Base matches
-are also the seeds of a bootstrap: the words before a seed make a lexical pattern, patterns and the strings in
-their slots make a graph, and scores pass to and fro over it. What stands in the slot of a pattern that nearly
-always introduces personal data is reported too, as kind ``id``.
+Everything here is DataFrame functions. Base matches take their places from the texts between them. Base matches,
+and strings of a secret's shape, are also the seeds of a bootstrap: the words before, around and behind a seed make
+lexical patterns, patterns and the strings in their slots make a graph, and scores pass to and fro over it. What is
+discovered supports further patterns in the next round. What stands in the slot of a pattern that nearly always
+surrounds personal data is reported too, as kind ``id``; a secret's shape alone is not.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, text_of
+from .common import discard, heavy_keys, saved, spread_join, text_of
 
 #: Fixed values. Each begins where the plain pattern would: not inside a run that an earlier start would have taken.
 BASE = {
@@ -25,9 +26,14 @@ OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.0*(?:25[0-5]|2[0
 #: A string that may be an identifier: no white space, a digit or ``@`` in it.
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 #: What a token sheds at its ends.
-HEAD, TAIL = r"^[(\[{<\"'“‘]+", r"[)\]}>\"'”’.,;:!?]+$"
-#: Characters before a slot in which the words of its pattern are looked for.
-REACH = 64
+HEAD, TAIL = r"^[(\[{<\"'“‘#*&%$|]+", r"[)\]}>\"'”’.,;:!?#*&%$|]+$"
+#: A name glued to its value, as in ``key=value``.
+GLUED = r"^[A-Za-z_.-]+[=:](?!/)[(\[{<\"'“‘]*"
+#: Shape of a secret: a long run of letters and digits, both in it.
+SECRET = r"^(?=\S*[0-9])(?=\S*[A-Za-z])[A-Za-z0-9+/_-]{20,}=*$"
+#: Characters on either side of a slot in which the words of its patterns are looked for. Words that do not fit in make
+#: no pattern; the ends of a text count as words.
+REACH = 200
 
 
 def _digits(match: Column) -> Column:
@@ -76,69 +82,86 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {k: _places(text, p, lambda m, k=k: _valid(k, m), gates[k]) for k, p in BASE.items()}
 
 
-def _words_before(text: Column, start: Column, words: int) -> Column:
-    """The last ``words`` words before a place, lower-cased, digits as 0; null if there are fewer within reach."""
-    first = F.greatest(F.lit(0), start - REACH)
-    before = F.substring(text, (first + 1).cast("int"), (start - first).cast("int"))
-    found = F.regexp_extract(before, r"((?:\S+\s+){%d})\S{0,2}$" % words, 1)
-    return F.nullif(F.lower(F.regexp_replace(F.regexp_replace(F.trim(found), r"\s+", " "), "[0-9]", "0")), F.lit(""))
+def _plain(words: Column) -> Column:
+    """Lower-cased, digits as 0, single spaces; null if empty."""
+    return F.nullif(F.lower(F.regexp_replace(F.regexp_replace(F.trim(words), r"\s+", " "), "[0-9]", "0")), F.lit(""))
 
 
-def slots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 2) -> DataFrame:
-    """``id``, ``text_key``, ``start``, ``end``, ``pattern``, ``instance``, ``seed``: base matches and tokens beside them."""
+def _patterns(text: Column, start: Column, end: Column) -> Column:
+    """Array of the lexical patterns of a slot: two words before it, one on either side, two behind it."""
+    first = F.greatest(F.lit(0), start - REACH)
+    before = F.concat(F.when(start <= REACH, F.lit("^ ^ ")).otherwise(""), F.substring(text, (first + 1).cast("int"), (start - first).cast("int")))
+    after = F.concat(F.substring(text, (end + 1).cast("int"), F.lit(REACH)), F.when(F.length(text) <= end + REACH, F.lit(" $ $")).otherwise(""))
+    opening, closing = r"\s*[(\[{<\"'“‘]*$", r"^[)\]}>\"'”’]*\s*"
+    two_before = _plain(F.regexp_extract(before, r"(?:^|\s)(\S+\s+\S+?)" + opening, 1))
+    one_before = _plain(F.regexp_extract(before, r"(?:^|\s)(\S+?)" + opening, 1))
+    one_after = _plain(F.regexp_extract(after, closing + r"(\S+)(?=\s)", 1))
+    two_after = _plain(F.regexp_extract(after, closing + r"(\S+\s+\S+)(?=\s|$)", 1))
+    slot = F.lit(" _ ")
+    return F.array_compact(F.array(F.concat(two_before, slot), F.concat(one_before, slot, one_after), F.concat(slot, two_after)))
+
+
+def slots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id``, ``text_key``, ``start``, ``end``, ``pattern``, ``instance``, ``base``, ``seed``: base matches and tokens beside
+    them, a row for each pattern. ``seed``: a base match, or of a secret's shape."""
     base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
     found = base.select("id", "text", F.concat(*base_spans(F.col("text")).values()).alias("seeds"), _places(F.col("text"), TOKEN, lambda m: F.length(m) >= 4, F.lit(True)).alias("tokens"))
-    trimmed = F.transform(
-        "tokens",
-        lambda t: F.struct(
-            (t["start"] + F.length(F.regexp_extract(t["value"], HEAD, 0))).alias("start"),
-            (t["end"] - F.length(F.regexp_extract(t["value"], TAIL, 0))).alias("end"),
-            F.regexp_replace(F.regexp_replace(t["value"], HEAD, ""), TAIL, "").alias("value"),
-        ),
-    )
+    head = lambda v: F.coalesce(F.nullif(F.regexp_extract(v, GLUED, 0), F.lit("")), F.regexp_extract(v, HEAD, 0))
+    opened = F.transform("tokens", lambda t: F.struct((t["start"] + F.length(head(t["value"]))).alias("start"), F.substring(t["value"], F.length(head(t["value"])) + 1, F.length(t["value"])).alias("value")))
+    trimmed = F.transform(opened, lambda t: F.struct(t["start"].alias("start"), F.regexp_replace(t["value"], TAIL, "").alias("value")))
+    placed = F.transform(trimmed, lambda t: F.struct(t["start"].alias("start"), (t["start"] + F.length(t["value"])).alias("end"), t["value"].alias("value")))
     free = lambda t: ~F.exists("seeds", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
     fits = lambda t: (F.length(t["value"]) >= 4) & t["value"].rlike("[0-9@]") & free(t)
-    both = F.concat(
-        F.transform("seeds", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(True).alias("seed"))),
-        F.transform(F.filter(trimmed, fits), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"), F.lit(False).alias("seed"))),
-    )
-    return found.select("id", "text", F.explode(both).alias("s")).select(
-        "id", F.xxhash64("text").alias("text_key"), "s.start", "s.end",
-        _words_before(F.col("text"), F.col("s.start"), words).alias("pattern"), F.lower("s.value").alias("instance"), "s.seed",
-    )
+    slot = lambda s, base: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(base).alias("base"))
+    both = F.concat(F.transform("seeds", lambda s: slot(s, True)), F.transform(F.filter(placed, fits), lambda t: slot(t, False)))
+    each = found.select("id", "text", F.explode(both).alias("s")).select("id", F.xxhash64("text").alias("text_key"), "s.*", F.explode(_patterns(F.col("text"), F.col("s.start"), F.col("s.end"))).alias("pattern"))
+    return each.select("id", "text_key", "start", "end", "pattern", F.lower("value").alias("instance"), "base", (F.col("base") | F.col("value").rlike(SECRET)).alias("seed"))
 
 
-def score_graph(edges: DataFrame, rounds: int = 3, support: int = 3) -> DataFrame:
+def score_graph(edges: DataFrame, rounds: int = 3, support: int = 3, least: float = 0.7) -> DataFrame:
     """``pattern``, ``instance``, ``confidence`` (of the pattern), ``score`` (of the instance) for each edge.
 
-    ``edges``: distinct ``pattern``, ``instance``, ``seed``. Seeds score 1. In each round a pattern's confidence is
-    the mean score of its instances, one doubtful instance added, and 0 with fewer than ``support`` distinct
-    seeds; an instance that is no seed scores 1 minus the product of its patterns' doubts.
+    ``edges``: distinct ``pattern``, ``instance``, ``seed``. Seeds score 1, others 0 at first. In each round a pattern's
+    confidence is the sum of its instances' scores over their number and one more, and 0 with fewer than ``support``
+    instances of at least ``least``; an instance that is no seed then scores 1 minus the product of its patterns'
+    doubts. So an instance that one round discovers supports other patterns in the next.
     """
-    now = edges.select("pattern", "instance", "seed", F.col("seed").cast("double").alias("score"))
-    for _ in range(rounds):
-        patterns = now.groupBy("pattern").agg(
-            (F.when(F.sum(F.col("seed").cast("int")) >= support, F.sum("score")).otherwise(0.0) / (F.count(F.lit(1)) + 1)).alias("confidence")
-        )
-        scored = saved(now.select("pattern", "instance", "seed").join(patterns, "pattern"))
-        instances = scored.groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("own"))
-        now = scored.join(instances, "instance").select(
-            "pattern", "instance", "seed", "confidence", F.when(F.col("seed"), 1.0).otherwise(F.col("own")).alias("score")
-        )
-    return now.drop("seed")
-
-
-def discovered_spans(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 2, rounds: int = 3, support: int = 3, least: float = 0.7
-) -> DataFrame:
+    base = saved(edges.select("pattern", "instance", "seed"))
+    uses = saved(base.groupBy("instance").agg(F.count(F.lit(1)).alias("uses"), F.max("seed").alias("seed")))
+    of_instance = heavy_keys(uses, ["instance"], "uses")
+    scores, of_pattern, spent = uses.select("instance", F.col("seed").cast("double").alias("score")), None, []
+    for k in range(rounds):
+        now = spread_join(base.select("pattern", "instance"), scores, ["instance"], of_instance, ["pattern"])
+        sums = now.groupBy("pattern").agg(F.sum("score").alias("total"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") >= least).alias("known"))
+        patterns = saved(sums.select("pattern", "n", (F.when(F.col("known") >= support, F.col("total")).otherwise(0.0) / (F.col("n") + 1)).alias("confidence")))
+        of_pattern = heavy_keys(patterns, ["pattern"], "n") if k == 0 else of_pattern
+        doubts = spread_join(base, patterns.where("confidence > 0").select("pattern", "confidence"), ["pattern"], of_pattern, ["instance"])
+        own = doubts.groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("own"))
+        scores = saved(uses.join(own, "instance", "left").select("instance", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("own", F.lit(0.0))).alias("score")))
+        spent += [patterns, scores]
+    with_confidence = spread_join(base, patterns.select("pattern", "confidence"), ["pattern"], of_pattern, ["instance"])
+    out = saved(spread_join(with_confidence, scores, ["instance"], of_instance, ["pattern"]).select("pattern", "instance", "confidence", "score"))
+    discard(base, uses, *spent)
+    return out
+
+
+def discovered_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, support: int = 3, least: float = 0.7) -> DataFrame:
     """``id``, ``text_key``, ``found`` (array of struct(start, end)): tokens in slots of patterns and with scores of at least ``least``."""
-    places = saved(slots(docs, id_col, text_col, words).where("pattern is not null"))
+    places = saved(slots(docs, id_col, text_col))
     edges = places.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+    # a pattern with fewer instances than ``support`` can never gain confidence
+    counts = saved(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support))
+    heavy = heavy_keys(counts, ["pattern"], "n")
+    edges = spread_join(edges, counts.select("pattern"), ["pattern"], heavy, ["instance"])
     known = edges.where("seed").select("instance").distinct().withColumn("known", F.lit(True))
     edges = edges.join(known, "instance", "left").select("pattern", "instance", F.coalesce("known", F.lit(False)).alias("seed"))
-    good = score_graph(saved(edges), rounds, support).where((F.col("confidence") >= least) & (F.col("score") >= least)).select("pattern", "instance")
-    hits = places.where("not seed").join(good, ["pattern", "instance"], "left_semi")
-    return saved(hits.groupBy("id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("found")))
+    scored = score_graph(edges, rounds, support, least)
+    good = saved(scored.where((F.col("confidence") >= least) & (F.col("score") >= least)).select("pattern", "instance"))
+    uses = saved(places.where("not base").groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n")).join(good, ["pattern", "instance"]))
+    hits = spread_join(places.where("not base"), uses.select("pattern", "instance"), ["pattern", "instance"], heavy_keys(uses, ["pattern", "instance"], "n"), ["id", "start"])
+    out = saved(hits.groupBy("id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("found")))
+    discard(places, counts, scored, good, uses)
+    return out
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -150,20 +173,21 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     * Null or empty text: no spans. All rows and columns stay, repeated rows too; columns named ``base`` or
       ``spans`` are replaced. An empty table gives no rows. Kinds are found apart and may overlap each other.
     """
-    extra = discovered_spans(docs, id_col, text_col, **options).select(F.col("id").alias("__id"), F.col("text_key").alias("__key"), "found")
+    extra = discovered_spans(docs, id_col, text_col, **options)
     own = docs.drop("base", "spans")
-    joined = own.withColumn("__text_key", F.xxhash64(text_of(text_col))).join(
-        extra, own[id_col].eqNullSafe(extra["__id"]) & (F.col("__text_key") == extra["__key"]), "left"
-    )
+    rows = own.select(F.struct(*[own[c] for c in own.columns]).alias("row"))
+    text = text_of(F.col("row")[text_col])
+    joined = rows.join(extra, F.col("row")[id_col].eqNullSafe(extra["id"]) & (F.xxhash64(text) == extra["text_key"]), "left")
 
     def named(kind: str, places: Column) -> Column:
         number = KINDS.index(kind) + 1
         return F.transform(places, lambda p: F.struct(F.lit(number).alias("kind_no"), p["start"].alias("start"), p["end"].alias("end"), F.lit(kind).alias("kind")))
 
-    base = F.concat(*[named(k, p) for k, p in base_spans(text_of(text_col)).items()])
-    more = F.coalesce(named("id", F.col("found")), F.array().cast("array<struct<kind_no:int,start:bigint,end:bigint,kind:string>>"))
-    with_base = joined.select(*own.columns, base.alias("base"), more.alias("__more"))
-    return with_base.select(*own.columns, "base", F.concat("base", "__more").alias("spans"))
+    none = F.array().cast("array<struct<kind_no:int,start:bigint,end:bigint,kind:string>>")
+    base = F.concat(*[named(k, p) for k, p in base_spans(text).items()])
+    more = F.coalesce(named("id", F.col("found")), none)
+    spans = joined.select("row", base.alias("base"), more.alias("more"))
+    return spans.select("row.*", "base", F.concat("base", "more").alias("spans"))
 
 
 def spelled(spans: str | Column) -> Column:

@@ -93,3 +93,21 @@ def best_fit_decreasing(lengths, capacity):
             room, used = capacity, used + 1
         insort(free, room - n)
     return used
+
+
+def graph_scores(edges, rounds, support, least):
+    """{(pattern, instance): (confidence, score)} of (pattern, instance, seed) edges."""
+    seed = {i: False for _, i, _ in edges}
+    for _, i, s in edges:
+        seed[i] = seed[i] or s
+    score, confidence = {i: float(s) for i, s in seed.items()}, {}
+    for _ in range(rounds):
+        for p in {p for p, _, _ in edges}:
+            own = [score[i] for q, i, _ in edges if q == p]
+            confidence[p] = sum(own) / (len(own) + 1) if sum(s >= least for s in own) >= support else 0.0
+        for i in seed:
+            doubt = 1.0
+            for p, j, _ in edges:
+                doubt *= 1 - confidence[p] if j == i else 1
+            score[i] = 1.0 if seed[i] else 1 - doubt
+    return {(p, i): (confidence[p], score[i]) for p, i, _ in edges}

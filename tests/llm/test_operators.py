@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -413,6 +414,58 @@ def test_pii_contexts_discover_unseen_identifiers(spark):
     assert masked[0] == "please call me on [PHONE] soon" and masked[6] == "please call me on ([ID]). thanks" and masked[7] == texts[7]
 
 
+@pytest.mark.parametrize("heavy", [False, True])
+def test_graph_scores_match_brute_force(spark, monkeypatch, heavy):
+    if heavy:
+        monkeypatch.setattr(common, "HEAVY_ROWS", 4)
+    rnd = random.Random(15)
+    seeds = {f"i{k}" for k in range(40) if k % 3 == 0}
+    edges = sorted({(f"p{rnd.randint(0, 12) if rnd.random() < 0.6 else 3}", f"i{rnd.randint(0, 39)}") for _ in range(160)})
+    edges = [(p, i, i in seeds) for p, i in edges]
+    got = pii.score_graph(spark.createDataFrame(edges, "pattern string, instance string, seed boolean"), rounds=3, support=3, least=0.6).collect()
+    want = brute.graph_scores(edges, 3, 3, 0.6)
+    assert len(got) == len(want)
+    for r in got:
+        assert (r["confidence"], r["score"]) == pytest.approx(want[r["pattern"], r["instance"]], abs=1e-9)
+
+
+def test_pii_spreads_over_two_hops(spark):
+    """Phones make the first pattern good; what it discovers makes a second one good, which no base match ever stands in."""
+    first = [f"please call me on +1 ({300 + k}) 555-{4000 + k} soon" for k in range(12)] + [f"please call me on ext-{k}-77 soon" for k in range(4)]
+    second = [f"the secret line is ext-{k}-77 as agreed" for k in range(4)]
+    texts = [*first, *second, "the secret line is zz-9-x as agreed", "version 3.2-a of it"]
+    found = {k: pii.find_pii(docs(spark, texts), rounds=k).select("doc_id", pii.spelled("spans").alias("s")).collect() for k in (1, 3)}
+    new = {k: {r["doc_id"]: r["s"] for r in rows} for k, rows in found.items()}
+    at = len("the secret line is ")
+    assert new[1][20] == "" and new[3][20] == f"id:{at}:{at + len('zz-9-x')}" and new[3][21] == ""
+    assert all(new[3][k].startswith("id:") for k in range(12, 20))
+
+
+def test_pii_finds_planted_tokens_and_little_else(spark):
+    rows = pii.find_pii(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("text", "spans").collect()
+    tokens, others = 0, 0
+    for r in rows:
+        values = [r["text"][s["start"] : s["end"]].lower() for s in r["spans"] if s["kind"] == "id"]
+        planted = re.findall('token = "([0-9a-f]{40})"', (r["text"] or "").lower())
+        assert set(planted) <= set(values)
+        tokens, others = tokens + len(planted), others + len(set(values) - set(planted))
+    assert tokens >= 12 and others <= 2
+
+
+def test_pii_contexts_of_long_words_gaps_and_ends(spark):
+    long = "w" * 500
+    texts = [f"{long} +49 30 1234567{k} x" for k in range(5)] + [f"id {' ' * 300}+49 30 7654321{k}" for k in range(5)] + ["+49 30 1111111", "4242424242424242", "password=hunter2 x"]
+    got = {r["doc_id"]: r["s"] for r in pii.find_pii(docs(spark, texts)).select("doc_id", pii.spelled("base").alias("s")).collect()}
+    assert all(got[k].startswith("phone:") for k in range(11)) and got[11] == "card:0:16" and got[12] == ""
+
+
+def test_pii_keeps_clashing_columns_and_null_ids(spark):
+    df = docs(spark, ["mail a@b.com", None]).withColumnsRenamed({"lang": "row", "source": "id", "n_chars": "text_key"}).withColumn("found", F.lit(1))
+    df = df.unionByName(df.withColumn("doc_id", F.lit(None).cast("long")))
+    got = pii.redact(pii.find_pii(df))
+    assert got.columns == df.columns and sorted(r["text"] or "" for r in got.collect()) == ["", "", "mail [EMAIL]", "mail [EMAIL]"]
+
+
 def test_redaction_merges_overlaps(spark):
     df = docs(spark, ["x 1.2.3.4@a.b.c y é", None, "+12 345 678 90, 4242424242424242"])
     got = {r["doc_id"]: r["text"] for r in pii.redact(pii.find_pii(df)).collect()}
