@@ -73,22 +73,16 @@ def drop_boilerplate_lines(
         F.explode(F.array_distinct(F.transform(F.filter(F.split("text", "\n"), _counted), _digest))).alias("digest"),
     )
     hits = lines.join(often, lines["host"].eqNullSafe(often["host"]) & (lines["digest"] == often["digest"])).select("id", lines["host"], "text_key", lines["digest"])
-    drops = hits.groupBy("id", "host", "text_key").agg(F.collect_set("digest").alias("__drop"))
-    drops = drops.select(F.col("id").alias("__id"), F.col("host").alias("__host"), F.col("text_key").alias("__key"), "__drop")
+    drops = hits.groupBy("id", "host", "text_key").agg(F.collect_set("digest").alias("dropped"))
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*own).join(
-        drops,
-        docs[id_col].eqNullSafe(drops["__id"]) & docs[host_col].eqNullSafe(drops["__host"]) & (F.xxhash64(text_of(docs[text_col])) == drops["__key"]),
-        "left",
-    )
-    split = F.split(text_of(text_col), "\n")
-    stays = lambda x: ~_counted(x) | ~F.array_contains(F.col("__drop"), _digest(x))
-    kept = F.filter(split, stays)
-    n_lines = F.when(text_of(text_col) == "", 0).otherwise(F.size(split))
-    cut = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    n_kept = F.when(F.col("__drop").isNull(), n_lines).otherwise(F.size(kept))
-    return joined.select(
-        *[cut.alias(c) if c == text_col else F.col(c) for c in own],
-        n_lines.cast("long").alias("n_lines"),
-        (n_lines - n_kept).cast("long").alias("n_dropped"),
-    )
+    rows = docs.select(F.struct(*[docs[c] for c in own]).alias("row"))
+    of = lambda c: F.col("row")[c]
+    text = text_of(of(text_col))
+    joined = rows.join(drops, of(id_col).eqNullSafe(drops["id"]) & of(host_col).eqNullSafe(drops["host"]) & (F.xxhash64(text) == drops["text_key"]), "left")
+    split = F.split(text, "\n")
+    kept = F.filter(split, lambda x: ~_counted(x) | ~F.array_contains(F.col("dropped"), _digest(x)))
+    n_lines = F.when(text == "", 0).otherwise(F.size(split))
+    cut = F.when(F.col("dropped").isNull(), of(text_col)).otherwise(F.array_join(kept, "\n"))
+    n_kept = F.when(F.col("dropped").isNull(), n_lines).otherwise(F.size(kept))
+    done = joined.select("row", cut.alias("cut"), n_lines.cast("long").alias("n_lines"), (n_lines - n_kept).cast("long").alias("n_dropped"))
+    return done.select(*[(F.col("cut") if c == text_col else of(c)).alias(c) for c in own], "n_lines", "n_dropped")

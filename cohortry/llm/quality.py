@@ -9,6 +9,7 @@ sums of gradients and Hessians reach the driver. Scoring reads every whole text.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -260,11 +261,21 @@ def _chosen(counts: np.ndarray, total: float, share: float, bounds: Bounds) -> t
     return float(high), float(low), float(down[int(high)] + up[int(low)])
 
 
+def _held_out(y: np.ndarray, bounds: Bounds) -> int:
+    return max(1, int(len(y) * bounds.held_out))
+
+
+def _has_both(y: np.ndarray, bounds: Bounds) -> bool:
+    """Whether both classes are there, for fitting and for calibration."""
+    cut = _held_out(y, bounds)
+    return len(np.unique(y[cut:])) == 2 and len(np.unique(y[:cut])) == 2
+
+
 def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: DataFrame, bounds: Bounds, steps: int = 12) -> CoTrained:
     """Labelled rows in a random order that is fixed; the first ``held_out`` share calibrates. ``pool``: measured rows."""
-    cut = max(1, int(len(y) * bounds.held_out))
+    cut = _held_out(y, bounds)
     views, labels = (text, meta), y.astype(float)
-    if len(np.unique(labels[cut:])) < 2 or len(np.unique(labels[:cut])) < 2:
+    if not _has_both(y, bounds):
         raise ValueError("both classes are needed, for fitting and for calibration")
     weights = [_fit(v[cut:], labels[cut:]) for v in views]
     share, rounds, scale = labels[cut:].mean(), [], np.zeros((2, bounds.rounds))
@@ -315,26 +326,31 @@ def fit_quality(
     known = known.agg((F.min(label_col) > 0).cast("int").alias("y")).join(docs.select(F.col(id_col).cast("long").alias("id")).distinct(), "id", "left_semi")
     chosen = {r["id"]: r["y"] for r in known.orderBy(F.xxhash64("id"), "id").limit(bounds.labelled).collect()}
     if not chosen:
-        return None
+        return _no_model("no labelled rows")
     sample = docs.sparkSession.createDataFrame([(i,) for i in chosen], "id long")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_col, F.col(length_col).cast("long"), *meta_cols)
     found: dict = {}
     for r in _measured(rows.join(F.broadcast(sample), "id", "left_semi").dropDuplicates(["id"])).toLocalIterator():
         found[r["id"]] = (r["text_view"], r["meta_view"])
     ids = sorted(found, key=lambda i: hash((i * 2654435761) & 0xFFFFFFFF))
+    y = np.array([chosen[i] for i in ids])
+    if not _has_both(y, bounds):
+        return _no_model("labelled rows of one class only")
     if bounds.unlabelled is not None:
         others = rows.select("id").where("id is not null").join(known.select("id"), "id", "left_anti").distinct()
         rows = rows.join(others.orderBy(F.xxhash64("id"), "id").limit(bounds.unlabelled), "id", "left_semi")
     # vectors, not texts, meet the labels
     pool = saved(_measured(rows).join(known.select("id"), "id", "left_anti").select("text_view", "meta_view"))
     try:
-        return co_train(*(_matrix([found[i][v] for i in ids]) for v in (0, 1)), np.array([chosen[i] for i in ids]), pool, bounds)
-    except (ValueError, np.linalg.LinAlgError):
-        return None
+        return co_train(*(_matrix([found[i][v] for i in ids]) for v in (0, 1)), y, pool, bounds)
     finally:
         discard(pool)
 
 
+def _no_model(why: str) -> None:
+    warnings.warn(f"no quality model, every row counts as good: {why}", stacklevel=3)
+
+
 def quality_scores(
     docs: DataFrame,
     labels: DataFrame,

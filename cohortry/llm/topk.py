@@ -4,11 +4,14 @@ Candidates are dealt into blocks of a few thousand. A block keeps, for each dime
 that component. A query reads all lists downwards from the end that suits the sign of its own component, scores
 the candidates it meets, and stops when no unread candidate can reach its k-th score: the bound is the score that
 the components at the reading depth would give. Results of blocks are merged by a window over k rows a block.
+
+How much the stop saves depends on the data: much where a few components decide (see the tests), nothing on 64
+components that are all alike, where the lists stop at about a third of their depth and all candidates have been met
+at a tenth of it.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -31,8 +34,10 @@ class SortedLists:
         self.ids, self.vectors = ids[by_id], vectors[by_id]
         self.order = np.argsort(-self.vectors, axis=0, kind="stable")
         self.values = np.take_along_axis(self.vectors, self.order, axis=0)
+        #: Candidates scored by all calls of ``top``.
+        self.scored = 0
 
-    def top(self, own: int, query: np.ndarray, k: int, step: int = 512) -> list[tuple[int, int]]:
+    def top(self, own: int, query: np.ndarray, k: int, step: int = 32) -> list[tuple[int, int]]:
         """(score, id) of the k best, ties to the smaller id, ``own`` left out."""
         n = len(self.ids)
         down, up = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
@@ -47,6 +52,7 @@ class SortedLists:
             fresh &= ~seen
             new = np.flatnonzero(fresh)
             seen |= fresh
+            self.scored += len(new)
             best, best_scores = np.concatenate([best, new]), np.concatenate([best_scores, self.vectors[new] @ query])
             if len(best) > k:
                 # places are in the order of ids, so a stable sort of them gives ties to the smaller id

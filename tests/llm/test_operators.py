@@ -82,7 +82,8 @@ def test_quality_separates_held_out_documents(spark):
 
 def test_quality_without_labels_and_odd_rows(spark):
     d, y = labelled(spark, 40)
-    none = quality.quality_scores(d, y.where("false")).collect()
+    with pytest.warns(UserWarning, match="no quality model"):
+        none = quality.quality_scores(d, y.where("false")).collect()
     assert len(none) == 40 and all(r["good"] and r["score"] is None for r in none)
     d2, y2 = labelled(spark)
     odd = d2.unionByName(spark.createDataFrame([(1000 + k, t, None, None, None) for k, t in enumerate(ODD)] + [(None, "x", None, None, None)], DOC))
@@ -136,6 +137,14 @@ def rows_text(rows, i):
     return next(t for k, _, t in rows if k == i) or ""
 
 
+def test_lines_keep_clashing_columns_and_very_long_texts(spark):
+    texts = ["menu\n" + f"own {k} " * 20000 for k in range(6)] + [None]
+    df = docs(spark, texts).withColumnsRenamed({"lang": "row", "n_chars": "dropped"}).withColumns({"id": F.lit(1), "host": F.lit(2), "text_key": F.lit(3), "source": F.lit("s")})
+    got = lines.drop_boilerplate_lines(df)
+    assert got.columns == [*df.columns, "n_lines", "n_dropped"]
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == {k: t and t.split("\n", 1)[1] for k, t in enumerate(texts)}
+
+
 # 4: repeats
 
 
@@ -322,6 +331,23 @@ def test_top_k_matches_brute_force_with_ties(spark):
     assert topk.exact_top_k(df.where("false"), df.where("false")).count() == 0
 
 
+def test_the_threshold_saves_where_few_components_decide():
+    rng = np.random.default_rng(16)
+    steep = rng.standard_t(2, (4096, 8)) * 2.0 ** -np.arange(8) * 100
+    even = rng.standard_normal((4096, 64)) * 100
+    share = {}
+    for name, vectors in (("steep", steep), ("even", even)):
+        vectors = np.floor(vectors)
+        held = topk.SortedLists(np.arange(len(vectors)), vectors)
+        for q in range(0, 4096, 512):
+            scores = vectors @ vectors[q]
+            scores[q] = -np.inf
+            want = sorted(zip(-scores, range(len(scores)), strict=True))[:5]
+            assert held.top(q, vectors[q], 5) == [(-s, i) for s, i in want]
+        share[name] = held.scored / (8 * 4095)
+    assert share["steep"] < 0.5 and share["even"] > 0.99
+
+
 # 8: exact copies
 
 
