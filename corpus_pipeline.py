@@ -1,7 +1,10 @@
 """Corpus pipeline: quality, boilerplate lines, near duplicates, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the
-columns of ``documents``. Where a stage changes texts, ``n_chars`` is counted anew.
+columns of ``documents``. Where a stage changes texts, ``n_chars`` is counted anew. Null texts count as empty and are
+no near duplicates of anything; null ids are kept by all stages but near_dedup, which keeps them where their texts
+stay. Repeated rows are one group of near duplicates; ties go to the smallest id. Other columns are dropped by the
+first stage, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -33,9 +36,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A group of near duplicates, as the next stage forms them, is one page of its source: else the lines that its
     copies share would pass for boilerplate, and nothing of the text would be left. A null id is a group of its own.
     """
-    groups = neardup.near_duplicates(docs, **NEAR).groupBy(F.col("doc_id").alias("__id")).agg(F.min("component_id").alias("__page"))
-    paged = docs.join(saved(groups), docs["doc_id"].eqNullSafe(F.col("__id")), "left").drop("__id")
-    return _counted(lines.drop_boilerplate_lines(paged, page_col="__page"))
+    docs = docs.select(*COLUMNS)
+    groups = neardup.near_duplicates(docs, **NEAR).groupBy(F.col("doc_id").alias("id")).agg(F.min("component_id").alias("page"))
+    paged = docs.join(saved(groups), docs["doc_id"].eqNullSafe(F.col("id")), "left").drop("id")
+    return _counted(lines.drop_boilerplate_lines(paged, page_col="page"))
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
