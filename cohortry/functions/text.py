@@ -111,6 +111,30 @@ def parse_dims(text: Column) -> Column:
     return F.when(text.rlike(r"^\d+x\d+x\d+$"), F.transform(F.split(text, "x"), lambda x: x.cast("int")))
 
 
+def format_dims(values: Column) -> Column:
+    """Three numbers -> ``AxBxC`` with six significant digits each, no trailing zeros; null unless there are three."""
+    six = lambda v: F.format_string("%.5e", v.cast("double")).cast("decimal(38,12)").cast("string")
+    short = lambda v: F.regexp_replace(F.regexp_replace(six(v), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.when(F.size(values) == 3, F.array_join(F.transform(values, short), "x"))
+
+
+def plane_by_stem(text: Column) -> Column:
+    """The plane by the word stems of a series text, tried in this order; empty if none."""
+    low = F.lower(text)
+    return F.when(F.contains(low, F.lit("sagitt")), "sagittal").when(F.contains(low, F.lit("axial")) | F.contains(low, F.lit("transverse")), "axial").when(F.contains(low, F.lit("coron")), "coronal").otherwise("")
+
+
+def exam_contrast(classes: Column) -> Column:
+    """One class of all series of an exam, ``mixed:`` and the sorted classes, or empty without series."""
+    distinct = F.array_sort(F.array_distinct(classes))
+    return F.when(F.size(distinct) == 0, "").when(F.size(distinct) == 1, distinct[0]).otherwise(F.concat(F.lit("mixed:"), F.array_join(distinct, "|")))
+
+
+def all_within(observed: Column, reference: Column) -> Column:
+    """Whether all observed values are among the reference's; null (unknown) if either side is empty."""
+    return F.when((F.size(observed) > 0) & (F.size(reference) > 0), F.size(F.array_except(observed, reference)) == 0)
+
+
 def parse_bool(text: Column) -> Column:
     """``true``, ``1``, ``yes`` in any case are true; all else, null too, is false."""
     return F.coalesce(F.lower(F.trim(text.cast("string"))).isin("true", "1", "yes"), F.lit(False))
@@ -128,17 +152,22 @@ def infer_plane(text: Column, fallback: Column | None = None) -> Column:
     return F.coalesce(out, fallback if fallback is not None else F.lit(""))
 
 
-def contrast_class(text: Column, tr: Column, te: Column) -> Column:
-    """struct(contrast, reason): derived words, T2 words, T1 words, a long TE, short TR and TE; T1 words lose to a long TE."""
+def contrast_class(text: Column, tr: Column, te: Column, values: bool = False) -> Column:
+    """struct(contrast, reason): derived words, T2 words, T1 words, a long TE, short TR and TE; T1 words lose to a long TE.
+
+    With ``values`` the reasons name the times that decided.
+    """
     low = F.lower(text)
     word = low.rlike(T1)
     short = F.coalesce((tr <= 1200) & (te <= 30), F.lit(False))
-    reasons = F.array_join(F.array_compact(F.array(F.when(word, F.lit("t1_keyword")), F.when(short, F.lit("short_tr_te")))), ";")
+    number = lambda v: F.regexp_replace(v.cast("double").cast("string"), r"\.0$", "")
+    reasons = F.array_join(F.array_compact(F.array(F.when(word, F.lit("t1_keyword")), F.when(short, F.concat(F.lit("short_tr_te:"), number(tr), F.lit("/"), number(te))))), ";") if values else F.array_join(F.array_compact(F.array(F.when(word, F.lit("t1_keyword")), F.when(short, F.lit("short_tr_te")))), ";")
+    long_te = F.concat(F.lit("long_te:"), number(te)) if values else "long_te"
     of = lambda c, r: F.struct(F.lit(c).alias("contrast"), (r if isinstance(r, Column) else F.lit(r)).alias("reason"))
     return (
         F.when(low.rlike(DERIVED), of("derived_or_map", "derived_keyword"))
         .when(low.rlike(T2), of("t2_like", "t2_keyword"))
-        .when(te >= 50, of("t2_like", "long_te"))
+        .when(te >= 50, of("t2_like", long_te))
         .when(word | short, of("t1_like", reasons))
         .otherwise(of("unknown", "no_t1_t2_clue"))
     )

@@ -66,6 +66,61 @@ def exam_risk(phases: DataFrame, keys: list[str], curated: DataFrame) -> DataFra
     return joined.select(*keys, status.alias("risk_status"))
 
 
+def phase_consistency(phases: DataFrame, keys: list[str], rtol: float = 1e-5, atol: float = 1e-5) -> DataFrame:
+    """Per exam: ``indices``, ``n`` and whether all phases have the shape of the first, and its spacing and affine within tolerance.
+
+    ``phases``: phase_index, shape (array), spacing and affine (arrays of doubles). Null geometry is unknown and agrees.
+    """
+    listed = F.array_sort(F.collect_list(F.struct("phase_index", "shape", "spacing", "affine"))).alias("p")
+    near = lambda a, b: F.coalesce((F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y) <= atol + rtol * F.abs(y)), lambda v: v), F.lit(True))
+    first = F.col("p")[0]
+    return phases.groupBy(*keys).agg(listed, F.count(F.lit(1)).alias("n")).select(
+        *keys, F.transform("p", lambda x: x["phase_index"]).alias("indices"), "n",
+        F.forall("p", lambda x: F.coalesce(x["shape"] == first["shape"], F.lit(True))).alias("shapes_consistent"),
+        F.forall("p", lambda x: near(x["spacing"], first["spacing"])).alias("spacings_consistent"),
+        F.forall("p", lambda x: near(x["affine"], first["affine"])).alias("affines_consistent"),
+    )
+
+
+def full_exam_risk(exams: DataFrame, consistency: DataFrame, keys: list[str]) -> DataFrame:
+    """``risk_status`` by all rules. ``consistency``: of ``phase_consistency``; exams without phases have none.
+
+    ``exams``: is_anchor, exists, quarantined (booleans), n_selected, n_expected (selected series and their phases),
+    count_matches, header_matches (against the selected series; null: unknown), curated_phases, curated_view,
+    planes (array), selection_note, duplicate_notes.
+    """
+    j = exams.join(consistency, keys, "left")
+    order = F.when(F.col("indices").isNull(), "missing").otherwise(audit_contiguity(F.col("indices")))
+    wrong = order != "contiguous_from_zero"
+    note, copies = F.coalesce("selection_note", F.lit("")), F.coalesce("duplicate_notes", F.lit(""))
+    has_plan, view = F.col("n_expected") > 0, F.coalesce("curated_view", F.lit(""))
+    status = issues(
+        (F.coalesce("n_selected", F.lit(0)) == 0, "no_selected_source_series"),
+        (wrong, F.when(~F.col("exists") & F.col("quarantined"), "reconstruction_quarantined_not_active").otherwise(order)),
+        (~F.col("shapes_consistent"), "shape_mismatch_between_reconstructed_phases"), (~F.col("spacings_consistent"), "spacing_mismatch_between_reconstructed_phases"),
+        (~F.col("affines_consistent"), "affine_mismatch_between_reconstructed_phases"), (has_plan & ~F.col("count_matches"), "phase_count_mismatch_vs_selected_dicom"),
+        (has_plan & ~F.col("header_matches"), "phase_header_mismatch_vs_selected_dicom"),
+        (F.col("is_anchor") & F.col("exists") & (F.col("curated_phases") > 0) & (F.col("curated_phases") != F.coalesce("n", F.lit(0))), "anchor_phase_count_mismatch"),
+        ((view != "") & (F.size("planes") > 0) & ~F.array_contains("planes", view), F.concat(F.lit("view_mismatch_vs_curated:"), view)),
+        (note.startswith("no_family_match") | F.contains(note, F.lit("second_best_score")), "low_or_ambiguous_series_selection"),
+        (F.contains(copies, F.lit("duplicates:")), "duplicate_reconstructed_volume"), (F.contains(copies, F.lit("fingerprint_error:")), "duplicate_check_error"),
+    )
+    return j.select(*keys, status.alias("risk_status"))
+
+
+def mismatch_dates(exams: DataFrame, flags: dict[str, str], order: list[str], date: str = "exam_date", mark: str = "|") -> DataFrame:
+    """For each patient and flag ``column -> name``: dates of exams known to fail it, in the order of the rows."""
+    row = [F.col(c) for c in order]
+    dates = lambda flag: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col(flag), F.struct(*row, F.col(date).alias("__date"))))), lambda x: x["__date"]), mark)
+    return exams.groupBy("patient_id").agg(*[dates(flag).alias(name) for flag, name in flags.items()])
+
+
+def patients_with(rollup: DataFrame, **kinds: Column) -> DataFrame:
+    """``kind``, ``n``: how many patients of a rollup each condition holds for."""
+    counts = rollup.agg(*[F.count_if(c).alias(k) for k, c in kinds.items()])
+    return counts.unpivot([], list(kinds), "kind", "n")
+
+
 def reference_exam(exams: DataFrame, anchor: str = "is_anchor", date: str = "exam_date", order: str = "exam") -> DataFrame:
     """Each exam with its patient's reference: the first anchor, else the earliest date (unknown ones last)."""
     best = Window.partitionBy("patient_id").orderBy(F.desc(anchor), F.asc_nulls_last(date), order)

@@ -49,6 +49,81 @@ def scored(candidates: DataFrame, terms: list[tuple[Column, float | Column, str]
     return candidates.withColumn("score", points).withColumn("reasons", F.array_join(names, ";"))
 
 
+#: Points of a candidate series against the anchor, by factor; of a factor the first that holds counts.
+CANDIDATE_POINTS = {
+    "exact_normalized_name": 6.0, "same_sequence_family": 4.0,
+    "same_orientation": 4.0, "different_orientation": -4.0,
+    "same_num_files": 4.0, "very_close_num_files": 3.0, "close_num_files": 1.5, "far_num_files": -2.0,
+    "has_180_files": 0.5,
+    "same_num_phases": 3.5, "close_num_phases": 1.0, "different_num_phases": -1.5,
+    "same_matrix": 2.0, "close_matrix": 0.5, "different_matrix": -1.0,
+    "same_spacing": 2.0, "close_spacing": 0.5, "different_spacing": -1.0,
+}
+#: Points of the audit's score.
+AUDIT_POINTS = {
+    "same_family_key": 1.0, "anchor_uid": 2.0, "same_plane": 0.7, "different_plane": -1.0, "same_num_images": 0.6, "close_num_images": 0.3, "far_num_images": -0.3,
+    "same_matrix": 0.5, "different_matrix": -0.2, "same_spacing": 0.5, "different_spacing": 0.0,
+}
+#: Points of the rules by which a mask source was found.
+RULE_POINTS = {"voi_pair": 3, "paired_segmentation": 2, "analysis_mask": 2, "segmentation_pair_fallback": 1}
+
+
+def _factor(points: dict[str, float], *rules: tuple[Column, str]) -> Column:
+    """struct(points, reason) of the first rule that holds; nulls if none does."""
+    out = None
+    for rule, name in rules:
+        value = F.struct(F.lit(float(points[name])).alias("points"), F.lit(name).alias("reason"))
+        out = F.when(rule, value) if out is None else out.when(rule, value)
+    return out
+
+
+def _summed(factors: list[Column]) -> tuple[Column, Column]:
+    held = F.array_compact(F.array(*factors))
+    return F.aggregate(held, F.lit(0.0), lambda s, f: s + f["points"]), F.array_join(F.transform(held, lambda f: f["reason"]), ";")
+
+
+def candidate_score(candidates: DataFrame) -> DataFrame:
+    """``score`` and ``reasons`` of candidates by all factors; what is null on either side gives no points.
+
+    Columns, each also as ``anchor_...``: name, family, orientation, files, phases, rows, cols, spacing (array of two).
+    """
+    c = lambda name: (F.col(name), F.col(f"anchor_{name}"))
+    (name, a_name), (family, a_family), (plane, a_plane), (phases, a_phases) = c("name"), c("family"), c("orientation"), c("phases")
+    files = F.abs(F.col("files") - F.col("anchor_files"))
+    rows, cols = (F.abs(F.col(x) - F.col(f"anchor_{x}")) for x in ("rows", "cols"))
+    apart = F.abs(F.col("spacing")[0] - F.col("anchor_spacing")[0]) + F.abs(F.col("spacing")[1] - F.col("anchor_spacing")[1])
+    score, reasons = _summed([
+        _factor(CANDIDATE_POINTS, (name == a_name, "exact_normalized_name"), (family == a_family, "same_sequence_family")),
+        _factor(CANDIDATE_POINTS, (plane == a_plane, "same_orientation"), (plane != a_plane, "different_orientation")),
+        _factor(CANDIDATE_POINTS, (files == 0, "same_num_files"), (files <= 5, "very_close_num_files"), (files <= 20, "close_num_files"), (files >= 80, "far_num_files")),
+        _factor(CANDIDATE_POINTS, (files.isNotNull() & (F.col("files") == 180), "has_180_files")),
+        _factor(CANDIDATE_POINTS, (phases == a_phases, "same_num_phases"), (F.abs(phases - a_phases) == 1, "close_num_phases"), (phases != a_phases, "different_num_phases")),
+        _factor(CANDIDATE_POINTS, ((rows == 0) & (cols == 0), "same_matrix"), ((rows <= 16) & (cols <= 16), "close_matrix"), (rows.isNotNull() & cols.isNotNull(), "different_matrix")),
+        _factor(CANDIDATE_POINTS, (apart < 1e-4, "same_spacing"), (apart < 0.2, "close_spacing"), (apart.isNotNull(), "different_spacing")),
+    ])
+    return candidates.withColumns({"score": score, "reasons": reasons})
+
+
+def audit_score(candidates: DataFrame) -> DataFrame:
+    """``audit_score`` and ``audit_reasons`` of each series against the anchor.
+
+    Columns, each also as ``anchor_...``: uid, key, tokens, plane, images, shape, spacing; empty planes are unknown.
+    """
+    c = lambda name: (F.col(name), F.col(f"anchor_{name}"))
+    (uid, a_uid), (key, a_key), (tokens, a_tokens), (plane, a_plane), (shape, a_shape), (spacing, a_spacing) = map(c, ("uid", "key", "tokens", "plane", "shape", "spacing"))
+    images, known = F.abs(F.col("images") - F.col("anchor_images")), (plane != "") & (a_plane != "")
+    likeness = family_similarity(a_tokens, tokens)
+    similar = F.when(likeness > 0, F.struct(likeness.cast("double").alias("points"), F.concat(F.lit("token_similarity:"), F.format_number(likeness, 3)).alias("reason")))
+    score, reasons = _summed([
+        _factor(AUDIT_POINTS, (key == a_key, "same_family_key")), similar, _factor(AUDIT_POINTS, (uid == a_uid, "anchor_uid")),
+        _factor(AUDIT_POINTS, (known & (plane == a_plane), "same_plane"), (known & (plane != a_plane), "different_plane")),
+        _factor(AUDIT_POINTS, (images == 0, "same_num_images"), (images <= 10, "close_num_images"), (images >= 80, "far_num_images")),
+        _factor(AUDIT_POINTS, (shape == a_shape, "same_matrix"), (shape != a_shape, "different_matrix")),
+        _factor(AUDIT_POINTS, (spacing == a_spacing, "same_spacing"), (spacing != a_spacing, "different_spacing")),
+    ])
+    return candidates.withColumns({"audit_score": F.round(score, 9), "audit_reasons": reasons})
+
+
 def pick_scored(candidates: DataFrame, exam: list[str], order: str, least: float = 4.0, lead: float = 1.0) -> DataFrame:
     """Every candidate with its ``rank``, and the exam's ``verdict``: low, ambiguous or selected."""
     w = Window.partitionBy(*exam).orderBy(F.desc("score"), order)
@@ -59,6 +134,14 @@ def pick_scored(candidates: DataFrame, exam: list[str], order: str, least: float
     return ranked.withColumn("verdict", verdict).withColumn("selected", (F.col("rank") == 1) & (verdict == "selected"))
 
 
+def rule_score(rule: Column) -> Column:
+    """Points of a mask source's rule; null for an unknown one."""
+    out = None
+    for name, points in RULE_POINTS.items():
+        out = F.when(rule == name, points) if out is None else out.when(rule == name, points)
+    return out
+
+
 def unique_best(candidates: DataFrame, keys: list[str], score: str = "rule_score") -> DataFrame:
     """Per key: the best rule score, how many reach it, and whether that is one."""
     top = F.max(score).over(Window.partitionBy(*keys))

@@ -84,6 +84,31 @@ def visual_status(fov: Column, spacing: Column, score: Column, projection: Colum
     return issues((fov > limits[0], "fov_difference"), (spacing > limits[1], "spacing_difference"), (low, "low_visual_similarity"))
 
 
+def visual_review(
+    is_reference: Column, load_error: Column, reference_error: Column, header_view_matches: Column,
+    fov: Column, spacing: Column, score: Column, projection: Column, volume: Column, limits: tuple = (0.35, 0.75, 0.25, 0.20, 0.05),
+) -> Column:
+    """struct(status, reason): ``reference_exam``, ``ok`` or ``review_recommended`` with all issues; NaN counts as unknown."""
+    fov, spacing, score, projection, volume = (F.nanvl(c, F.lit(None).cast("double")) for c in (fov, spacing, score, projection, volume))
+    low = (score < limits[2]) & F.coalesce(projection < limits[3], F.lit(True)) & F.coalesce(volume < limits[4], F.lit(True))
+    found = issues(
+        (load_error, "volume_load_error"), (reference_error, "reference_load_error"), (~header_view_matches, "nifti_header_view_mismatch"),
+        (fov > limits[0], "fov_difference"), (spacing > limits[1], "spacing_difference"), (low, "low_visual_similarity"), none="",
+    )
+    of = lambda s, r: F.struct((F.lit(s) if isinstance(s, str) else s).alias("status"), (F.lit(r) if isinstance(r, str) else r).alias("reason"))
+    return F.when(is_reference, of("reference_exam", "")).otherwise(of(F.when(found == "", "ok").otherwise("review_recommended"), found))
+
+
+def view_contrast_status(series: Column, header_view: Column, view_anchor: Column, view_curated: Column, contrast: Column, contrast_anchor: Column) -> Column:
+    """All issues of an exam's views and contrast: ``series`` is their number, ``contrast`` of ``text.exam_contrast``, the rest
+    are verdicts (null: unknown)."""
+    return issues(
+        (F.coalesce(series, F.lit(0)) == 0, "no_selected_source_series"), (~header_view, "nifti_header_view_mismatch_vs_anchor"), (~view_anchor, "view_mismatch_vs_anchor"),
+        (~view_curated, "view_mismatch_vs_curated"), (F.contains(contrast, F.lit("unknown")), "contrast_unknown"), (contrast.startswith("mixed:"), "mixed_contrast_selected_series"),
+        (~contrast_anchor, "contrast_mismatch_vs_anchor"),
+    )
+
+
 def role_filter(rows: DataFrame, role: str, anchor: str = "is_anchor") -> DataFrame:
     """``all``, ``anchor`` or ``extra`` exams."""
     return rows if role == "all" else rows.where(F.col(anchor) if role == "anchor" else ~F.col(anchor))

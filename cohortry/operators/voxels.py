@@ -52,17 +52,38 @@ def _spread(a: Column) -> Column:
     return _sum(F.transform(a, lambda v: v * v)) - _sum(a) * _sum(a) / F.size(a)
 
 
+def _both_finite(a: Column, b: Column) -> tuple[Column, Column]:
+    """Both volumes at the places where both are finite."""
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    both = F.filter(F.arrays_zip(a.alias("a"), b.alias("b")), lambda p: finite(p["a"]) & finite(p["b"]))
+    return F.transform(both, lambda p: p["a"]), F.transform(both, lambda p: p["b"])
+
+
 def correlation(a: Column, b: Column, least: int = 16) -> Column:
-    """Pearson correlation; null under ``least`` points, with unequal lengths, or with a constant side."""
+    """Pearson correlation of the places where both are finite; null under ``least`` of them, with unequal lengths, or with
+    a constant side."""
+    same = F.size(a) == F.size(b)
+    a, b = _both_finite(a, b)
+    return F.when(same, _correlation(a, b, least))
+
+
+def _correlation(a: Column, b: Column, least: int) -> Column:
     parts = F.struct(_spread(a).alias("a"), _spread(b).alias("b"), (_sum(F.zip_with(a, b, lambda x, y: x * y)) - _sum(a) * _sum(b) / F.size(a)).alias("ab"))
     value = lambda p: F.when((p["a"] > 1e-12) & (p["b"] > 1e-12), p["ab"] / F.sqrt(p["a"] * p["b"]))
-    return F.when((F.size(a) == F.size(b)) & (F.size(a) >= least), F.transform(F.array(parts), value)[0])
+    return F.when(F.size(a) >= least, F.transform(F.array(parts), value)[0])
 
 
 def nrmse(a: Column, b: Column) -> Column:
-    """Root mean squared difference of the z-scored volumes, from their correlation; a constant one is all zeros."""
-    moving = (_spread(a) > 1e-12).cast("int") + (_spread(b) > 1e-12).cast("int")
-    return F.sqrt(F.greatest(F.lit(0.0), moving - 2 * F.coalesce(correlation(a, b, 1), F.lit(0.0))))
+    """Root mean squared difference of the z-scored volumes where both are finite, from their correlation; null if one
+    is constant there."""
+    return F.transform(F.array(correlation(a, b, 1)), lambda r: F.when(r < 1, F.sqrt(2 - 2 * r)).when(r >= 1, 0.0))[0]
+
+
+def with_percentile_bounds(voxels: DataFrame, keys: list[str], value: str = "v", low: float = 1.0, high: float = 99.0) -> DataFrame:
+    """Long voxels with ``low`` and ``high``, the percentiles of each volume's finite values, for ``rescale``."""
+    finite = voxels.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(F.col(value)) < float("inf")))
+    ends = finite.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(low / 100), F.lit(high / 100))).alias("ends"))
+    return voxels.join(ends.select(*keys, F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high")), keys, "left")
 
 
 def max_projections(voxels: DataFrame) -> DataFrame:
@@ -76,17 +97,24 @@ def fingerprint(shape: Column, dtype: Column, data: Column) -> Column:
     return F.sha1(F.concat(F.array_join(shape.cast("array<string>"), "x").cast("binary"), F.lit("|").cast("binary"), dtype.cast("binary"), F.lit("|").cast("binary"), data))
 
 
-def mutual_information(pairs: DataFrame, key: str, bins: int = 48) -> DataFrame:
-    """(H(a) + H(b)) / H(a, b) - 1 ... as ``nmi`` in [0, 1] of long pairs (key, a, b) scaled to [0, 1]."""
-    place = lambda c: F.least(F.lit(bins - 1), F.floor(F.col(c) * bins).cast("int"))
-    cells = pairs.groupBy(key, place("a").alias("i"), place("b").alias("j")).agg(F.count(F.lit(1)).alias("n"))
+def mutual_information(pairs: DataFrame, key: str, bins: int = 48, least: int = 32) -> DataFrame:
+    """2 I(a, b) / (H(a) + H(b)) as ``nmi`` in [0, 1] of long pairs (key, a, b), clipped to [0, 1].
+
+    Pairs that are not finite on both sides are left out; null under ``least`` pairs, and where both sides are constant.
+    """
+    fine = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    place = lambda c: F.least(F.lit(bins - 1), F.floor(F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(1.0)) * bins).cast("int"))
+    keys = pairs.select(key).distinct()
+    cells = pairs.where(fine("a") & fine("b")).groupBy(key, place("a").alias("i"), place("b").alias("j")).agg(F.count(F.lit(1)).alias("n"))
 
     def entropy(by: list[str], name: str) -> DataFrame:
         sums = cells.groupBy(key, *by).agg(F.sum("n").alias("n"))
-        return sums.groupBy(key).agg((F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias(name))
+        return sums.groupBy(key).agg((F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias(name), F.sum("n").alias(f"n_{name}"))
 
     joined = entropy(["i"], "ha").join(entropy(["j"], "hb"), key).join(entropy(["i", "j"], "hab"), key)
-    return joined.select(key, F.when(F.col("hab") > 1e-12, (F.col("ha") + F.col("hb") - F.col("hab")) * 2 / (F.col("ha") + F.col("hb"))).alias("nmi"))
+    shared = (F.col("ha") + F.col("hb") - F.col("hab")) * 2 / (F.col("ha") + F.col("hb"))
+    found = joined.select(key, F.when((F.col("n_ha") >= least) & (F.col("ha") + F.col("hb") > 1e-8), shared).alias("nmi"))
+    return keys.join(found, key, "left")
 
 
 _ROBUST = "low double, median double, high double, foreground double, cx double, cy double, cz double, ex double, ey double, ez double"
