@@ -133,26 +133,27 @@ SELECT ha.volume_id, round(CASE WHEN hab.h > 1e-12 THEN (ha.h + hb.h - hab.h) *
 
 
 def geometry_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 16 values as an affine: spacing, plane, millilitres, field of view; fingerprints; sampled slices."""
-    p = _pairs(spark, sf_dir)
-    a, b = F.slice("voxels", 1, 16), F.slice("other", 1, 16)
+    """Each 16 values as an affine: spacing, plane, millilitres, field of view; fingerprints; sampled slices."""
+    p = _pairs(spark, sf_dir).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    a, b = (F.slice(c, F.col("part") * 16 + 1, 16) for c in ("voxels", "other"))
     spacing, other = geometry.voxel_spacing(a), geometry.voxel_spacing(b)
-    normal = geometry.slice_normal(F.slice("voxels", 1, 6))
+    normal = geometry.slice_normal(F.slice(a, 1, 6))
     shape = F.array(F.lit(4), F.lit(5), F.lit(6))
     listed = lambda c: F.array_join(F.transform(c, lambda v: F.format_string("%.4f", v)), ",")
     return p.select(
-        "volume_id", listed(spacing).alias("spacing"), listed(geometry.field_of_view(shape, spacing)).alias("fov"), geometry.main_plane(normal).alias("plane"),
+        "volume_id", "part", listed(spacing).alias("spacing"), listed(geometry.field_of_view(shape, spacing)).alias("fov"), geometry.main_plane(normal).alias("plane"),
         geometry.main_plane(geometry.affine_column(a, 2)).alias("view"), r6(geometry.voxel_ml(a) * 1000, 5).alias("mm3"), r6(geometry.max_relative_difference(spacing, other), 4).alias("spacing_diff"),
         r6(geometry.distance(spacing, other)).alias("distance"), F.array_join(geometry.sampled_slices((F.col("volume_id") % 40).cast("int") + 1, 16).cast("array<string>"), ",").alias("slices"),
         voxels.fingerprint(shape, F.lit("float32"), F.col("volume_id").cast("string").cast("binary")).alias("print"),
     )
 
 
-GEOMETRY_SQL = f"""WITH {VOLUMES_SQL}, {PAIRS_SQL}, g AS (SELECT volume_id, a, b,
+GEOMETRY_SQL = f"""WITH {VOLUMES_SQL}, {PAIRS_SQL}, affines AS (SELECT volume_id, k::INTEGER AS part, a[k * 16 + 1:k * 16 + 16] AS a, b[k * 16 + 1:k * 16 + 16] AS b FROM pairs, range(4) AS r(k)),
+g AS (SELECT volume_id, part, a, b,
   [sqrt(a[1]*a[1]+a[5]*a[5]+a[9]*a[9]), sqrt(a[2]*a[2]+a[6]*a[6]+a[10]*a[10]), sqrt(a[3]*a[3]+a[7]*a[7]+a[11]*a[11])] AS s,
   [sqrt(b[1]*b[1]+b[5]*b[5]+b[9]*b[9]), sqrt(b[2]*b[2]+b[6]*b[6]+b[10]*b[10]), sqrt(b[3]*b[3]+b[7]*b[7]+b[11]*b[11])] AS t,
-  [abs(a[2]*a[6]-a[3]*a[5]), abs(a[3]*a[4]-a[1]*a[6]), abs(a[1]*a[5]-a[2]*a[4])] AS n, [abs(a[3]), abs(a[7]), abs(a[11])] AS w, volume_id % 40 + 1 AS z FROM pairs)
-SELECT volume_id, printf('%.4f,%.4f,%.4f', s[1], s[2], s[3]) AS spacing, printf('%.4f,%.4f,%.4f', 4*s[1], 5*s[2], 6*s[3]) AS fov,
+  [abs(a[2]*a[6]-a[3]*a[5]), abs(a[3]*a[4]-a[1]*a[6]), abs(a[1]*a[5]-a[2]*a[4])] AS n, [abs(a[3]), abs(a[7]), abs(a[11])] AS w, volume_id % 40 + 1 AS z FROM affines)
+SELECT volume_id, part, printf('%.4f,%.4f,%.4f', s[1], s[2], s[3]) AS spacing, printf('%.4f,%.4f,%.4f', 4*s[1], 5*s[2], 6*s[3]) AS fov,
   ['sagittal','coronal','axial'][list_position(n, list_max(n))] AS plane, ['sagittal','coronal','axial'][list_position(w, list_max(w))] AS view,
   round(abs(a[1]*(a[6]*a[11]-a[7]*a[10]) - a[2]*(a[5]*a[11]-a[7]*a[9]) + a[3]*(a[5]*a[10]-a[6]*a[9])), 5) AS mm3,
   round(greatest(abs(s[1]-t[1])/greatest(t[1],1e-6), abs(s[2]-t[2])/greatest(t[2],1e-6), abs(s[3]-t[3])/greatest(t[3],1e-6)), 4) AS spacing_diff,
@@ -175,11 +176,11 @@ def embedding_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three models' vectors of a patient, concatenated in the order asked for; patients without all are left out."""
     e = table(spark, sf_dir, "embeddings")
     long = e.select((F.floor(F.col("vec_id") / 4)).alias("patient_id"), F.concat(F.lit("m"), (F.col("vec_id") % 4).cast("string")).alias("model_key"), F.transform("embedding", lambda x: F.round(x.cast("double"), 4)).alias("embedding"))
-    fused = features.fuse_embeddings(long.where(F.col("patient_id") % 5 != 0), ["m2", "m0", "m3"])
+    fused = features.fuse_embeddings(long.where((F.col("patient_id") % 5 != 0) | (F.col("model_key") != "m3")), ["m2", "m0", "m3"])
     return fused.select("patient_id", F.size("embedding").alias("width"), r6(F.col("embedding")[0]).alias("first"), r6(F.col("embedding")[64]).alias("second"), r6(F.col("embedding")[191]).alias("last"))
 
 
-FUSE_SQL = f"""WITH {VOLUMES_SQL}, l AS (SELECT volume_id // 4 AS patient_id, volume_id % 4 AS m, v FROM volumes WHERE (volume_id // 4) % 5 <> 0)
+FUSE_SQL = f"""WITH {VOLUMES_SQL}, l AS (SELECT volume_id // 4 AS patient_id, volume_id % 4 AS m, v FROM volumes WHERE (volume_id // 4) % 5 <> 0 OR volume_id % 4 <> 3)
 SELECT a.patient_id, 192 AS width, round(a.v[1], 6) AS first, round(b.v[1], 6) AS second, round(c.v[64], 6) AS last FROM l a JOIN l b ON a.patient_id = b.patient_id AND b.m = 0 JOIN l c ON a.patient_id = c.patient_id AND c.m = 3 WHERE a.m = 2"""
 
 
@@ -202,7 +203,7 @@ def encode_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
         return lambda batch: batch @ weights
 
     v = _volumes(spark, sf_dir)
-    slices = v.select("volume_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.slice("voxels", k * 4 + 1, F.when(F.col("volume_id") % 50 == 0, 15).otherwise(16)))).alias("z", "slice"))
+    slices = v.select("volume_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.slice("voxels", k * 16 + 1, F.when(F.col("volume_id") % 50 == 0, 15).otherwise(16)))).alias("z", "slice"))
     return voxels.encode_slices(slices, make_encoder, ["volume_id", "z"])
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,8 +92,8 @@ def _probe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def probe_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored test rows of a probe on the embeddings, C from three values."""
-    return probe.run_probe(_probe_rows(spark, sf_dir), grid=[0.01, 0.1, 1.0])[0]
+    """Scored test rows of a probe on the embeddings, C from the whole grid."""
+    return probe.run_probe(_probe_rows(spark, sf_dir))[0]
 
 
 def leave_one_cohort_out(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,15 +101,20 @@ def leave_one_cohort_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files and bytes of the data folder by table."""
-    files = tables.list_files(spark, sf_dir, "*.parquet")
-    name = F.regexp_extract("path", r"/([a-z]+)\.parquet", 1)
-    return files.groupBy(name.alias("table")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+    """Files, bytes and rows of every table."""
+    names = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+    rows = [table(spark, sf_dir, n).select(F.lit(n).alias("table"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length")) for n in names]
+    files = reduce(DataFrame.unionByName, rows).groupBy("table", "path").agg(F.max("length").alias("length"), F.count(F.lit(1)).alias("rows"))
+    return files.groupBy("table").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.sum("rows").alias("rows"))
 
 
 def resume_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events through a stream that appends what is new, started twice; and the job's accounts."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/spark-resume-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-resume-")
     out = f"{root.rstrip('/')}/resume-{uuid.uuid4().hex}"
     events = table(spark, sf_dir, "events")
     source = f"{sf_dir}/events.parquet*"

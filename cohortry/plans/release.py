@@ -95,7 +95,7 @@ PHASE_STATUS_SQL = f"""{PHASES_SQL}, s AS (
 
 def flagged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exams with a priority issue, by status as the case."""
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0")
+    orders = table(spark, sf_dir, "orders").where("o_orderpriority like '1%'")
     return orders.select(
         F.col("o_custkey").alias("patient_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("exam_date"),
         F.col("o_orderstatus").alias("case"), F.expr("case when o_orderkey % 2 = 0 then o_orderpriority else ' ' end").alias("issue"),
@@ -104,7 +104,7 @@ def flagged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FLAGGED_SQL = """flagged AS (
   SELECT o_custkey AS patient_id, strftime(o_orderdate, '%Y-%m-%d') AS exam_date, o_orderstatus AS "case", CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE ' ' END AS issue
-  FROM orders WHERE o_orderkey % 7 = 0
+  FROM orders WHERE o_orderpriority LIKE '1%'
 ), quarantine AS (
   SELECT patient_id, coalesce(string_agg(DISTINCT nullif(trim("case"), ''), ';' ORDER BY nullif(trim("case"), '')), '') AS quarantine_cases,
          string_agg(DISTINCT exam_date, ';' ORDER BY exam_date) AS flagged_dates,
