@@ -78,10 +78,11 @@ def same(left: DataFrame, right: DataFrame, *columns: str) -> Column:
 def heavy_keys(groups: DataFrame, keys: list[str], size: str) -> DataFrame | None:
     """Keys of ``groups`` (one row a key; a saved table, or a small one) that hold over ``HEAVY_PART`` of all rows, as ``size`` counts
     them. Their number is below ``1 / HEAVY_PART`` by this definition. None if there are none."""
-    total = groups.agg(F.sum(size)).first()[0] or 0
-    found = groups.where(F.col(size) > max(total * HEAVY_PART, HEAVY_ROWS)).select(*keys).collect()
-    if not found:
+    total, largest = groups.agg(F.sum(size), F.max(size)).first()
+    least = max((total or 0) * HEAVY_PART, HEAVY_ROWS)
+    if (largest or 0) <= least:
         return None
+    found = groups.where(F.col(size) > least).select(*keys).collect()
     types = {f.name: f.dataType for f in groups.select(*keys).schema}
     rows = F.array(*[F.struct(*[F.lit(r[k]).cast(types[k]).alias(k) for k in keys], F.lit(True).alias("__heavy")) for r in found])
     return groups.sparkSession.range(0, 1, 1, 1).select(F.inline(rows))
