@@ -199,13 +199,14 @@ def near_duplicates(
     """
     rows_ = saved(sketches(docs, id_col, text_col, size, bands, rows))
     full = rows_.where("set_key is not null")
-    placed = full.groupBy("set_key").agg(F.first("n").alias("n"), F.first("buckets").alias("buckets"))
+    lowest_id = F.min(F.struct(F.col("id").isNull().alias("none"), "id"))["id"].alias("first_id")
+    placed = full.groupBy("set_key").agg(lowest_id, F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("buckets").alias("buckets"))
+    placed = saved(placed)
+    firsts = placed.select("set_key", "first_id", "copies")
     places = placed.select("set_key", "n", F.posexplode("buckets").alias("band", "bucket"))
     crowded = saved(places.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1"))
     heavy = heavy_keys(crowded, ["bucket"], "classes")
     found = saved(spread_join(places, crowded.select("bucket"), ["bucket"], heavy, ["set_key"]))
-    lowest_id = F.min(F.struct(F.col("id").isNull().alias("none"), "id"))["id"].alias("first_id")
-    firsts = saved(full.groupBy("set_key").agg(lowest_id, F.count(F.lit(1)).alias("copies")))
     classes = numbered(found.select("set_key").distinct(), "set_key", name="class")
     met = saved(found.join(classes, "set_key").select("class", "n", "band", "bucket"))
     discard(crowded, found)
