@@ -1,22 +1,33 @@
 """Stratified paired bootstrap: one table of draws for all runs, weighted metrics, intervals and paired deltas.
 
-A draw is a hash of (seed, replicate, stratum, slot), so every engine and every rerun draws alike. Draws become
-multiplicities per subject before any run is looked at; a run's replicate is then a weighted aggregate.
+A draw is a hash of (seed, replicate, stratum, slot), so every engine and every rerun draws alike. Draws are packed
+into one list per subject and block of replicates before any run is looked at. The lists are dealt by block, next to
+the subject's predictions of all runs; only then, within a partition, do runs meet draws. So what is shuffled grows
+with subjects x replicates, not with runs x subjects x replicates. A run's scores are swept from the highest down,
+for all replicates of a block at once; the sort spills, and the sweep holds one batch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import metrics
 from .ranking import md5_number, numbered_within, seeded
 
 VALUES = ["auroc", "average_precision", "balanced_accuracy"]
+#: Replicates that are swept together.
+BLOCK = 50
 
 
-def draw_weights(subjects: DataFrame, replicates: int, seed: int, strata: tuple[str, ...] = ("dataset", "label"), subject: str = "patient_id") -> DataFrame:
-    """``replicate``, ``subject``, ``weight``: how often each subject is drawn; weights of a stratum sum to its size.
+def _draws(subjects: DataFrame, replicates: int, seed: int, strata: tuple[str, ...], subject: str) -> tuple[DataFrame, DataFrame]:
+    """The slot of each subject in its stratum, and the drawn slots: ``strata``, ``replicate``, ``slot``.
 
     ``subjects`` has one row a subject. Positions within a stratum follow a hash of the subject, then the subject.
     """
@@ -26,15 +37,115 @@ def draw_weights(subjects: DataFrame, replicates: int, seed: int, strata: tuple[
     slots = ranked.select(*strata, "slot").join(size, list(strata)).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     text = F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), *[F.col(s).cast("string") for s in strata], F.col("slot").cast("string"))
     drawn = slots.withColumn("text", text).select(*strata, "replicate", (md5_number(F.col("text")) % F.col("size")).cast("int").alias("slot"))
+    return ranked, drawn
+
+
+def draw_weights(subjects: DataFrame, replicates: int, seed: int, strata: tuple[str, ...] = ("dataset", "label"), subject: str = "patient_id") -> DataFrame:
+    """``replicate``, ``subject``, ``weight``: how often each subject is drawn; weights of a stratum sum to its size."""
+    ranked, drawn = _draws(subjects, replicates, seed, strata, subject)
     counted = drawn.groupBy(*strata, "replicate", "slot").agg(F.count(F.lit(1)).alias("weight"))
     return counted.join(ranked, [*strata, "slot"]).select("replicate", subject, "weight")
 
 
-def replicate_metrics(preds: DataFrame, weights: DataFrame, keys: list[str], threshold: float | str = 0.5, subject: str = "patient_id") -> DataFrame:
-    """Ranking metrics and balanced accuracy of each key and replicate."""
-    weighted = preds.join(weights, subject)
-    own = [*keys, "replicate"]
-    return metrics.all_metrics(weighted, own, threshold).select(*own, *VALUES)
+def draw_blocks(
+    subjects: DataFrame, replicates: int, seed: int, strata: tuple[str, ...] = ("dataset", "label"), subject: str = "patient_id", size: int = BLOCK
+) -> DataFrame:
+    """The draws of ``draw_weights`` packed: ``subject``, ``block`` of ``size`` replicates, ``hits`` (the block's
+    replicates that drew the subject, as numbers from 0, once for each draw)."""
+    ranked, drawn = _draws(subjects, replicates, seed, strata, subject)
+    block = F.floor(F.col("replicate") / size).cast("int").alias("block")
+    hits = F.collect_list((F.col("replicate") % size).cast("short")).alias("hits")
+    return drawn.groupBy(*strata, "slot", block).agg(hits).join(ranked, [*strata, "slot"]).select(subject, "block", "hits")
+
+
+class _Sweep:
+    """Sums of one run and block of replicates, over scores that come in falling order."""
+
+    def __init__(self, size: int) -> None:
+        self.pos, self.neg, self.area, self.steps, self.tp, self.tn = np.zeros((6, size))
+        self.score, self.waiting = None, np.zeros((2, 1, size))
+
+    def fold(self, pos: np.ndarray, neg: np.ndarray) -> None:
+        """Distinct scores, one a row."""
+        above, below = pos.cumsum(axis=0) + self.pos, neg.cumsum(axis=0) + self.neg
+        self.area += (neg * (above - pos / 2)).sum(axis=0)
+        self.steps += (pos * above / np.maximum(above + below, 1)).sum(axis=0)
+        self.pos, self.neg = above[-1], below[-1]
+
+    def add(self, scores: np.ndarray, labels: np.ndarray, predicted: np.ndarray, weights: np.ndarray) -> None:
+        """Rows of predictions. The lowest score waits, as the next rows may have it too."""
+        pos, neg = weights * (labels == 1)[:, None], weights * (labels == 0)[:, None]
+        self.tp += pos[predicted == 1].sum(axis=0)
+        self.tn += neg[predicted == 0].sum(axis=0)
+        starts = np.flatnonzero(np.r_[True, scores[1:] != scores[:-1]])
+        pos, neg = np.add.reduceat(pos, starts, axis=0), np.add.reduceat(neg, starts, axis=0)
+        if self.score == scores[0]:
+            pos[0] += self.waiting[0][0]
+            neg[0] += self.waiting[1][0]
+        else:
+            self.fold(*self.waiting)
+        if len(starts) > 1:
+            self.fold(pos[:-1], neg[:-1])
+        self.score, self.waiting = scores[-1], (pos[-1:], neg[-1:])
+
+    def values(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which replicates drew anything, and their metrics; NaN stands for none."""
+        self.fold(*self.waiting)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            recall, specificity = self.tp / self.pos, self.tn / self.neg
+            both = np.where(self.pos == 0, specificity, np.where(self.neg == 0, recall, (recall + specificity) / 2))
+            found = np.stack([self.area / (self.pos * self.neg), np.where(self.neg == 0, np.nan, self.steps / self.pos), both])
+        there = np.flatnonzero(self.pos + self.neg)
+        return there, found[:, there]
+
+
+def replicate_metrics(
+    preds: DataFrame, draws: DataFrame, keys: list[str], threshold: float | str = 0.5, subject: str = "patient_id", size: int = BLOCK
+) -> DataFrame:
+    """Ranking metrics and balanced accuracy of each key and replicate; ``draws`` as ``draw_blocks`` makes them with ``size``.
+
+    A subject has few rows in ``preds``: one a run and key. Ranking metrics are null where a class was not drawn;
+    replicates that drew no row of a key are left out.
+    """
+    cut = F.col(threshold) if isinstance(threshold, str) else F.lit(threshold)
+    row = F.struct(*[F.col(k).alias(f"k{n}") for n, k in enumerate(keys)], F.col("prob").cast("double").alias("score"), F.col("label").cast("int").alias("label"), metrics.predicted_label(F.col("prob"), cut).alias("predicted"))
+    rows = preds.groupBy(subject).agg(F.collect_list(row).alias("rows"))
+    dealt = draws.join(rows, subject).select("block", "hits", "rows").repartition("block")
+    names = [f"k{n}" for n in range(len(keys))]
+    met = dealt.select("block", "hits", F.inline("rows")).sortWithinPartitions("block", *names, F.desc("score"))
+    schema = T.StructType([*(T.StructField(n, preds.schema[k].dataType) for n, k in zip(names, keys, strict=True)), T.StructField("replicate", T.IntegerType()), *(T.StructField(v, T.DoubleType()) for v in VALUES)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, _Sweep(size)
+
+        def ended() -> pa.RecordBatch:
+            there, found = sums.values()
+            own = [pa.repeat(k, len(there)) for k in now[1:]]
+            values = [pa.array(v, pa.float64(), from_pandas=True) for v in found]
+            return pa.RecordBatch.from_arrays([*own, pa.array(there + now[0].as_py() * size, pa.int32()), *values], names=[f.name for f in schema])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("hits")
+            which = pc.list_parent_indices(lists).to_numpy().astype(np.int64) * size + pc.list_flatten(lists).to_numpy()
+            weights = np.bincount(which, minlength=batch.num_rows * size).reshape(-1, size).astype(float)
+            scores, labels, predicted = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("score", "label", "predicted"))
+            scores = np.where(np.isnan(scores), -np.inf, scores)
+            columns = [batch.column(c) for c in ("block", *names)]
+            codes = np.stack([pc.fill_null(c.dictionary_encode().indices, -1).to_numpy() for c in columns])
+            starts = [0, *(np.flatnonzero((codes[:, 1:] != codes[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for first, end in zip(starts[:-1], starts[1:], strict=True):
+                key = [c[first] for c in columns]
+                if now is not None and key != now:
+                    yield ended()
+                    sums = _Sweep(size)
+                now = key
+                sums.add(scores[first:end], labels[first:end], predicted[first:end], weights[first:end])
+        if now is not None:
+            yield ended()
+
+    return met.mapInArrow(run, schema).toDF(*keys, "replicate", *VALUES)
 
 
 def long_metrics(wide: DataFrame, keys: list[str]) -> DataFrame:
@@ -55,8 +166,9 @@ def paired_deltas(replicates: DataFrame, points: DataFrame, baseline: str, keys:
     """
     keys = keys or []
     draws = long_metrics(replicates, ["run_name", *keys, "replicate"])
-    base = draws.where(F.col("run_name") == baseline).select(*keys, "replicate", "metric", F.col("value").alias("base"))
-    deltas = draws.where(F.col("run_name") != baseline).join(base, [*keys, "replicate", "metric"])
+    runs = Window.partitionBy(*keys, "replicate", "metric")
+    is_base = F.col("run_name") == baseline
+    deltas = draws.withColumn("base", F.max(F.when(is_base, F.col("value"))).over(runs)).where(~is_base)
     deltas = deltas.select("run_name", *keys, "metric", (F.col("value") - F.col("base")).alias("delta"))
     own = ["run_name", *keys, "metric"]
     ends = F.percentile("delta", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))

@@ -211,9 +211,9 @@ BOOTSTRAP_WEIGHTS_SQL = f"{WEIGHTS_SQL} SELECT replicate::INTEGER AS replicate,
 
 def _replicates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     preds = predictions(spark, sf_dir)
-    weights = bootstrap.draw_weights(_subjects(preds), REPLICATES, SEED)
+    draws = bootstrap.draw_blocks(_subjects(preds), REPLICATES, SEED)
     points = metrics.all_metrics(preds, ["run_name"]).select("run_name", *bootstrap.VALUES)
-    return preds, bootstrap.replicate_metrics(preds, weights, ["run_name"]), points
+    return preds, bootstrap.replicate_metrics(preds, draws, ["run_name"]), points
 
 
 def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,6 +74,29 @@ def test_bootstrap_weights_sum_to_strata(spark):
     assert len(w) == 7 * len(sizes) and all(r["sum(weight)"] == sizes[r["dataset"], r["label"]] for r in w)
 
 
+def test_replicates_equal_weighted_metrics(spark):
+    """The packed sweep against metrics of the joined weights: ties, one-class draws, a subject that lacks in a run, a null key."""
+    rnd = random.Random(3)
+    people = [(k, "ab"[k % 7 == 0], int(rnd.random() < 0.3)) for k in range(60)] + [(60, "c", 1)]
+    subjects = spark.createDataFrame(people, "patient_id int, dataset string, label int")
+    rows = [(run, k, d, y, rnd.randint(0, 9) / 9) for run in ("r", "s", None) for k, d, y in people if (run, k) != ("s", 5)]
+    preds = spark.createDataFrame(rows, "run_name string, patient_id int, dataset string, label int, prob double")
+    for keys in (["run_name"], ["dataset", "run_name"]):
+        got = bootstrap.replicate_metrics(preds, bootstrap.draw_blocks(subjects, 20, 5, size=7), keys, size=7)
+        joined = preds.join(bootstrap.draw_weights(subjects, 20, 5), "patient_id").fillna("none", ["run_name"])
+        want = metrics.all_metrics(joined, [*keys, "replicate"]).select(*keys, "replicate", *bootstrap.VALUES)
+        got, want = ({tuple(r[: len(keys) + 1]): r[len(keys) + 1 :] for r in t.collect()} for t in (got.fillna("none", ["run_name"]), want))
+        assert len(want) == 20 * 3 * (1 if len(keys) == 1 else 3) and got.keys() == want.keys()
+        for k, values in want.items():
+            assert [v if v is None else pytest.approx(v) for v in values] == list(got[k])
+
+
+def test_replicates_of_no_rows(spark):
+    subjects = spark.createDataFrame([], "patient_id int, dataset string, label int")
+    preds = spark.createDataFrame([], "run_name string, patient_id int, dataset string, label int, prob double")
+    assert bootstrap.replicate_metrics(preds, bootstrap.draw_blocks(subjects, 5, 1), ["run_name"]).collect() == []
+
+
 def test_run_names_parse_or_are_reported(spark):
     df = spark.createDataFrame([("clinical_logreg",), ("alpha_whole_phase0_logreg",), ("alpha_phase0",), ("gamma_whole_x_logreg",)], "run_name string")
     assert {r["run_name"] for r in leaderboard.unparsed_runs(df, ["alpha"]).collect()} == {"alpha_phase0", "gamma_whole_x_logreg"}
