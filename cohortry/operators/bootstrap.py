@@ -34,7 +34,10 @@ def _draws(subjects: DataFrame, replicates: int, seed: int, strata: tuple[str, .
     size = subjects.groupBy(*strata).agg(F.count(F.lit(1)).alias("size"))
     placed = numbered_within(subjects.select(*strata, subject), list(strata), seeded(seed, subject), subject, "place")
     ranked = placed.select(*strata, subject, (F.col("place") - 1).cast("int").alias("slot"))
-    slots = ranked.select(*strata, "slot").join(size, list(strata)).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    slots = ranked.select(*strata, "slot").join(size, list(strata)).withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(BLOCK))))
+    # subjects are few rows beside their draws: they are dealt before the draws are made, or one task would make them all
+    slots = slots.repartition(int(subjects.sparkSession.conf.get("spark.sql.shuffle.partitions")), "slot", "first")
+    slots = slots.withColumn("replicate", F.explode(F.sequence("first", F.least(F.col("first") + BLOCK, F.lit(replicates)) - 1)))
     text = F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), *[F.col(s).cast("string") for s in strata], F.col("slot").cast("string"))
     drawn = slots.withColumn("text", text).select(*strata, "replicate", (md5_number(F.col("text")) % F.col("size")).cast("int").alias("slot"))
     return ranked, drawn
@@ -51,11 +54,26 @@ def draw_blocks(
     subjects: DataFrame, replicates: int, seed: int, strata: tuple[str, ...] = ("dataset", "label"), subject: str = "patient_id", size: int = BLOCK
 ) -> DataFrame:
     """The draws of ``draw_weights`` packed: ``subject``, ``block`` of ``size`` replicates, ``hits`` (the block's
-    replicates that drew the subject, as numbers from 0, once for each draw)."""
+    replicates that drew the subject, as numbers from 0, once for each draw). A list may come in two rows."""
     ranked, drawn = _draws(subjects, replicates, seed, strata, subject)
-    block = F.floor(F.col("replicate") / size).cast("int").alias("block")
-    hits = F.collect_list((F.col("replicate") % size).cast("short")).alias("hits")
-    return drawn.groupBy(*strata, "slot", block).agg(hits).join(ranked, [*strata, "slot"]).select(subject, "block", "hits")
+    keys = [*strata, "slot", "block"]
+    placed = drawn.select(*strata, "slot", F.floor(F.col("replicate") / size).cast("int").alias("block"), (F.col("replicate") % size).cast("short").alias("hit"))
+    placed = placed.repartition(*keys).sortWithinPartitions(*keys)
+    schema = T.StructType([*(placed.schema[k] for k in keys), T.StructField("hits", T.ArrayType(T.ShortType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts = _starts([batch.column(k) for k in keys])
+            hits = pa.ListArray.from_arrays(pa.array([*starts, batch.num_rows], pa.int32()), batch.column("hit"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(starts, pa.int64())) for k in keys), hits], names=[*keys, "hits"])
+
+    return placed.mapInArrow(run, schema).join(ranked, [*strata, "slot"]).select(subject, "block", "hits")
+
+
+def _starts(columns: list[pa.Array]) -> list[int]:
+    """Where a row differs from the one before it; the first row does."""
+    codes = np.stack([pc.fill_null(c.dictionary_encode().indices, -1).to_numpy() for c in columns])
+    return [0, *(np.flatnonzero((codes[:, 1:] != codes[:, :-1]).any(axis=0)) + 1).tolist()] if codes.shape[1] else []
 
 
 class _Sweep:
@@ -133,8 +151,7 @@ def replicate_metrics(
             scores, labels, predicted = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("score", "label", "predicted"))
             scores = np.where(np.isnan(scores), -np.inf, scores)
             columns = [batch.column(c) for c in ("block", *names)]
-            codes = np.stack([pc.fill_null(c.dictionary_encode().indices, -1).to_numpy() for c in columns])
-            starts = [0, *(np.flatnonzero((codes[:, 1:] != codes[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            starts = [*_starts(columns), batch.num_rows]
             for first, end in zip(starts[:-1], starts[1:], strict=True):
                 key = [c[first] for c in columns]
                 if now is not None and key != now:
