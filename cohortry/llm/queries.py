@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, lines, neardup, packing, pii, quality, repeats, topk, urls
+from . import bpe, exact, lines, middle, neardup, packing, pii, quality, repeats, tokencount, topk, turns, urls
 
 #: (verdict, host, path)
 URL_RULES = [
@@ -88,6 +88,21 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = middle.fim_pieces(_table(spark, sf_dir, "documents"), seed=7, fim_percent=100, spm_percent=50)
+    return middle.digested(pieces)
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = tokencount.token_counts(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return turns.summaries_of_all(rows, turns.repair_summaries(turns.repair_conversations(turns.damage(rows))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
     "op2_quality_classifier": op2_quality_classifier,
@@ -99,6 +114,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_pii": op10_pii,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_token_counts": op12_token_counts,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 OP3_SQL = """
@@ -165,4 +183,31 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d
 FROM d JOIN g USING (t)
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op6_url_filter": OP6_SQL, "op7_exact_top_k": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+OP11_SQL = r"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), units AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS ls,
+         ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+         ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4
+  FROM drawn
+), cut AS (
+  SELECT *, len(ls) AS n, least(h1 % (len(ls) + 1), h2 % (len(ls) + 1)) AS a, greatest(h1 % (len(ls) + 1), h2 % (len(ls) + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+              WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM units
+), parts AS (
+  SELECT doc_id, t, n, form, array_to_string(ls[1:a], '') AS p, array_to_string(ls[a + 1:b], '') AS m, array_to_string(ls[b + 1:n], '') AS s FROM cut
+), put AS (
+  SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END AS o FROM parts
+)
+SELECT doc_id, n::BIGINT AS n, form,
+       CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+       sha256(o) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN o
+         WHEN 'psm' THEN substr(o, 4, instr(o, '<S>') - 4) || substr(o, instr(o, '<M>') + 3) || substr(o, instr(o, '<S>') + 3, instr(o, '<M>') - instr(o, '<S>') - 3)
+         ELSE substr(o, instr(o, '<P>') + 3, instr(o, '<M>') - instr(o, '<P>') - 3) || substr(o, instr(o, '<M>') + 3) || substr(o, 4, instr(o, '<P>') - 4) END) AS restored_sha256
+FROM put
+"""
+
+ORACLE_SQL: dict[str, str] = {"op11_fill_in_middle": OP11_SQL, "op3_line_dedup": OP3_SQL, "op6_url_filter": OP6_SQL, "op7_exact_top_k": OP7_SQL, "op8_exact_dedup": OP8_SQL}
