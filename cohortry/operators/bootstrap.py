@@ -3,8 +3,9 @@
 A draw is a hash of (seed, replicate, stratum, slot), so every engine and every rerun draws alike. Draws are packed
 into one list per subject and block of replicates before any run is looked at. The lists are dealt by block, next to
 the subject's predictions of all runs; only then, within a partition, do runs meet draws. So what is shuffled grows
-with subjects x replicates, not with runs x subjects x replicates. A run's scores are swept from the highest down,
-for all replicates of a block at once; the sort spills, and the sweep holds one batch.
+with subjects x replicates, not with runs x subjects x replicates, while one range of scores holds all predictions. Beyond that
+predictions are dealt by block and range of scores, and the sums of ranges are merged. A range's scores are swept from the
+highest down, for all replicates of a block at once; the sort spills, and the sweep holds one batch.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +25,8 @@ from .ranking import md5_number, numbered_within, seeded
 VALUES = ["auroc", "average_precision", "balanced_accuracy"]
 #: Replicates that are swept together.
 BLOCK = 50
+#: Predictions of a range of scores, all runs together, that one task sweeps for a block of replicates.
+RANGE_ROWS = 1 << 20
 
 
 def _draws(subjects: DataFrame, replicates: int, seed: int, strata: tuple[str, ...], subject: str) -> tuple[DataFrame, DataFrame]:
@@ -77,10 +80,11 @@ def _starts(columns: list[pa.Array]) -> list[int]:
 
 
 class _Sweep:
-    """Sums of one run and block of replicates, over scores that come in falling order."""
+    """Sums of one run and block of replicates over a range of scores that come in falling order, behind what lies above the range."""
 
-    def __init__(self, size: int) -> None:
-        self.pos, self.neg, self.area, self.steps, self.tp, self.tn = np.zeros((6, size))
+    def __init__(self, pos: np.ndarray, neg: np.ndarray) -> None:
+        self.above, self.pos, self.neg, size = (pos, neg), pos, neg, len(pos)
+        self.area, self.steps, self.tp, self.tn = np.zeros((4, size))
         self.score, self.waiting = None, np.zeros((2, 1, size))
 
     def fold(self, pos: np.ndarray, neg: np.ndarray) -> None:
@@ -106,41 +110,56 @@ class _Sweep:
             self.fold(pos[:-1], neg[:-1])
         self.score, self.waiting = scores[-1], (pos[-1:], neg[-1:])
 
-    def values(self) -> tuple[np.ndarray, np.ndarray]:
-        """Which replicates drew anything, and their metrics; NaN stands for none."""
+    def sums(self) -> np.ndarray:
+        """The range's own ``SUMS``, one column a replicate."""
         self.fold(*self.waiting)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            recall, specificity = self.tp / self.pos, self.tn / self.neg
-            both = np.where(self.pos == 0, specificity, np.where(self.neg == 0, recall, (recall + specificity) / 2))
-            found = np.stack([self.area / (self.pos * self.neg), np.where(self.neg == 0, np.nan, self.steps / self.pos), both])
-        there = np.flatnonzero(self.pos + self.neg)
-        return there, found[:, there]
+        return np.stack([self.pos - self.above[0], self.neg - self.above[1], self.tp, self.tn, self.area, self.steps])
 
 
-def replicate_metrics(
-    preds: DataFrame, draws: DataFrame, keys: list[str], threshold: float | str = 0.5, subject: str = "patient_id", size: int = BLOCK
-) -> DataFrame:
-    """Ranking metrics and balanced accuracy of each key and replicate; ``draws`` as ``draw_blocks`` makes them with ``size``.
+#: What ranges of scores add up to, for each run and replicate: drawn weight of the classes, of those predicted right, and
+#: what AUROC and average precision gather while scores fall.
+SUMS = ["pos", "neg", "tp", "tn", "area", "steps"]
+
+
+def score_cuts(scores: DataFrame, range_rows: int) -> list[float]:
+    """Rising scores that part ``scores`` (column ``score``) into ranges of some ``range_rows`` rows; a score that holds more
+    rows stands twice or more. Empty if the rows are few. The driver sees one number a range."""
+    n = scores.count()
+    parts = -(-n // range_rows)
+    if parts < 2:
+        return []
+    at = [k / parts for k in range(1, parts)]
+    return sorted(scores.agg(F.percentile_approx("score", at, F.lit(max(10_000, 20 * parts)))).first()[0])
+
 
-    A subject has few rows in ``preds``: one a run and key. Ranking metrics are null where a class was not drawn;
-    replicates that drew no row of a key are left out.
+def _range_of(score: Column, cuts: list[float]) -> Column:
+    """Number of the range, rising while scores fall: even ranges reach from one cut to the next, odd ones are a score that
+    fills ranges by itself (cuts that are the same), which lies at the low end of the even range before it."""
+    if not cuts:
+        return F.lit(0)
+    distinct = sorted(set(cuts))
+    alone = [c for c in distinct if cuts.count(c) > 1]
+    above = F.size(F.filter(F.array(*map(F.lit, distinct)), lambda c: c > score))
+    return above * 2 + (score.isin(alone).cast("int") if alone else F.lit(0))
+
+
+def _swept(rows: DataFrame, keys: list[str], size: int, sweep: bool) -> DataFrame:
+    """``keys``, ``range``, ``replicate`` and ``SUMS`` of ``rows``, which are sorted by block, range, keys, ``kind``, then falling score.
+
+    ``rows``: ``block``, ``range``, ``keys``, ``kind`` (0: what lies above the range, as ``before``; 1: a prediction), ``score``,
+    ``label``, ``predicted``, ``hits``, ``before``. Without ``sweep`` only the first four sums are made, in any order of scores. One batch is held.
     """
-    cut = F.col(threshold) if isinstance(threshold, str) else F.lit(threshold)
-    row = F.struct(*[F.col(k).alias(f"k{n}") for n, k in enumerate(keys)], F.col("prob").cast("double").alias("score"), F.col("label").cast("int").alias("label"), metrics.predicted_label(F.col("prob"), cut).alias("predicted"))
-    rows = preds.groupBy(subject).agg(F.collect_list(row).alias("rows"))
-    dealt = draws.join(rows, subject).select("block", "hits", "rows").repartition("block")
-    names = [f"k{n}" for n in range(len(keys))]
-    met = dealt.select("block", "hits", F.inline("rows")).sortWithinPartitions("block", *names, F.desc("score"))
-    schema = T.StructType([*(T.StructField(n, preds.schema[k].dataType) for n, k in zip(names, keys, strict=True)), T.StructField("replicate", T.IntegerType()), *(T.StructField(v, T.DoubleType()) for v in VALUES)])
+    made = SUMS if sweep else SUMS[:4]
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("range", T.IntegerType()), T.StructField("replicate", T.IntegerType()), *(T.StructField(v, T.DoubleType()) for v in made)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sums = None, _Sweep(size)
+        now, sums = None, None
 
         def ended() -> pa.RecordBatch:
-            there, found = sums.values()
-            own = [pa.repeat(k, len(there)) for k in now[1:]]
-            values = [pa.array(v, pa.float64(), from_pandas=True) for v in found]
-            return pa.RecordBatch.from_arrays([*own, pa.array(there + now[0].as_py() * size, pa.int32()), *values], names=[f.name for f in schema])
+            found = sums.sums() if sweep else sums
+            there = np.flatnonzero(found[0] + found[1]) if sweep else np.arange(size)
+            own = [pa.repeat(k, len(there)) for k in (*now[2:], now[1])]
+            return pa.RecordBatch.from_arrays([*own, pa.array(there + now[0].as_py() * size, pa.int32()), *map(pa.array, found[:, there])], names=schema.names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -148,21 +167,87 @@ def replicate_metrics(
             lists = batch.column("hits")
             which = pc.list_parent_indices(lists).to_numpy().astype(np.int64) * size + pc.list_flatten(lists).to_numpy()
             weights = np.bincount(which, minlength=batch.num_rows * size).reshape(-1, size).astype(float)
-            scores, labels, predicted = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("score", "label", "predicted"))
-            scores = np.where(np.isnan(scores), -np.inf, scores)
-            columns = [batch.column(c) for c in ("block", *names)]
+            scores, labels, predicted, kinds = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("score", "label", "predicted", "kind"))
+            columns = [batch.column(c) for c in ("block", "range", *keys)]
             starts = [*_starts(columns), batch.num_rows]
             for first, end in zip(starts[:-1], starts[1:], strict=True):
                 key = [c[first] for c in columns]
-                if now is not None and key != now:
-                    yield ended()
-                    sums = _Sweep(size)
-                now = key
-                sums.add(scores[first:end], labels[first:end], predicted[first:end], weights[first:end])
+                if now is None or key != now:
+                    if now is not None:
+                        yield ended()
+                    now, start = key, np.zeros((2, size))
+                    if kinds[first] == 0:
+                        for hit in batch.column("before")[first].as_py():
+                            start[:, hit["hit"]] = hit["pos"], hit["neg"]
+                        first += 1
+                    sums = _Sweep(*start) if sweep else np.zeros((4, size))
+                if first == end:
+                    continue
+                own = slice(first, end)
+                if sweep:
+                    sums.add(scores[own], labels[own], predicted[own], weights[own])
+                else:
+                    pos, neg = labels[own] == 1, labels[own] == 0
+                    for k, chosen in enumerate((pos, neg, pos & (predicted[own] == 1), neg & (predicted[own] == 0))):
+                        sums[k] += weights[own][chosen].sum(axis=0)
         if now is not None:
             yield ended()
 
-    return met.mapInArrow(run, schema).toDF(*keys, "replicate", *VALUES)
+    return rows.mapInArrow(run, schema)
+
+
+def replicate_metrics(
+    preds: DataFrame, draws: DataFrame, keys: list[str], threshold: float | str = 0.5, subject: str = "patient_id", size: int = BLOCK, range_rows: int = RANGE_ROWS
+) -> DataFrame:
+    """Ranking metrics and balanced accuracy of each key and replicate; ``draws`` as ``draw_blocks`` makes them with ``size``.
+
+    A subject has few rows in ``preds``: one a run and key. Predictions are dealt by block of replicates and range of scores, so the number of
+    tasks grows with the rows: a range has some ``range_rows`` of them. What lies above a range (drawn positives and negatives of each
+    run and replicate) is added up first, without moving predictions, and summed over the ranges; from there each range is swept
+    by itself, and the ranges' sums are added. A score that fills a range by itself is not gathered at all: those sums are all it takes.
+    Few predictions are one range, which starts from nothing. A list of draws is dealt to as many ranges as its subject's scores lie in.
+
+    Ranking metrics are null where a class was not drawn; replicates that drew no row of a key are left out. Null and NaN scores are the lowest.
+    """
+    cut = F.col(threshold) if isinstance(threshold, str) else F.lit(threshold)
+    names = [f"k{n}" for n in range(len(keys))]
+    prob = F.col("prob").cast("double")
+    known = preds.withColumn("score", F.when(F.isnan(prob) | prob.isNull(), F.lit(float("-inf"))).otherwise(prob))
+    cuts = score_cuts(known.select("score"), range_rows)
+    row = F.struct(*[F.col(k).alias(n) for n, k in zip(names, keys, strict=True)], "score", F.col("label").cast("int").alias("label"), metrics.predicted_label(F.col("prob"), cut).alias("predicted"))
+    rows = known.withColumn("range", _range_of(F.col("score"), cuts).cast("int")).groupBy(subject, "range").agg(F.collect_list(row).alias("rows"))
+    met = draws.join(rows, subject).select("block", "range", "hits", "rows")
+    none = F.lit(None).cast("array<struct<hit:int,pos:double,neg:double>>")
+    order = ["block", "range", *names, "kind"]
+    lined = lambda df: df.select("block", "range", "hits", F.lit(1).alias("kind"), none.alias("before"), F.inline("rows"))
+    if not cuts:
+        swept = _swept(lined(met.repartition("block")).sortWithinPartitions(*order, F.desc("score")), names, size, True)
+        return _metrics_of(swept, names).toDF(*keys, "replicate", *VALUES)
+    # partial sums of a partition are one row for each range, run and replicate, however many predictions there are
+    totals = _swept(lined(met).sortWithinPartitions(*order), names, size, False).groupBy(*names, "range", "replicate").agg(*[F.sum(c).alias(c) for c in SUMS[:4]])
+    above = Window.partitionBy(*names, "replicate").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(above), F.lit(0.0)) for c in ("pos", "neg")})
+    high, low = F.col("pos") + F.col("pos_before"), F.col("neg") + F.col("neg_before")
+    alone = totals.where("range % 2 = 1 and pos + neg > 0").withColumns({"area": F.col("neg") * (high - F.col("pos") / 2), "steps": F.col("pos") * high / (high + low)})
+    block = F.floor(F.col("replicate") / size).cast("int")
+    hit = F.struct((F.col("replicate") % size).alias("hit"), F.col("pos_before").alias("pos"), F.col("neg_before").alias("neg"))
+    before = totals.where("range % 2 = 0").groupBy(block.alias("block"), "range", *names).agg(F.collect_list(hit).alias("before")).withColumn("kind", F.lit(0))
+    dealt = met.where("range % 2 = 0").withColumn("kind", F.lit(1)).unionByName(before, allowMissingColumns=True).repartition("block", "range")
+    # a row of sums keeps its own keys; a row of predictions gets its keys from the list
+    empty = F.array(F.struct(*[F.col(n) for n in names], F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("label"), F.lit(None).cast("int").alias("predicted")))
+    each = F.inline(F.when(F.col("kind") == 0, empty).otherwise(F.col("rows")))
+    lists = dealt.select("block", "range", F.coalesce("hits", F.array().cast("array<smallint>")).alias("hits"), "kind", "before", each)
+    swept = _swept(lists.sortWithinPartitions(*order, F.desc("score")), names, size, True)
+    return _metrics_of(swept.unionByName(alone.select(*swept.columns)).groupBy(*names, "replicate").agg(*[F.sum(c).alias(c) for c in SUMS]), names).toDF(*keys, "replicate", *VALUES)
+
+
+def _metrics_of(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """Metrics of whole runs from their ``SUMS``."""
+    pos, neg, tp, tn = (F.col(c) for c in SUMS[:4])
+    recall, specificity = F.when(pos > 0, tp / pos), F.when(neg > 0, tn / neg)
+    both = F.when(pos == 0, specificity).when(neg == 0, recall).otherwise((recall + specificity) / 2)
+    found = (F.when((pos > 0) & (neg > 0), F.col("area") / (pos * neg)), F.when((pos > 0) & (neg > 0), F.col("steps") / pos), both)
+    return sums.select(*keys, "replicate", *[c.alias(v) for c, v in zip(found, VALUES, strict=True)])
 
 
 def long_metrics(wide: DataFrame, keys: list[str]) -> DataFrame:

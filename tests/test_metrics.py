@@ -3,6 +3,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from cohortry.operators import bootstrap, dq, leaderboard, metrics
 
@@ -74,15 +75,17 @@ def test_bootstrap_weights_sum_to_strata(spark):
     assert len(w) == 7 * len(sizes) and all(r["sum(weight)"] == sizes[r["dataset"], r["label"]] for r in w)
 
 
-def test_replicates_equal_weighted_metrics(spark):
-    """The packed sweep against metrics of the joined weights: ties, one-class draws, a subject that lacks in a run, a null key."""
+@pytest.mark.parametrize("range_rows", [1 << 20, 70, 9])
+def test_replicates_equal_weighted_metrics(spark, range_rows):
+    """The packed sweep against metrics of the joined weights: ties, one-class draws, a subject that lacks in a run, a null key.
+    All scores are one range, or few ranges, or many of which scores fill some by themselves."""
     rnd = random.Random(3)
     people = [(k, "ab"[k % 7 == 0], int(rnd.random() < 0.3)) for k in range(60)] + [(60, "c", 1)]
     subjects = spark.createDataFrame(people, "patient_id int, dataset string, label int")
-    rows = [(run, k, d, y, rnd.randint(0, 9) / 9) for run in ("r", "s", None) for k, d, y in people if (run, k) != ("s", 5)]
+    rows = [(run, k, d, y, rnd.randint(0, 99) / 99 if rnd.random() < 0.6 else rnd.choice([0.0, 1 / 3, 0.5])) for run in ("r", "s", None) for k, d, y in people if (run, k) != ("s", 5)]
     preds = spark.createDataFrame(rows, "run_name string, patient_id int, dataset string, label int, prob double")
     for keys in (["run_name"], ["dataset", "run_name"]):
-        got = bootstrap.replicate_metrics(preds, bootstrap.draw_blocks(subjects, 20, 5, size=7), keys, size=7)
+        got = bootstrap.replicate_metrics(preds, bootstrap.draw_blocks(subjects, 20, 5, size=7), keys, size=7, range_rows=range_rows)
         joined = preds.join(bootstrap.draw_weights(subjects, 20, 5), "patient_id").fillna("none", ["run_name"])
         want = metrics.all_metrics(joined, [*keys, "replicate"]).select(*keys, "replicate", *bootstrap.VALUES)
         got, want = ({tuple(r[: len(keys) + 1]): r[len(keys) + 1 :] for r in t.collect()} for t in (got.fillna("none", ["run_name"]), want))
@@ -91,6 +94,26 @@ def test_replicates_equal_weighted_metrics(spark):
             assert [v if v is None else pytest.approx(v) for v in values] == list(got[k])
 
 
+def test_scores_are_parted_into_ranges_that_grow_with_the_rows(spark):
+    scores = spark.createDataFrame([(k / 1000,) for k in range(1000)] + [(0.25,)] * 500 + [(float("-inf"),)] * 200, "score double")
+    assert bootstrap.score_cuts(scores, 2000) == []
+    cuts = bootstrap.score_cuts(scores, 100)
+    assert len(cuts) == 16 and cuts.count(0.25) >= 4
+    counts = {r["range"]: r["n"] for r in scores.withColumn("range", bootstrap._range_of(F.col("score"), cuts)).groupBy("range").agg(F.count("*").alias("n"), F.count_distinct("score").alias("d")).where("range % 2 = 0 or d = 1").collect()}
+    assert sum(counts.values()) == 1700 and {n for r, n in counts.items() if r % 2} == {501, 200} and max(n for r, n in counts.items() if r % 2 == 0) <= 201
+
+
+def test_missing_scores_are_the_lowest(spark):
+    people = [(k, "a", k % 2) for k in range(30)]
+    subjects = spark.createDataFrame(people, "patient_id int, dataset string, label int")
+    rows = [("r", k, d, y, None if k % 5 == 0 else float("nan") if k % 7 == 0 else k / 30) for k, d, y in people]
+    preds = spark.createDataFrame(rows, "run_name string, patient_id int, dataset string, label int, prob double")
+    low = preds.withColumn("prob", F.coalesce(F.nanvl("prob", F.lit(-1.0)), F.lit(-1.0)))
+    for range_rows in (100, 7):
+        a, b = ({r["replicate"]: tuple(r)[2:4] for r in bootstrap.replicate_metrics(p, bootstrap.draw_blocks(subjects, 9, 5), ["run_name"], range_rows=range_rows).collect()} for p in (preds, low))
+        assert len(a) == 9 and {k: pytest.approx(v) for k, v in a.items()} == b
+
+
 def test_replicates_of_no_rows(spark):
     subjects = spark.createDataFrame([], "patient_id int, dataset string, label int")
     preds = spark.createDataFrame([], "run_name string, patient_id int, dataset string, label int, prob double")
