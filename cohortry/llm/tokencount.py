@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 from .bpe import byte_alphabet
 from .common import remembered, saved, text_of
 
-#: A pre-token with over this part of all (text, pre-token) entries is common.
-COMMON = 1 / 65536
+#: A pre-token with over this part of all (text, pre-token) entries is common: fewer than 262,144 of them, some 30 MB in a worker at most.
+COMMON = 1 / 262144
 #: A longer pre-token is named by its digest, and its pieces are counted where it stands.
 KEY_CHARS = 64
 #: Distinct pre-tokens that a task adds up before it passes them on.
