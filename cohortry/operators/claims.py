@@ -43,7 +43,8 @@ def one_to_one(claims: DataFrame, anchor: list[str], series: list[str], order: l
     end does not depend on who asked when. It ends when nobody has to move, after at most as many rounds as there are places times anchors of the
     most wanted series; a round's tables are written, so a lost executor costs a round.
     """
-    own = saved(claims.where(_known(series)).select(*anchor, *series, *order, F.col(place).alias("__place")).distinct())
+    both = list(dict.fromkeys([*anchor, *series]))
+    own = saved(claims.where(_known(series)).select(*dict.fromkeys([*both, *order]), F.col(place).alias("__place")).distinct())
     now = saved(own.select(*anchor).distinct().withColumn("__at", F.lit(1).cast("long")))
     while True:
         at = own.join(now, anchor).where("__place = __at")
@@ -58,4 +59,4 @@ def one_to_one(claims: DataFrame, anchor: list[str], series: list[str], order: l
         if not moved:
             break
         discard(asked)
-    return claims.where(_known(series)).join(asked.select(*anchor, *series), [*anchor, *series], "left_semi")
+    return claims.where(_known(series)).join(asked.select(*both), both, "left_semi")

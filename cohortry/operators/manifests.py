@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import quantiles
 
 
 def exam_manifest(phases: DataFrame, date: Column | None = None) -> DataFrame:
@@ -128,8 +129,9 @@ def replace_rows(report: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("pa
     return report.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def numeric_summary(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
-    """Exact min, median and max of each column, one row a column; NaN counts as missing."""
-    values = F.array(*[F.struct(F.lit(c).alias("column"), F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("v")) for c in columns])
+def numeric_summary(df: DataFrame, columns: list[str], keys: list[str] | None = None, small: int = quantiles.SMALL) -> DataFrame:
+    """Exact min, median and max of each column, one row a column; NaN counts as missing. A column of any length is narrowed down, not gathered."""
+    values = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])
     long = df.select(*(keys or []), F.explode(values).alias("p")).select(*(keys or []), "p.*")
-    return long.groupBy(*(keys or []), "column").agg(F.min("v").alias("low"), F.median("v").alias("median"), F.max("v").alias("high"), F.count("v").alias("known"))
+    found = quantiles.exact_quantiles(long, [*(keys or []), "column"], [0.5], value="v", small=small)
+    return found.select(*(keys or []), "column", "low", F.col("quantiles")[0].alias("median"), "high", F.col("n").alias("known"))

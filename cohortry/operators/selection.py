@@ -77,6 +77,11 @@ def _factor(points: dict[str, float], *rules: tuple[Column, str]) -> Column:
     return out
 
 
+def _named(factor: Column, what: Column) -> Column:
+    """The factor with what it was about behind its reason."""
+    return F.when(factor.isNotNull(), F.struct(factor["points"].alias("points"), F.concat(factor["reason"], F.lit(":"), what).alias("reason")))
+
+
 def _summed(factors: list[Column]) -> tuple[Column, Column]:
     held = F.array_compact(F.array(*factors))
     return F.aggregate(held, F.lit(0.0), lambda s, f: s + f["points"]), F.array_join(F.transform(held, lambda f: f["reason"]), ";")
@@ -116,7 +121,7 @@ def audit_score(candidates: DataFrame) -> DataFrame:
     similar = F.when(likeness > 0, F.struct(likeness.cast("double").alias("points"), F.concat(F.lit("token_similarity:"), F.format_number(likeness, 3)).alias("reason")))
     score, reasons = _summed([
         _factor(AUDIT_POINTS, (key == a_key, "same_family_key")), similar, _factor(AUDIT_POINTS, (uid == a_uid, "anchor_uid")),
-        _factor(AUDIT_POINTS, (known & (plane == a_plane), "same_plane"), (known & (plane != a_plane), "different_plane")),
+        _named(_factor(AUDIT_POINTS, (known & (plane == a_plane), "same_plane"), (known & (plane != a_plane), "different_plane")), plane),
         _factor(AUDIT_POINTS, (images == 0, "same_num_images"), (images <= 10, "close_num_images"), (images >= 80, "far_num_images")),
         _factor(AUDIT_POINTS, (shape == a_shape, "same_matrix"), (shape != a_shape, "different_matrix")),
         _factor(AUDIT_POINTS, (spacing == a_spacing, "same_spacing"), (spacing != a_spacing, "different_spacing")),
@@ -157,6 +162,11 @@ def first_term(candidates: DataFrame, keys: list[str], terms: list[str], text: s
     return hits.withColumn("least", least).where("t.pos = least").withColumn("term", F.col("t.term")).drop("t", "least")
 
 
+def best_first(candidates: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
+    """``place`` (from 1) of each candidate in its group."""
+    return candidates.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
 def ordered_series(candidates: DataFrame, keys: list[str], time: str = "time", phase: str = "phase", name: str = "name") -> DataFrame:
     """``place`` in a group: time, then phase number, then name, unknown ones last."""
     w = Window.partitionBy(*keys).orderBy(F.asc_nulls_last(time), F.asc_nulls_last(phase), name)

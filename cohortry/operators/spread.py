@@ -64,11 +64,11 @@ def literal_rows(spark: SparkSession, names: list[str], kinds: list, rows: list[
     return spark.range(0, 1, 1, 1).select(F.inline(F.array(*each)))
 
 
-def heavy_keys(counts: DataFrame, keys: list[str], size: str, part: float = HEAVY_PART, least: int = HEAVY_ROWS) -> DataFrame | None:
+def heavy_keys(counts: DataFrame, keys: list[str], size: str, part: float = HEAVY_PART, least: int | None = None) -> DataFrame | None:
     """Keys of ``counts`` (one row a key; a saved table, or a small one) that hold over ``part`` of all rows, as ``size`` counts
-    them. Their number is below ``1 / part`` by this definition. None if there are none."""
+    them; keys of at most ``least`` rows (``HEAVY_ROWS``) are not. Their number is below ``1 / part`` by this definition. None if there are none."""
     total, largest = counts.agg(F.sum(size), F.max(size)).first()
-    bound = max((total or 0) * part, least)
+    bound = max((total or 0) * part, HEAVY_ROWS if least is None else least)
     if (largest or 0) <= bound:
         return None
     found = counts.where(F.col(size) > bound).select(*keys)

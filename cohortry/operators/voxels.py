@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import quantiles, spread
+
 
 def crop(volume: Column, shape: tuple[int, int, int], start: tuple[int, int, int], end: tuple[int, int, int]) -> Column:
     """The box from ``start`` to ``end`` (exclusive), in the same order."""
@@ -33,15 +35,6 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
 
 
-def zscore(volume: Column) -> Column:
-    """(v - mean) / population std; a constant volume becomes zeros."""
-    n = F.size(volume)
-    sums = F.struct((_sum(volume) / n).alias("mean"), (_sum(F.transform(volume, lambda v: v * v)) / n).alias("square"))
-    # bound once by a lambda, not worked out anew for every voxel
-    bound = F.transform(F.array(F.struct(sums["mean"].alias("mean"), F.sqrt(sums["square"] - sums["mean"] * sums["mean"]).alias("std"))), lambda m: F.transform(volume, lambda v: F.when(m["std"] > 1e-8, (v - m["mean"]) / m["std"]).otherwise(0.0)))
-    return bound[0]
-
-
 def rescale(volume: Column, low: Column, high: Column) -> Column:
     """Clip to [low, high] and map to [0, 1]; constant or non-finite becomes 0."""
     return F.transform(volume, lambda v: F.when((high > low) & ~F.isnan(v), (F.least(F.greatest(v, low), high) - low) / (high - low)).otherwise(0.0))
@@ -79,11 +72,15 @@ def nrmse(a: Column, b: Column) -> Column:
     return F.transform(F.array(correlation(a, b, 1)), lambda r: F.when(r < 1, F.sqrt(2 - 2 * r)).when(r >= 1, 0.0))[0]
 
 
-def with_percentile_bounds(voxels: DataFrame, keys: list[str], value: str = "v", low: float = 1.0, high: float = 99.0) -> DataFrame:
-    """Long voxels with ``low`` and ``high``, the percentiles of each volume's finite values, for ``rescale``."""
+def with_percentile_bounds(voxels: DataFrame, keys: list[str], value: str = "v", low: float = 1.0, high: float = 99.0, small: int = quantiles.SMALL) -> DataFrame:
+    """Long voxels with ``low`` and ``high``, the exact percentiles of each volume's finite values, for ``rescale``; null where it has none.
+
+    A volume of any size is narrowed down by histograms, and the voxels of one that holds much of the table meet its bounds in many tasks.
+    """
     finite = voxels.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(F.col(value)) < float("inf")))
-    ends = finite.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(low / 100), F.lit(high / 100))).alias("ends"))
-    return voxels.join(ends.select(*keys, F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high")), keys, "left")
+    found = spread.saved(quantiles.exact_quantiles(finite, keys, [low / 100, high / 100], value, small))
+    ends = found.select(*keys, F.col("quantiles")[0].alias("low"), F.col("quantiles")[1].alias("high"))
+    return spread.spread_join(voxels.drop("low", "high"), ends, keys, spread.heavy_keys(found, keys, "n"), [c for c in voxels.columns if c not in keys], "left")
 
 
 def max_projections(voxels: DataFrame) -> DataFrame:

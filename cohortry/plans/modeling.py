@@ -34,10 +34,14 @@ def impute_scale_onehot(spark: SparkSession, sf_dir: str) -> DataFrame:
     policy = features.ColumnPolicy(["balance", "nation", "segment", "empty", "constant", "outcome", "absent"], leakage=["outcome"])
     usable = status.usable_columns(train, policy.usable(rows))
     numeric = status.numeric_columns(train, usable)
-    schema = features.fit_features(train, numeric, [c for c in usable if c not in numeric])
-    values = rows.select("patient_id", F.posexplode(features.feature_array(schema)).alias("pos", "value"))
-    names = F.array(*[F.lit(x) for x in schema.names()])
-    return values.select("patient_id", names[F.col("pos")].alias("feature"), r6("value").alias("value"))
+    return _long_features(rows, features.fit_features(train, numeric, [c for c in usable if c not in numeric]))
+
+
+def _long_features(rows: DataFrame, schema: features.FeatureSchema) -> DataFrame:
+    """One row for each patient and feature, zeros too."""
+    dense = features.dense_features(features.encode_features(rows, schema, "patient_id"), schema)
+    values = dense.select("patient_id", F.posexplode("features").alias("slot", "value"))
+    return values.join(features.feature_names(rows.sparkSession, schema), "slot").select("patient_id", "feature", r6("value").alias("value"))
 
 
 IMPUTE_SQL = """WITH c AS (SELECT c_custkey AS patient_id, c_custkey % 4 <> 0 AS train, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS balance, c_nationkey::DOUBLE AS nation, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS segment FROM customer),
@@ -52,8 +56,7 @@ def schema_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The schema variant: mean, sample std, missing as a category; unknown categories become missing."""
     rows = _customers(spark, sf_dir)
     schema = features.fit_features(rows.where("split = 'train' and segment <> 'BUILDING'"), ["balance"], ["segment"], variant="schema")
-    values = rows.select("patient_id", F.posexplode(features.feature_array(schema)).alias("pos", "value"))
-    return values.select("patient_id", F.array(*[F.lit(x) for x in schema.names()])[F.col("pos")].alias("feature"), r6("value").alias("value"))
+    return _long_features(rows, schema)
 
 
 SCHEMA_SQL = """WITH c AS (SELECT c_custkey AS patient_id, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS balance, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS segment FROM customer),

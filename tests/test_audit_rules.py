@@ -94,8 +94,8 @@ def test_audit_scores_and_rule_points(spark):
     anchor = ("u", "k", ["a", "b"], "axial", 100, [2, 2], [1.0, 1.0])
     rows = [(1, *anchor, *anchor), (2, "v", "j", ["c"], "coronal", 200, [3, 3], [2.0, 1.0], *anchor), (3, "v", "k", [], "", None, None, None, *anchor)]
     got = {r["id"]: (r["audit_score"], r["audit_reasons"]) for r in selection.audit_score(spark.createDataFrame(rows, schema)).collect()}
-    assert got[1][0] == pytest.approx(1 + 1 + 2 + 0.7 + 0.6 + 0.5 + 0.5) and "token_similarity:1.000" in got[1][1]
-    assert got[2] == (pytest.approx(-1.5), "different_plane;far_num_images;different_matrix;different_spacing") and got[3] == (1.0, "same_family_key")
+    assert got[1][0] == pytest.approx(1 + 1 + 2 + 0.7 + 0.6 + 0.5 + 0.5) and "token_similarity:1.000" in got[1][1] and "same_plane:axial" in got[1][1]
+    assert got[2] == (pytest.approx(-1.5), "different_plane:coronal;far_num_images;different_matrix;different_spacing") and got[3] == (1.0, "same_family_key")
     rules = spark.createDataFrame([("e", "voi_pair"), ("e", "analysis_mask"), ("f", "paired_segmentation"), ("f", "analysis_mask"), ("g", "none")], "exam string, rule string")
     best = {r["exam"]: (r["best"], r["status"]) for r in selection.unique_best(rules.withColumn("rule_score", selection.rule_score(F.col("rule"))), ["exam"]).collect()}
     assert best["e"] == (3, "unique") and best["f"] == (2, "ambiguous")

@@ -7,7 +7,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from cohortry.operators import claims, quantiles, spread
+from cohortry.functions import text
+from cohortry.operators import claims, linkage, quantiles, spread
 
 INF = float("inf")
 
@@ -111,3 +112,18 @@ def test_saved_tables_are_deleted(spark):
     import os
 
     assert not os.path.exists(path)
+
+
+def test_candidate_pairs_of_a_hot_subject(spark, monkeypatch):
+    monkeypatch.setattr(spread, "HEAVY_ROWS", 10)
+    series = [("ACR-1" if k % 2 else f"ACR-{k % 9 + 2}", k) for k in range(300)] + [(None, 999)]
+    anchors = [("acr_1", 1), ("acr_1", 3), ("acr_4", 2), ("acr_77", 5), (None, 6), ("acr_5", 12345)]
+    s = spark.createDataFrame(series, "subject string, uid int")
+    a = spark.createDataFrame(anchors, "subject string, uid int")
+    got = linkage.candidate_pairs(a, s, normalize=text.subject_id)
+    assert got.columns == ["subject", "uid", "anchor_uid"]
+    spelt = lambda x: None if x is None else x.upper().replace("_", "-")
+    want = Counter((sub, uid, b) for x, b in anchors for sub, uid in series if sub is not None and sub == spelt(x))
+    assert Counter(tuple(r) for r in got.collect()) == want and sum(want.values()) > 300
+    lost = linkage.unmatched_anchors(a, s, normalize=text.subject_id).collect()
+    assert {(r["subject"], r["uid"]) for r in lost} == {("acr_77", 5), (None, 6), ("acr_5", 12345)} and {r["risk_status"] for r in lost} == {"missing_anchor_uid_or_metadata_patient"}

@@ -1,10 +1,12 @@
 import json
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortry.operators import dq, features, probe, voxels
+from cohortry.operators import dq, features, manifests, probe, spread, voxels
 from cohortry.sources import sinks, tables
 from cohortry.streaming import incremental
 
@@ -105,8 +107,58 @@ def test_pooling_fusion_and_features(spark):
     assert [tuple(r) for r in features.fuse_embeddings(t, ["b", "a"]).collect()] == [("p", [2.0, 1.0])]
     train = spark.createDataFrame([(1.0, "x"), (3.0, "y"), (None, "y")], "n double, c string")
     schema = features.fit_features(train, ["n"], ["c"])
-    rows = spark.createDataFrame([(None, "z"), (4.0, None)], "n double, c string").select(features.feature_array(schema).alias("f")).collect()
-    assert rows[0]["f"] == [0.0, 0.0, 0.0] and rows[1]["f"][1:] == [0.0, 1.0] and rows[1]["f"][0] == pytest.approx(2 / (2 / 3) ** 0.5)
+    rows = spark.createDataFrame([(0, None, "z"), (1, 4.0, None)], "k int, n double, c string")
+    dense = features.dense_features(features.encode_features(rows, schema, "k"), schema)
+    names = {r["feature"]: r["slot"] for r in features.feature_names(spark, schema).collect()}
+    f = {r["k"]: r["features"] for r in dense.collect()}
+    assert f[0] == [0.0, 0.0, 0.0] and (f[1][names["c=x"]], f[1][names["c=y"]]) == (0.0, 1.0) and f[1][names["n"]] == pytest.approx(2 / (2 / 3) ** 0.5)
+
+
+@pytest.mark.parametrize("variant", ["probe", "schema"])
+def test_encoded_features_match_a_plain_fit(spark, monkeypatch, variant):
+    """Many categories, a heavy one, missing, NaN and unknown values, a column of nulls, a constant one."""
+    monkeypatch.setattr(spread, "HEAVY_ROWS", 5)
+    rnd = random.Random(41)
+    make = lambda k, words: (k, rnd.choice([None, float("nan"), 1.0, 2.5, 7.0]), 3.0, rnd.choice(["hot", "hot", None, *words]), None)
+    kinds = "k int, n double, flat double, c string, empty string"
+    train, rows = [make(k, [f"w{j}" for j in range(60)]) for k in range(300)], [make(k, [f"w{j}" for j in range(90)]) for k in range(80)]
+    df = spark.createDataFrame(train, kinds)
+    schema = features.fit_features(df, ["n", "flat"], ["c", "empty"], variant, small=20)
+    known = sorted(r[1] for r in train if r[1] is not None and r[1] == r[1])
+    fill = float(np.median(known)) if variant == "probe" else sum(known) / len(known)
+    whole = [r[1] if r[1] is not None and r[1] == r[1] else fill for r in train]
+    mean, std = np.mean(whole), np.std(whole, ddof=variant != "probe")
+    words = Counter(r[3] for r in train if r[3] is not None)
+    top = min(words, key=lambda w: (-words[w], w)) if variant == "probe" else "__missing__"
+    names = {r["slot"]: r["feature"] for r in features.feature_names(spark, schema).collect()}
+    missing = set() if variant == "probe" else {"c=__missing__", "empty=__missing__"}
+    assert set(names.values()) == {"n", "flat", *(f"c={w}" for w in words), *missing} and sorted(names) == list(range(schema.width))
+    got = features.encode_features(spark.createDataFrame(rows, kinds), schema, "k").collect()
+    assert len(got) == 80
+    for r in got:
+        _, n, _, c, _ = rows[r["k"]]
+        want = {"n": ((n if n is not None and n == n else fill) - mean) / std}
+        c = top if c is None else c
+        if c in words:
+            want[f"c={c}"] = 1.0
+        elif missing:
+            want["c=__missing__"] = 1.0
+        if missing:
+            want["empty=__missing__"] = 1.0
+        mine = {names[i]: v for i, v in zip(r["features"]["indices"], r["features"]["values"], strict=True) if abs(v) > 1e-9}
+        assert r["features"]["indices"] == sorted(r["features"]["indices"])
+        assert mine == pytest.approx({f: v for f, v in want.items() if abs(v) > 1e-9})
+
+
+def test_medians_and_bounds_of_large_groups(spark):
+    rows = [(k % 2, float(k * 7919 % 1000)) for k in range(4000)]
+    df = spark.createDataFrame(rows, "volume_id int, v double").withColumn("x", F.lit(1))
+    want = {g: sorted(v for h, v in rows if h == g) for g in (0, 1)}
+    got = {r["volume_id"]: (r["low"], r["median"], r["high"], r["known"]) for r in manifests.numeric_summary(df, ["v"], ["volume_id"], small=100).collect()}
+    assert got == {g: (v[0], (v[999] + v[1000]) / 2, v[-1], 2000) for g, v in want.items()}
+    bounds = voxels.with_percentile_bounds(df, ["volume_id"], small=100).groupBy("volume_id").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("n")).collect()
+    for r in bounds:
+        assert (r["low"], r["high"]) == pytest.approx(tuple(np.percentile(want[r["volume_id"]], [1, 99]))) and r["n"] == 2000
 
 
 def test_probe_separates_and_joins_one_to_one(spark):
