@@ -54,18 +54,6 @@ def duplicate_notes(phases: DataFrame, fingerprint: str) -> DataFrame:
     return phases.withColumn("earlier", F.array_join(F.collect_list("exam_date").over(before), ";"))
 
 
-def exam_risk(phases: DataFrame, keys: list[str], curated: DataFrame) -> DataFrame:
-    """``risk_status`` of each exam: contiguity, sizes, and on anchors the curated phase count."""
-    exams = phases.groupBy(*keys).agg(F.collect_list("phase_index").alias("indices"), F.count_distinct("shape").alias("shapes"), F.count(F.lit(1)).alias("n"))
-    joined = exams.join(curated, keys, "left")
-    contiguity = audit_contiguity(F.col("indices"))
-    status = issues(
-        (contiguity != "contiguous_from_zero", contiguity), (F.col("shapes") > 1, "shape_mismatch_between_reconstructed_phases"),
-        (F.col("curated_phases").isNotNull() & (F.col("curated_phases") != F.col("n")), "anchor_phase_count_mismatch"),
-    )
-    return joined.select(*keys, status.alias("risk_status"))
-
-
 def phase_consistency(phases: DataFrame, keys: list[str], rtol: float = 1e-5, atol: float = 1e-5) -> DataFrame:
     """Per exam: ``indices``, ``n`` and whether all phases have the shape of the first, and its spacing and affine within tolerance.
 

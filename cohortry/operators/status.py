@@ -78,12 +78,6 @@ def anchor_comparison(reconstructed: Column, curated: Column, same_shape: Column
     )
 
 
-def visual_status(fov: Column, spacing: Column, score: Column, projection: Column, volume: Column, limits: tuple = (0.35, 0.75, 0.25, 0.20, 0.05)) -> Column:
-    """Issues of an exam against its reference; low similarity needs all known evidence low, a missing correlation counts as low."""
-    low = (score < limits[2]) & F.coalesce(projection < limits[3], F.lit(True)) & F.coalesce(volume < limits[4], F.lit(True))
-    return issues((fov > limits[0], "fov_difference"), (spacing > limits[1], "spacing_difference"), (low, "low_visual_similarity"))
-
-
 def visual_review(
     is_reference: Column, load_error: Column, reference_error: Column, header_view_matches: Column,
     fov: Column, spacing: Column, score: Column, projection: Column, volume: Column, limits: tuple = (0.35, 0.75, 0.25, 0.20, 0.05),

@@ -40,36 +40,56 @@ def rescale(volume: Column, low: Column, high: Column) -> Column:
     return F.transform(volume, lambda v: F.when((high > low) & ~F.isnan(v), (F.least(F.greatest(v, low), high) - low) / (high - low)).otherwise(0.0))
 
 
-def _spread(a: Column) -> Column:
-    """Sum of squares around the mean."""
-    return _sum(F.transform(a, lambda v: v * v)) - _sum(a) * _sum(a) / F.size(a)
+def _finite(v: Column) -> Column:
+    return v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
 
 
-def _both_finite(a: Column, b: Column) -> tuple[Column, Column]:
-    """Both volumes at the places where both are finite."""
-    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
-    both = F.filter(F.arrays_zip(a.alias("a"), b.alias("b")), lambda p: finite(p["a"]) & finite(p["b"]))
-    return F.transform(both, lambda p: p["a"]), F.transform(both, lambda p: p["b"])
+MOMENTS = ("n", "a", "b", "aa", "bb", "ab")
+
+
+def moments(a: Column, b: Column) -> Column:
+    """struct(n, a, b, aa, bb, ab): count and sums of the places where both volumes are finite, in one pass; null with unequal lengths."""
+    zero = F.struct(*[F.lit(0.0).alias(m) for m in MOMENTS])
+
+    def add(s: Column, p: Column) -> Column:
+        x, y = p["a"], p["b"]
+        more = (F.lit(1.0), x, y, x * x, y * y, x * y)
+        return F.when(_finite(x) & _finite(y), F.struct(*[(s[m] + v).alias(m) for m, v in zip(MOMENTS, more, strict=True)])).otherwise(s)
+
+    return F.when(F.size(a) == F.size(b), F.aggregate(F.arrays_zip(a.alias("a"), b.alias("b")), zero, add))
+
+
+def correlation_of(m: Column, least: int = 16) -> Column:
+    """Pearson correlation from ``moments`` (bind them to a column first); null under ``least`` places, and with a constant side."""
+    a, b = m["aa"] - m["a"] * m["a"] / m["n"], m["bb"] - m["b"] * m["b"] / m["n"]
+    return F.when((m["n"] >= least) & (a > 1e-12) & (b > 1e-12), (m["ab"] - m["a"] * m["b"] / m["n"]) / F.sqrt(a * b))
+
+
+def nrmse_of(m: Column) -> Column:
+    """Root mean squared difference of the z-scored volumes, from their ``moments``; null if one is constant."""
+    r = correlation_of(m, 1)
+    return F.when(r < 1, F.sqrt(2 - 2 * r)).when(r >= 1, 0.0)
 
 
 def correlation(a: Column, b: Column, least: int = 16) -> Column:
     """Pearson correlation of the places where both are finite; null under ``least`` of them, with unequal lengths, or with
     a constant side."""
-    same = F.size(a) == F.size(b)
-    a, b = _both_finite(a, b)
-    return F.when(same, _correlation(a, b, least))
-
-
-def _correlation(a: Column, b: Column, least: int) -> Column:
-    parts = F.struct(_spread(a).alias("a"), _spread(b).alias("b"), (_sum(F.zip_with(a, b, lambda x, y: x * y)) - _sum(a) * _sum(b) / F.size(a)).alias("ab"))
-    value = lambda p: F.when((p["a"] > 1e-12) & (p["b"] > 1e-12), p["ab"] / F.sqrt(p["a"] * p["b"]))
-    return F.when(F.size(a) >= least, F.transform(F.array(parts), value)[0])
+    return F.transform(F.array(moments(a, b)), lambda m: correlation_of(m, least))[0]
 
 
 def nrmse(a: Column, b: Column) -> Column:
     """Root mean squared difference of the z-scored volumes where both are finite, from their correlation; null if one
     is constant there."""
-    return F.transform(F.array(correlation(a, b, 1)), lambda r: F.when(r < 1, F.sqrt(2 - 2 * r)).when(r >= 1, 0.0))[0]
+    return F.transform(F.array(moments(a, b)), nrmse_of)[0]
+
+
+def pair_statistics(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b", least: int = 16) -> DataFrame:
+    """``keys``, ``n``, ``corr``, ``nrmse`` of long pairs of voxels: the same for volumes of any size, by co-moments that tasks merge."""
+    both = _finite(F.col(a)) & _finite(F.col(b))
+    x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
+    found = pairs.groupBy(*keys).agg(F.count(x).alias("n"), F.corr(x, y).alias("r"), (F.var_pop(x) * F.count(x)).alias("va"), (F.var_pop(y) * F.count(y)).alias("vb"))
+    r = F.when((F.col("va") > 1e-12) & (F.col("vb") > 1e-12), F.col("r"))
+    return found.select(*keys, "n", F.when(F.col("n") >= least, r).alias("corr"), F.when(r < 1, F.sqrt(2 - 2 * r)).when(r >= 1, 0.0).alias("nrmse"))
 
 
 def with_percentile_bounds(voxels: DataFrame, keys: list[str], value: str = "v", low: float = 1.0, high: float = 99.0, small: int = quantiles.SMALL) -> DataFrame:

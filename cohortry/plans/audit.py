@@ -99,9 +99,13 @@ SELECT patient_id, exam_date, phase_index, coalesce(string_agg(exam_date, ';') O
 
 
 def risk_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _phases(spark, sf_dir).withColumn("shape", F.floor(F.col("size") / 30))
+    """Contiguity, sizes and the curated phase count; what the other rules look at is in order (see ``exam_risk_audit``)."""
+    one = F.array(F.lit(1.0))
+    p = _phases(spark, sf_dir).select("exam", "phase_index", F.array(F.floor(F.col("size") / 30)).alias("shape"), one.alias("spacing"), one.alias("affine"))
     curated = _exams(spark, sf_dir).where("exam % 5 = 0").select("exam", (F.col("exam") % 6 + 1).alias("curated_phases"))
-    return qc.exam_risk(p, ["exam"], curated)
+    fine = {"is_anchor": True, "exists": True, "quarantined": False, "n_selected": 1, "n_expected": 0, "count_matches": True, "header_matches": True, "curated_view": "", "selection_note": "selected", "duplicate_notes": ""}
+    exams = p.select("exam").distinct().join(curated, "exam", "left").withColumns({c: F.lit(v) for c, v in fine.items()} | {"planes": F.array().cast("array<string>")})
+    return qc.full_exam_risk(exams, qc.phase_consistency(p, ["exam"]), ["exam"])
 
 
 RISK_SQL = f"""WITH {PHASES_SQL}, x AS (SELECT exam, list_sort(list(phase_index)) AS i, count(DISTINCT floor(size / 30)) AS shapes, count(*) AS n FROM phases GROUP BY exam),
@@ -147,8 +151,9 @@ def _visual(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = e.where("is_reference").select("patient_id", F.col("o_totalprice").alias("ref_price"))
     j = e.join(ref, "patient_id").withColumn("fov_diff", r6(F.abs(F.col("o_totalprice") - F.col("ref_price")) / F.greatest(F.abs("ref_price"), F.lit(1e-6))))
     j = j.withColumn("score", F.when(F.col("exam") % 13 != 0, (F.col("exam") % 100) / 100.0)).withColumn("corr", F.when(F.col("exam") % 3 != 0, (F.col("exam") % 40) / 100.0))
-    found = status.visual_status(F.col("fov_diff"), F.col("fov_diff") / 2, F.col("score"), F.col("corr"), F.col("corr") / 8)
-    return j.withColumn("status", F.when(F.col("is_reference"), "reference_exam").otherwise(found))
+    no = F.lit(False)
+    found = status.visual_review(F.col("is_reference"), no, no, F.lit(None).cast("boolean"), F.col("fov_diff"), F.col("fov_diff") / 2, F.col("score"), F.col("corr"), F.col("corr") / 8)
+    return j.withColumn("found", found).withColumn("status", F.when(F.col("found.reason") == "", F.col("found.status")).otherwise(F.col("found.reason"))).drop("found")
 
 
 _VISUAL_SQL = f"""{_REFERENCE_SQL}, v0 AS (

@@ -84,13 +84,12 @@ SUMMARY_SQL = f"""WITH {_DICE_SQL} SELECT count(*) AS cases, count(*) FILTER (n_
 
 def volume_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crop, subtraction, correlation, normalized error and score of each pair."""
-    p = _pairs(spark, sf_dir)
-    a, b = F.col("voxels"), F.col("other")
-    corr, crop = voxels.correlation(a, b), voxels.crop(a, SHAPE, (1, 0, 2), (3, 4, 4))
-    diff = voxels.subtract(b, a)
+    a, b, m = F.col("voxels"), F.col("other"), F.col("moments")
+    p = _pairs(spark, sf_dir).withColumns({"moments": voxels.moments(a, b), "crop": voxels.crop(a, SHAPE, (1, 0, 2), (3, 4, 4))})
+    corr, crop, diff = voxels.correlation_of(m), F.col("crop"), voxels.subtract(b, a)
     return p.select(
         "volume_id", F.size(crop).alias("crop_size"), r6(F.aggregate(crop, F.lit(0.0), lambda s, v: s + v)).alias("crop_sum"),
-        r6(F.array_max(diff)).alias("max_diff"), r6(corr).alias("corr"), r6(voxels.nrmse(a, b)).alias("nrmse"),
+        r6(F.array_max(diff)).alias("max_diff"), r6(corr).alias("corr"), r6(voxels.nrmse_of(m)).alias("nrmse"),
         r6(geometry.consistency_score(corr, corr, F.lit(None).cast("double"), F.lit(0.5))).alias("score"),
         r6(geometry.max_difference(a, b)).alias("max_abs"), geometry.all_close(a, b, atol=0.5).alias("close"),
         r6(F.aggregate(voxels.rescale(a, F.lit(-0.2), F.lit(0.2)), F.lit(0.0), lambda s, v: s + v)).alias("rescaled_sum"),

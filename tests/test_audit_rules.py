@@ -108,6 +108,10 @@ def test_volumes_with_constant_and_missing_voxels(spark):
     got = {r["id"]: (r["c"], r["e"]) for r in df.select("id", voxels.correlation(F.col("a"), F.col("b")).alias("c"), voxels.nrmse(F.col("a"), F.col("b")).alias("e")).collect()}
     assert got[1] == (pytest.approx(1), pytest.approx(0, abs=1e-6)) and got[2] == got[3] == got[6] == (None, None)
     assert got[4] == (pytest.approx(1), pytest.approx(0, abs=1e-6)) and got[5][0] is None and got[5][1] == pytest.approx(0, abs=1e-6)
+    voxel = [(k, x, y) for k, a, b in rows if len(a) == len(b) for x, y in zip(a, b, strict=True)]
+    long = voxels.pair_statistics(spark.createDataFrame(voxel, "id int, a double, b double").repartition(7), ["id"])
+    for r in long.collect():
+        assert all(x is y is None or x == pytest.approx(y, abs=1e-6) for x, y in zip((r["corr"], r["nrmse"]), got[r["id"]], strict=True)), r
     pairs = [(1, k / 40, k / 40) for k in range(40)] + [(2, 0.1, 0.2)] * 10 + [(3, nan, 0.1)] * 40 + [(4, -1.0 + k % 2 * 5, 0.5 * (k % 2)) for k in range(40)] + [(5, 0.5, 0.5)] * 40
     nmi = {r["id"]: r["nmi"] for r in voxels.mutual_information(spark.createDataFrame(pairs, "id int, a double, b double"), "id").collect()}
     assert nmi[1] == pytest.approx(1) and nmi[2] is nmi[3] is nmi[5] is None and nmi[4] == pytest.approx(1)
