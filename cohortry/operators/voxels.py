@@ -61,8 +61,9 @@ def moments(a: Column, b: Column) -> Column:
 
 def correlation_of(m: Column, least: int = 16) -> Column:
     """Pearson correlation from ``moments`` (bind them to a column first); null under ``least`` places, and with a constant side."""
-    a, b = m["aa"] - m["a"] * m["a"] / m["n"], m["bb"] - m["b"] * m["b"] / m["n"]
-    return F.when((m["n"] >= least) & (a > 1e-12) & (b > 1e-12), (m["ab"] - m["a"] * m["b"] / m["n"]) / F.sqrt(a * b))
+    n = F.greatest(m["n"], F.lit(1.0))
+    a, b = m["aa"] - m["a"] * m["a"] / n, m["bb"] - m["b"] * m["b"] / n
+    return F.when((m["n"] >= least) & (a > 1e-12) & (b > 1e-12), (m["ab"] - m["a"] * m["b"] / n) / F.sqrt(a * b))
 
 
 def nrmse_of(m: Column) -> Column:
@@ -87,8 +88,8 @@ def pair_statistics(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b
     """``keys``, ``n``, ``corr``, ``nrmse`` of long pairs of voxels: the same for volumes of any size, by co-moments that tasks merge."""
     both = _finite(F.col(a)) & _finite(F.col(b))
     x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
-    found = pairs.groupBy(*keys).agg(F.count(x).alias("n"), F.corr(x, y).alias("r"), (F.var_pop(x) * F.count(x)).alias("va"), (F.var_pop(y) * F.count(y)).alias("vb"))
-    r = F.when((F.col("va") > 1e-12) & (F.col("vb") > 1e-12), F.col("r"))
+    found = pairs.groupBy(*keys).agg(F.count(x).alias("n"), F.covar_pop(x, y).alias("c"), F.var_pop(x).alias("va"), F.var_pop(y).alias("vb"))
+    r = F.when((F.col("va") * F.col("n") > 1e-12) & (F.col("vb") * F.col("n") > 1e-12), F.col("c") / F.sqrt(F.col("va") * F.col("vb")))
     return found.select(*keys, "n", F.when(F.col("n") >= least, r).alias("corr"), F.when(r < 1, F.sqrt(2 - 2 * r)).when(r >= 1, 0.0).alias("nrmse"))
 
 
