@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import reduce
 
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import features, probe, status
+from ..operators import features, probe, spread, status
 from ..sources import tables
 from ..streaming import incremental
 from .common import r6, rounded, table
@@ -113,26 +112,43 @@ def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resume_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events through a stream that appends what is new, started twice; and the job's accounts."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-resume-")
-    out = f"{root.rstrip('/')}/resume-{uuid.uuid4().hex}"
+    out = f"{spread.shared_dir(spark)}/resume-{uuid.uuid4().hex}"
     events = table(spark, sf_dir, "events")
-    source = f"{sf_dir}/events.parquet*"
     for _ in range(2):
-        stream = spark.readStream.schema(events.schema).parquet(source)
+        stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
         incremental.process_new(stream.select("event_id", "user_id", "value"), lambda df: df.withColumn("error", F.when(F.col("event_id") % 100 == 0, "odd")), f"{out}/done", f"{out}/checkpoint", ["event_id"])
     done = spark.read.schema(T.StructType.fromDDL("event_id long, user_id long, value double, error string")).parquet(f"{out}/done")
     return incremental.job_accounting(events.select("event_id"), done, "event_id")
 
 
+def corrections_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders' daily report, corrected by two streams with a compaction between them; the later one holds."""
+    report = incremental.CorrectedTable(spark, f"{spread.shared_dir(spark)}/report-{uuid.uuid4().hex}")
+    orders = table(spark, sf_dir, "orders")
+    keyed = lambda df: df.select(F.col("o_custkey").alias("patient_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("exam_date"), "o_orderkey", "o_totalprice")
+    report.create(keyed(orders).groupBy("patient_id", "exam_date").agg(F.count(F.lit(1)).alias("rows"), F.sum("o_totalprice").alias("total"), F.lit("first").alias("note")))
+    stream = keyed(spark.readStream.schema(orders.schema).parquet(f"{sf_dir}/orders.parquet*"))
+    fix = lambda every, note: stream.where(F.col("o_orderkey") % every == 0).select("patient_id", "exam_date", F.lit(1).cast("long").alias("rows"), F.col("o_totalprice").alias("total"), F.lit(note).alias("note"))
+    report.append_stream(fix(3, "second"), f"{report.root}/checkpoint-a", first=1)
+    report.compact()
+    report.append_stream(fix(5, "third"), f"{report.root}/checkpoint-b", first=1_000_000)
+    return report.read().select("patient_id", "exam_date", "rows", F.round("total", 2).alias("total"), "note")
+
+
+CORRECTIONS_SQL = """WITH o AS (SELECT o_custkey AS patient_id, strftime(o_orderdate, '%Y-%m-%d') AS exam_date, o_orderkey, o_totalprice FROM orders),
+b AS (SELECT patient_id, exam_date, count(*) AS "rows", sum(o_totalprice) AS total FROM o GROUP BY ALL),
+s AS (SELECT * FROM o WHERE o_orderkey % 3 = 0), t AS (SELECT * FROM o WHERE o_orderkey % 5 = 0)
+SELECT patient_id, exam_date, 1::BIGINT AS "rows", round(o_totalprice, 2) AS total, 'third' AS note FROM t
+UNION ALL SELECT patient_id, exam_date, 1, round(o_totalprice, 2), 'second' FROM s WHERE (patient_id, exam_date) NOT IN (SELECT (patient_id, exam_date) FROM t)
+UNION ALL SELECT patient_id, exam_date, "rows", round(total, 2), 'first' FROM b WHERE (patient_id, exam_date) NOT IN (SELECT (patient_id, exam_date) FROM t UNION ALL SELECT (patient_id, exam_date) FROM s)"""
+
+
 QUERIES = {
     "impute_scale_onehot": impute_scale_onehot, "schema_features": schema_features, "class_weights": class_weights, "metrics_json_flatten": metrics_json_flatten,
-    "probe_fit": probe_fit, "leave_one_cohort_out": leave_one_cohort_out, "scan_files": scan_files, "resume_incremental": resume_incremental,
+    "probe_fit": probe_fit, "leave_one_cohort_out": leave_one_cohort_out, "scan_files": scan_files, "resume_incremental": resume_incremental, "corrections_merged": corrections_merged,
 }
 ORACLE_SQL = {
     "impute_scale_onehot": IMPUTE_SQL, "schema_features": SCHEMA_SQL, "class_weights": WEIGHTS_SQL, "metrics_json_flatten": JSON_SQL,
+    "corrections_merged": CORRECTIONS_SQL,
     "resume_incremental": "SELECT count(DISTINCT event_id) AS requested, count(DISTINCT event_id) FILTER (event_id % 100 <> 0) AS done, count(DISTINCT event_id) FILTER (event_id % 100 = 0) AS failed, 0::BIGINT AS missing FROM events",
 }

@@ -69,10 +69,66 @@ def test_stream_resumes_and_corrections_win(spark, tmp_path):
         spark.createDataFrame(part, schema).write.mode("append").parquet(source)
         incremental.process_new(spark.readStream.schema(schema).parquet(source), lambda df: df, out, str(tmp_path / "cp"), ["patient_id"])
     assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == [("a", "1", 1), ("b", "1", 1), ("c", "1", 1)]
-    fixes, versions = str(tmp_path / "fix"), str(tmp_path / "versions")
-    spark.createDataFrame([("b", "1", 9)], schema).write.parquet(fixes)
-    incremental.apply_corrections(spark.readStream.schema(schema).parquet(fixes), out, versions, str(tmp_path / "cp2"))
-    assert {r["patient_id"]: r["v"] for r in spark.read.parquet(f"{versions}/v=0").collect()} == {"a": 1, "b": 9, "c": 1}
+
+
+def test_keys_done_before_and_batches_tried_twice(spark, tmp_path, monkeypatch):
+    """Keys that the table had before the job ran stay out; a batch that failed after its write adds nothing twice."""
+    schema, out, cp, source = "k int, v int", str(tmp_path / "out"), str(tmp_path / "cp"), str(tmp_path / "in")
+    spark.createDataFrame([(1, 0)], schema).write.parquet(out)
+    spark.createDataFrame([(1, 1), (2, 1), (2, 1)], schema).write.parquet(source)
+    stream = lambda: spark.readStream.schema(schema).parquet(source)
+    incremental.process_new(stream(), lambda df: df, out, cp, ["k"])
+    spark.createDataFrame([(1, 2), (2, 2), (3, 2), (4, 2)], schema).write.mode("append").parquet(source)
+    # as if the next batch had been written, all but its last row, and then failed
+    incremental._Folder(spark, cp + "-notes").mark("tried-1")
+    spark.createDataFrame([(3, 2)], schema).write.mode("append").parquet(out)
+    incremental.process_new(stream(), lambda df: df, out, cp, ["k"])
+    assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == [(1, 0), (2, 1), (3, 2), (4, 2)]
+
+
+def test_a_batch_does_not_read_what_was_done(spark, tmp_path):
+    """Once the job runs, the finished table is not read again: it may even be moved away."""
+    schema, out, source = "k int", str(tmp_path / "out"), str(tmp_path / "in")
+    for n in range(3):
+        spark.range(n * 5, n * 5 + 10).selectExpr("cast(id as int) k").write.mode("append").parquet(source)
+        incremental.process_new(spark.readStream.schema(schema).parquet(source), lambda df: df, out, str(tmp_path / "cp"), ["k"])
+        got = sorted(r["k"] for r in spark.read.parquet(out).collect())
+        assert got == (list(range(10)) if n == 0 else list(range(n * 5 + 5, n * 5 + 10)))
+        (tmp_path / "out").rename(tmp_path / f"moved{n}")
+
+
+def test_corrections_win_are_merged_and_compacted(spark, tmp_path):
+    schema = "patient_id string, exam_date string, v int"
+    rows = {(f"p{k}", "d"): [k, k + 100] if k % 4 == 0 else [k] for k in range(200)}
+    frame = lambda d, **more: spark.createDataFrame([(*k, v) for k, vs in d.items() for v in vs], schema)
+    t = incremental.CorrectedTable(spark, str(tmp_path / "t"), buckets=16)
+    t.create(frame(rows))
+    t.create(frame({("x", "y"): [1]}))  # a finished creation stays
+    held = lambda: sorted((*map(str, tuple(r)[:2]), r["v"]) for r in t.read().collect())
+    want = lambda: sorted((*k, v) for k, vs in rows.items() for v in vs)
+    assert held() == want() and t.compact() == 0
+    first = {("p4", "d"): [-1], ("new", "d"): [-2, -3]}
+    t.append(frame(first), 1)
+    t.append(frame(first), 1)  # tried twice
+    second = {("p4", "d"): [-9, -10], ("p5", "d"): [-5]}
+    t.append(frame(second), 2)
+    rows |= first | second
+    assert held() == want()
+    before = set(t.folder.names("base/bucket=*/gen=*"))
+    assert 1 <= t.compact() <= 3 and held() == want()
+    assert len(set(t.folder.names("base/bucket=*/gen=*")) - before) <= 3
+    # a compaction that wrote and died before its marker: nothing counts, the next one starts again
+    t.append(frame({("p6", "d"): [-6]}), 3)
+    t._bucketed(frame({("p6", "d"): [7777]})).withColumn("gen", F.lit(3)).write.mode("append").partitionBy("bucket", "gen").parquet(f"{t.root}/base")
+    rows[("p6", "d")] = [-6]
+    assert held() == want() and t.compact() == 1 and held() == want()
+    t.vacuum()
+    assert held() == want() and len(t.folder.names("commits/*")) == 1 and t.folder.names("log/batch=*") == []
+    fixes = str(tmp_path / "fix")
+    spark.createDataFrame([("p7", "d", -7), (None, "d", 5)], schema).write.parquet(fixes)
+    t.append_stream(spark.readStream.schema(schema).parquet(fixes), str(tmp_path / "cp2"), first=4)
+    rows |= {("p7", "d"): [-7], ("None", "d"): [5]}
+    assert held() == want()
 
 
 def test_array_helpers():
