@@ -29,10 +29,11 @@ BLOCK = 50
 RANGE_ROWS = 1 << 20
 
 
-def _draws(subjects: DataFrame, replicates: int, seed: int, strata: tuple[str, ...], subject: str) -> tuple[DataFrame, DataFrame]:
+def _draws(subjects: DataFrame, replicates: int, seed: int, strata: tuple[str, ...], subject: str, cohort: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The slot of each subject in its stratum, and the drawn slots: ``strata``, ``replicate``, ``slot``.
 
-    ``subjects`` has one row a subject. Positions within a stratum follow a hash of the subject, then the subject.
+    ``subjects`` has one row a subject. Positions within a stratum follow a hash of the subject, then the subject. With ``cohort``, one of the
+    ``strata``, each cohort draws by a seed of its own (``child_seed``).
     """
     size = subjects.groupBy(*strata).agg(F.count(F.lit(1)).alias("size"))
     placed = numbered_within(subjects.select(*strata, subject), list(strata), seeded(seed, subject), subject, "place")
@@ -41,24 +42,43 @@ def _draws(subjects: DataFrame, replicates: int, seed: int, strata: tuple[str, .
     # subjects are few rows beside their draws: they are dealt before the draws are made, or one task would make them all
     slots = slots.repartition(int(subjects.sparkSession.conf.get("spark.sql.shuffle.partitions")), "slot", "first")
     slots = slots.withColumn("replicate", F.explode(F.sequence("first", F.least(F.col("first") + BLOCK, F.lit(replicates)) - 1)))
-    text = F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), *[F.col(s).cast("string") for s in strata], F.col("slot").cast("string"))
+    drawn_by = F.lit(str(seed)) if cohort is None else child_seed(seed, cohort).cast("string")
+    text = F.concat_ws("|", drawn_by, F.col("replicate").cast("string"), *[F.col(s).cast("string") for s in strata], F.col("slot").cast("string"))
     drawn = slots.withColumn("text", text).select(*strata, "replicate", (md5_number(F.col("text")) % F.col("size")).cast("int").alias("slot"))
     return ranked, drawn
 
 
-def draw_weights(subjects: DataFrame, replicates: int, seed: int, strata: tuple[str, ...] = ("dataset", "label"), subject: str = "patient_id") -> DataFrame:
+def child_seed(seed: int, cohort: str) -> Column:
+    """A cohort's own seed: adding or leaving out other cohorts does not change its draws."""
+    return seeded(seed, cohort)
+
+
+def cohort_classes(subjects: DataFrame, cohort: str = "dataset", label: str = "label") -> DataFrame:
+    """One row a cohort: ``n``, ``n_pos``, ``n_neg``, ``draw_status``: ``drawn``, or ``one_class_only`` where there is nothing to resample."""
+    pos = F.count_if(F.col(label) == 1)
+    found = subjects.groupBy(cohort).agg(F.count(F.lit(1)).alias("n"), pos.alias("n_pos"), F.count_if(F.col(label) == 0).alias("n_neg"))
+    return found.withColumn("draw_status", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0) & (F.col("n_pos") + F.col("n_neg") == F.col("n")), "drawn").otherwise("one_class_only"))
+
+
+def with_both_classes(subjects: DataFrame, cohort: str = "dataset", label: str = "label") -> DataFrame:
+    """Subjects of the cohorts that are drawn; cohorts are few rows beside their subjects, counted with map-side combining."""
+    fine = cohort_classes(subjects, cohort, label).where("draw_status = 'drawn'").select(F.col(cohort).alias("__cohort"))
+    return subjects.join(fine, F.col(cohort).eqNullSafe(F.col("__cohort")), "left_semi")
+
+
+def draw_weights(subjects: DataFrame, replicates: int, seed: int, strata: tuple[str, ...] = ("dataset", "label"), subject: str = "patient_id", cohort: str | None = None) -> DataFrame:
     """``replicate``, ``subject``, ``weight``: how often each subject is drawn; weights of a stratum sum to its size."""
-    ranked, drawn = _draws(subjects, replicates, seed, strata, subject)
+    ranked, drawn = _draws(subjects, replicates, seed, strata, subject, cohort)
     counted = drawn.groupBy(*strata, "replicate", "slot").agg(F.count(F.lit(1)).alias("weight"))
     return counted.join(ranked, [*strata, "slot"]).select("replicate", subject, "weight")
 
 
 def draw_blocks(
-    subjects: DataFrame, replicates: int, seed: int, strata: tuple[str, ...] = ("dataset", "label"), subject: str = "patient_id", size: int = BLOCK
+    subjects: DataFrame, replicates: int, seed: int, strata: tuple[str, ...] = ("dataset", "label"), subject: str = "patient_id", size: int = BLOCK, cohort: str | None = None
 ) -> DataFrame:
     """The draws of ``draw_weights`` packed: ``subject``, ``block`` of ``size`` replicates, ``hits`` (the block's
     replicates that drew the subject, as numbers from 0, once for each draw). A list may come in two rows."""
-    ranked, drawn = _draws(subjects, replicates, seed, strata, subject)
+    ranked, drawn = _draws(subjects, replicates, seed, strata, subject, cohort)
     keys = [*strata, "slot", "block"]
     placed = drawn.select(*strata, "slot", F.floor(F.col("replicate") / size).cast("int").alias("block"), (F.col("replicate") % size).cast("short").alias("hit"))
     placed = placed.repartition(*keys).sortWithinPartitions(*keys)

@@ -5,37 +5,69 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Benchmark groups, the one of models trained on another modality, and feature sets.
 GROUPS = ["Clinical-only", "Image-only", "Image + clinical"]
-#: Label of a metric -> column.
+CROSS_GROUP = "Cross-modality stress test"
+FEATURE_SETS = {"image": "Image-only", "clinical": "Image + clinical", "fused": "Image-only fused embeddings", "cross_image": "Cross-modality image-only", "cross_clinical": "Cross-modality image + clinical"}
+#: Labels of inputs; others are shown as they are named.
+INPUT_LABELS = {
+    "phase0": "Phase 0",
+    "phase1": "Phase 1",
+    "phase2": "Phase 2",
+    "last_phase": "Last phase",
+    "phase1_minus_phase0": "Phase 1 - phase 0",
+    "phase2_minus_phase0": "Phase 2 - phase 0",
+    "last_phase_minus_phase0": "Last phase - phase 0",
+    "raw_phases_fusion": "Raw phase fusion",
+    "subtractions_fusion": "Subtraction fusion",
+    "all_dce_fusion": "All DCE fusion",
+    "selected_fusion": "Selected ROI fusion",
+    "phase0_phase1_phase2": "Phase 0 + phase 1 + phase 2",
+    "phase0_phase1_last": "Phase 0 + phase 1 + last phase",
+    "phase0_phase2_last": "Phase 0 + phase 2 + last phase",
+    "subtractions_phase1_phase2_last": "Subtraction triplet",
+}
+#: Label of a metric -> column.
 METRICS = {"AUROC": "auroc", "AP": "average_precision", "balanced accuracy": "balanced_accuracy"}
 BASELINE = "clinical_logreg"
 
 
-def parse_run_name(name: Column, models: list[str]) -> Column:
-    """struct(model, crop, input, has_clinical, benchmark_group) of ``model_crop_input[_image_clinical]_logreg``.
+def parse_run_name(name: Column, models: list[str], cross: tuple[str, ...] = ()) -> Column:
+    """struct(model, crop, input, has_clinical, benchmark_group, feature_set, input_label) of ``model_crop_input[_image_clinical]_logreg``.
 
-    ``clinical_logreg`` is the baseline. Null where the name does not parse; see ``unparsed_runs``.
+    ``clinical_logreg`` is the baseline. Models in ``cross`` were trained on another modality: a group and feature sets of their own.
+    Null where the name does not parse; see ``unparsed_runs``.
     """
     pattern = rf"^({'|'.join(models)})_(whole|expert_roi)_(.+?)(_image_clinical)?_logreg$"
     part = lambda k: F.regexp_extract(name, pattern, k)
-    clinical = part(4) != ""
+    clinical, other, whole = part(4) != "", part(1).isin(*cross) if cross else F.lit(False), part(2) == "whole"
+    labels = F.create_map(*[F.lit(x) for pair in INPUT_LABELS.items() for x in pair])
+    features = (
+        F.when(other & clinical, FEATURE_SETS["cross_clinical"]).when(other, FEATURE_SETS["cross_image"]).when(clinical, FEATURE_SETS["clinical"])
+        .when(F.contains(part(3), F.lit("fusion")), FEATURE_SETS["fused"]).otherwise(FEATURE_SETS["image"])
+    )
     image = F.struct(
         part(1).alias("model"),
-        F.when(part(2) == "whole", "Whole volume").otherwise("Expert ROI").alias("crop"),
+        F.when(whole, "Whole volume").otherwise("Expert ROI").alias("crop"),
         part(3).alias("input"),
         clinical.alias("has_clinical"),
-        F.when(clinical, GROUPS[2]).otherwise(GROUPS[1]).alias("benchmark_group"),
+        F.when(other, CROSS_GROUP).when(clinical, GROUPS[2]).otherwise(GROUPS[1]).alias("benchmark_group"),
+        features.alias("feature_set"),
+        F.when(whole & (part(3) == "selected_fusion"), "Selected phase fusion").otherwise(F.coalesce(F.try_element_at(labels, part(3)), part(3))).alias("input_label"),
     )
-    base = F.struct(F.lit("clinical").alias("model"), F.lit("N/A").alias("crop"), F.lit("clinical").alias("input"), F.lit(True).alias("has_clinical"), F.lit(GROUPS[0]).alias("benchmark_group"))
+    base = F.struct(
+        F.lit("clinical").alias("model"), F.lit("N/A").alias("crop"), F.lit("clinical").alias("input"), F.lit(True).alias("has_clinical"),
+        F.lit(GROUPS[0]).alias("benchmark_group"), F.lit(GROUPS[0]).alias("feature_set"), F.lit("Clinical variables").alias("input_label"),
+    )
     return F.when(name == BASELINE, base).when(name.rlike(pattern), image)
 
 
-def comparison_table(runs: DataFrame, models: list[str]) -> DataFrame:
+def comparison_table(runs: DataFrame, models: list[str], cross: tuple[str, ...] = ()) -> DataFrame:
     """``runs`` with the parsed columns and ``place``: a sort key of model, group, crop, input and run. Order by it."""
-    parsed = runs.withColumn("__run", parse_run_name(F.col("run_name"), models)).select("*", "__run.*").drop("__run")
+    parsed = runs.withColumn("__run", parse_run_name(F.col("run_name"), models, cross)).select("*", "__run.*").drop("__run")
     order = {m: k for k, m in enumerate(["clinical", *models])}
     rank = lambda column, values: F.coalesce(*[F.when(F.col(column) == v, k) for v, k in values.items()], F.lit(len(values)))
-    keys = [rank("model", order), rank("benchmark_group", {g: k for k, g in enumerate(GROUPS)}), rank("crop", {"N/A": 0, "Whole volume": 1, "Expert ROI": 2}), "input", "run_name"]
+    keys = [rank("model", order), rank("benchmark_group", {g: k for k, g in enumerate([*GROUPS, CROSS_GROUP])}), rank("crop", {"N/A": 0, "Whole volume": 1, "Expert ROI": 2}), "input", "run_name"]
     named = [(F.col(k) if isinstance(k, str) else k).alias(f"k{i}") for i, k in enumerate(keys)]
     return parsed.withColumn("place", F.struct(*named))
 

@@ -34,6 +34,24 @@ def benchmark_status(label: Column, split: Column, phases: Column, geometry: Col
     )
 
 
+def manifest_verdict(label: Column, split: Column, missing_roles: Column, header_error: Column, geometry: Column, roi: Column, roi_ok: str = "expert_mask_roi") -> Column:
+    """struct of the manifest's ``benchmark_status`` (the first failing rule) and what it allows: ``usable_whole_volume``,
+    ``usable_multiphase``, ``usable_expert_roi`` and ``subtraction_available``. ``missing_roles`` and ``header_error`` are verdicts; null ones do not hold."""
+    found = F.when(label.isNull(), "missing_pcr_label").when(split.isNull(), "missing_split").when(missing_roles, "missing_required_phase").when(header_error, "phase_header_error")
+    found = found.when(geometry != "matched", F.concat(F.lit("phase_geometry_"), geometry)).otherwise("usable")
+    whole = found == "usable"
+    multi = whole & F.coalesce(geometry == "matched", F.lit(False))
+    return F.struct(
+        found.alias("benchmark_status"), whole.alias("usable_whole_volume"), multi.alias("usable_multiphase"),
+        (multi & F.coalesce(roi == roi_ok, F.lit(False))).alias("usable_expert_roi"), multi.alias("subtraction_available"),
+    )
+
+
+def timepoint_match(is_anchor: Column) -> Column:
+    """How a compared exam was matched: by the acquisition date, or as another timepoint; unknown is another one."""
+    return F.when(parse_bool(is_anchor), "acquisition_date").otherwise("other_timepoint")
+
+
 def volume_gate(predicted: Column, reference: Column, low: float = 0.2, high: float = 5.0, least_ml: float = 0.05) -> Column:
     """struct(gate, ratio): empty (ratio 0) and too small (null) come before a missing reference (null)."""
     ratio = predicted / F.nullif(reference, F.lit(0.0))

@@ -249,6 +249,83 @@ SELECT run_name, metric, round(max(d) FILTER (replicate = -1), 5) AS delta, roun
 FROM deltas GROUP BY run_name, metric"""
 
 
+COHORT_SEED = 20260922
+
+
+def _cohort_subjects(preds: DataFrame) -> DataFrame:
+    return preds.where(F.col("run_name") == leaderboard.BASELINE).select("patient_id", "dataset", "label")
+
+
+def _with_solo(preds: DataFrame) -> DataFrame:
+    """Positives of every eleventh document are a cohort of one class."""
+    return preds.withColumn("dataset", F.when((F.col("patient_id") % 11 == 0) & (F.col("label") == 1), "solo").otherwise(F.col("dataset")))
+
+
+def cohort_bootstrap_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs against the baseline within each cohort: strata are classes, each cohort draws by a seed of its own; a cohort of one class is left out."""
+    preds = _with_solo(predictions(spark, sf_dir))
+    drawn = bootstrap.draw_blocks(bootstrap.with_both_classes(_cohort_subjects(preds)), REPLICATES, COHORT_SEED, cohort="dataset")
+    keys = ["run_name", "dataset"]
+    points = metrics.all_metrics(preds, keys).select(*keys, *bootstrap.VALUES)
+    found = bootstrap.paired_deltas(bootstrap.replicate_metrics(preds, drawn, keys), points, leaderboard.BASELINE, ["dataset"])
+    return rounded(found, "delta", "low", "high", "share_above", places=5)
+
+
+_SOLO_SQL = "preds0 AS (SELECT run_name, patient_id, CASE WHEN patient_id % 11 = 0 AND label = 1 THEN 'solo' ELSE dataset END AS dataset, label, prob FROM preds)"
+COHORT_DELTAS_SQL = f"""{PREDS_SQL}, {_SOLO_SQL}, fine AS (SELECT dataset FROM preds0 WHERE run_name = 'clinical_logreg' GROUP BY dataset HAVING count(*) FILTER (label = 1) > 0 AND count(*) FILTER (label = 0) > 0),
+p AS (SELECT * FROM preds0 WHERE dataset IN (SELECT dataset FROM fine)), subjects AS (SELECT patient_id, dataset, label FROM p WHERE run_name = 'clinical_logreg'),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY dataset, label ORDER BY ('0x' || substr(md5('{COHORT_SEED}|' || patient_id), 1, 8))::BIGINT, patient_id) - 1 AS slot, count(*) OVER (PARTITION BY dataset, label) AS size,
+    ('0x' || substr(md5('{COHORT_SEED}|' || dataset), 1, 8))::BIGINT AS child FROM subjects
+), drawn AS (
+  SELECT b AS replicate, dataset, label, ('0x' || substr(md5(child || '|' || b || '|' || dataset || '|' || label || '|' || slot), 1, 8))::BIGINT % size AS slot FROM ranked, range({REPLICATES}) t(b)
+), weights AS (SELECT d.replicate, r.patient_id, count(*) AS weight FROM drawn d JOIN ranked r USING (dataset, label, slot) GROUP BY d.replicate, r.patient_id),
+weighted AS (SELECT p.*, w.replicate, w.weight FROM p JOIN weights w USING (patient_id) UNION ALL SELECT p.*, -1, 1 FROM p),
+{_ranking_sql('run_name, dataset, replicate', 'weighted', 'weight')}, balanced AS (
+  SELECT run_name, dataset, replicate,
+    (coalesce(sum(weight) FILTER (label = 1 AND prob >= 0.5), 0) / sum(weight) FILTER (label = 1) + coalesce(sum(weight) FILTER (label = 0 AND prob < 0.5), 0) / sum(weight) FILTER (label = 0)) / 2 AS ba
+  FROM weighted GROUP BY run_name, dataset, replicate
+), long AS (
+  SELECT run_name, dataset, replicate, unnest(['auroc', 'average_precision', 'balanced_accuracy']) AS metric, unnest([auroc, average_precision, ba::DOUBLE]) AS value FROM ranking JOIN balanced USING (run_name, dataset, replicate)
+), deltas AS (
+  SELECT a.run_name, a.dataset, a.metric, a.replicate, a.value - b.value AS d FROM long a JOIN long b USING (dataset, metric, replicate) WHERE b.run_name = 'clinical_logreg' AND a.run_name <> 'clinical_logreg'
+)
+SELECT run_name, dataset, metric, round(max(d) FILTER (replicate = -1), 5) AS delta, round(quantile_cont(d, 0.025) FILTER (replicate >= 0), 5) AS low,
+  round(quantile_cont(d, 0.975) FILTER (replicate >= 0), 5) AS high, round(avg((d > 0)::INT) FILTER (replicate >= 0), 5) AS share_above FROM deltas GROUP BY run_name, dataset, metric"""
+
+
+def cohort_draw_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of each cohort, and whether it can be resampled."""
+    return bootstrap.cohort_classes(_cohort_subjects(_with_solo(predictions(spark, sf_dir))))
+
+
+COHORT_STATUS_SQL = f"""{PREDS_SQL}, {_SOLO_SQL} SELECT dataset, count(*) AS n, count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg,
+  CASE WHEN count(*) FILTER (label = 1) > 0 AND count(*) FILTER (label = 0) > 0 THEN 'drawn' ELSE 'one_class_only' END AS draw_status FROM preds0 WHERE run_name = 'clinical_logreg' GROUP BY dataset"""
+
+_CROSS, _INPUTS = "gamma_cross", ["phase0", "last_phase_minus_phase0", "selected_fusion", "all_dce_fusion", "own_input", "phase0_phase1_last"]
+
+
+def run_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run names spelled from the parts' numbers, read back: model, crop, input and its label, feature set and group; names that do not parse are null."""
+    n = F.col("p_partkey")
+    pick = lambda words, by: F.element_at(F.array(*map(F.lit, words)), (by % len(words) + 1).cast("int"))
+    spelt = F.concat(pick(["alpha", "beta", _CROSS, "unknown"], n), F.lit("_"), pick(["whole", "expert_roi", "half"], F.floor(n / 4)), F.lit("_"), pick(_INPUTS, F.floor(n / 12)), pick(["_logreg", "_image_clinical_logreg", "_svm"], F.floor(n / 72)))
+    runs = table(spark, sf_dir, "part").select("p_partkey", F.when(n % 97 == 0, leaderboard.BASELINE).otherwise(spelt).alias("run_name"))
+    return runs.select("p_partkey", "run_name", leaderboard.parse_run_name(F.col("run_name"), [*MODELS, _CROSS], (_CROSS,)).alias("r")).select("p_partkey", "run_name", "r.*")
+
+
+_PLAIN_LABELS = ", ".join(f"'{leaderboard.INPUT_LABELS.get(i, i)}'" for i in _INPUTS)
+RUN_NAMES_SQL = f"""WITH p AS (SELECT p_partkey, p_partkey % 97 = 0 AS base, ['alpha', 'beta', '{_CROSS}', 'unknown'][p_partkey % 4 + 1] AS m, ['whole', 'expert_roi', 'half'][p_partkey // 4 % 3 + 1] AS c,
+  [{", ".join(f"'{i}'" for i in _INPUTS)}][p_partkey // 12 % 6 + 1] AS i, [{_PLAIN_LABELS}][p_partkey // 12 % 6 + 1] AS label, ['_logreg', '_image_clinical_logreg', '_svm'][p_partkey // 72 % 3 + 1] AS e FROM part),
+f AS (SELECT *, NOT base AND m <> 'unknown' AND c <> 'half' AND e <> '_svm' AS fits, e = '_image_clinical_logreg' AS clinical, m = '{_CROSS}' AS other FROM p)
+SELECT p_partkey, CASE WHEN base THEN 'clinical_logreg' ELSE m || '_' || c || '_' || i || e END AS run_name, CASE WHEN base THEN 'clinical' WHEN fits THEN m END AS model,
+  CASE WHEN base THEN 'N/A' WHEN fits AND c = 'whole' THEN 'Whole volume' WHEN fits THEN 'Expert ROI' END AS crop, CASE WHEN base THEN 'clinical' WHEN fits THEN i END AS input, CASE WHEN base THEN true WHEN fits THEN clinical END AS has_clinical,
+  CASE WHEN base THEN 'Clinical-only' WHEN fits AND other THEN 'Cross-modality stress test' WHEN fits AND clinical THEN 'Image + clinical' WHEN fits THEN 'Image-only' END AS benchmark_group,
+  CASE WHEN base THEN 'Clinical-only' WHEN fits AND other AND clinical THEN 'Cross-modality image + clinical' WHEN fits AND other THEN 'Cross-modality image-only' WHEN fits AND clinical THEN 'Image + clinical'
+    WHEN fits AND i LIKE '%fusion%' THEN 'Image-only fused embeddings' WHEN fits THEN 'Image-only' END AS feature_set,
+  CASE WHEN base THEN 'Clinical variables' WHEN fits AND c = 'whole' AND i = 'selected_fusion' THEN 'Selected phase fusion' WHEN fits THEN label END AS input_label FROM f"""
+
+
 def interval_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of the report, of values rounded before."""
     found = bootstrap_intervals(spark, sf_dir)
@@ -338,6 +415,7 @@ QUERIES = {
     "bootstrap_intervals": bootstrap_intervals, "bootstrap_deltas": bootstrap_deltas, "interval_texts": interval_texts,
     "align_predictions_dq": align_predictions_dq, "prediction_rules_dq": prediction_rules_dq, "consistency_gate": consistency_gate,
     "semi_join_subset": semi_join_subset, "best_epoch": best_epoch,
+    "cohort_bootstrap_deltas": cohort_bootstrap_deltas, "cohort_draw_status": cohort_draw_status, "run_names": run_names,
 }
 ORACLE_SQL = {
     "metrics_by_run": METRICS_BY_RUN_SQL, "auroc_ap_by_run": AUROC_SQL, "metrics_by_run_and_cohort": COHORT_SQL,
@@ -346,4 +424,5 @@ ORACLE_SQL = {
     "bootstrap_intervals": INTERVALS_SQL, "bootstrap_deltas": DELTAS_SQL, "interval_texts": INTERVAL_TEXTS_SQL,
     "align_predictions_dq": ALIGN_SQL, "prediction_rules_dq": PREDICTION_RULES_SQL, "consistency_gate": CONSISTENCY_SQL,
     "semi_join_subset": SEMI_SQL, "best_epoch": BEST_EPOCH_SQL,
+    "cohort_bootstrap_deltas": COHORT_DELTAS_SQL, "cohort_draw_status": COHORT_STATUS_SQL, "run_names": RUN_NAMES_SQL,
 }

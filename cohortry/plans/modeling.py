@@ -102,10 +102,20 @@ def leave_one_cohort_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probe.leave_one_cohort_out(_probe_rows(spark, sf_dir), ["site0", "site1", "site2"])
 
 
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def table_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of every table; each is counted where it is read."""
+    return reduce(DataFrame.unionByName, [table(spark, sf_dir, n).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table"), "rows") for n in TABLES])
+
+
+ROW_COUNTS_SQL = " UNION ALL ".join(f"SELECT '{n}' AS \"table\", count(*) AS \"rows\" FROM {n}" for n in TABLES)
+
+
 def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files, bytes and rows of every table."""
-    names = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-    rows = [table(spark, sf_dir, n).select(F.lit(n).alias("table"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length")) for n in names]
+    rows = [table(spark, sf_dir, n).select(F.lit(n).alias("table"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length")) for n in TABLES]
     files = reduce(DataFrame.unionByName, rows).groupBy("table", "path").agg(F.max("length").alias("length"), F.count(F.lit(1)).alias("rows"))
     return files.groupBy("table").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.sum("rows").alias("rows"))
 
@@ -145,10 +155,10 @@ UNION ALL SELECT patient_id, exam_date, "rows", round(total, 2), 'first' FROM b
 
 QUERIES = {
     "impute_scale_onehot": impute_scale_onehot, "schema_features": schema_features, "class_weights": class_weights, "metrics_json_flatten": metrics_json_flatten,
-    "probe_fit": probe_fit, "leave_one_cohort_out": leave_one_cohort_out, "scan_files": scan_files, "resume_incremental": resume_incremental, "corrections_merged": corrections_merged,
+    "probe_fit": probe_fit, "leave_one_cohort_out": leave_one_cohort_out, "scan_files": scan_files, "resume_incremental": resume_incremental, "corrections_merged": corrections_merged, "table_row_counts": table_row_counts,
 }
 ORACLE_SQL = {
     "impute_scale_onehot": IMPUTE_SQL, "schema_features": SCHEMA_SQL, "class_weights": WEIGHTS_SQL, "metrics_json_flatten": JSON_SQL,
-    "corrections_merged": CORRECTIONS_SQL,
+    "corrections_merged": CORRECTIONS_SQL, "table_row_counts": ROW_COUNTS_SQL,
     "resume_incremental": "SELECT count(DISTINCT event_id) AS requested, count(DISTINCT event_id) FILTER (event_id % 100 <> 0) AS done, count(DISTINCT event_id) FILTER (event_id % 100 = 0) AS failed, 0::BIGINT AS missing FROM events",
 }

@@ -262,11 +262,28 @@ walk AS (
 SELECT patient_id, anchor, pick AS series, list_position(wish, pick)::INTEGER AS place FROM walk WHERE pick IS NOT NULL"""
 
 
+def benchmark_usability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest's verdict on each patient with what it allows, and how its exam was matched."""
+    n = F.col("c_custkey")
+    geometry = status.cascade((n % 9 == 0, "shape_mismatch"), (n % 8 == 0, "affine_mismatch"), otherwise="matched")
+    roi = F.when(n % 6 == 0, "missing_expert_mask").when(n % 5 == 0, None).otherwise("expert_mask_roi")
+    verdict = status.manifest_verdict(F.when(n % 11 != 0, n % 2), F.when(n % 7 != 0, "train"), F.when(n % 4 != 0, n % 13 == 0), n % 10 == 0, geometry, roi)
+    match = status.timepoint_match(F.when(n % 3 == 0, "True").when(n % 3 == 1, "no"))
+    return table(spark, sf_dir, "customer").select(n.alias("patient_id"), verdict.alias("v"), match.alias("timepoint_match")).select("patient_id", "v.*", "timepoint_match")
+
+
+USABILITY_SQL = """WITH s AS (SELECT c_custkey AS n, CASE WHEN c_custkey % 11 = 0 THEN 'missing_pcr_label' WHEN c_custkey % 7 = 0 THEN 'missing_split' WHEN c_custkey % 4 <> 0 AND c_custkey % 13 = 0 THEN 'missing_required_phase' WHEN c_custkey % 10 = 0 THEN 'phase_header_error'
+  WHEN c_custkey % 9 = 0 THEN 'phase_geometry_shape_mismatch' WHEN c_custkey % 8 = 0 THEN 'phase_geometry_affine_mismatch' ELSE 'usable' END AS benchmark_status FROM customer)
+SELECT n AS patient_id, benchmark_status, benchmark_status = 'usable' AS usable_whole_volume, benchmark_status = 'usable' AS usable_multiphase, benchmark_status = 'usable' AND n % 6 <> 0 AND n % 5 <> 0 AS usable_expert_roi,
+  benchmark_status = 'usable' AS subtraction_available, CASE WHEN n % 3 = 0 THEN 'acquisition_date' ELSE 'other_timepoint' END AS timepoint_match FROM s"""
+
 QUERIES = {
+    "benchmark_usability": benchmark_usability,
     "exam_risk_audit": exam_risk_audit, "view_contrast_audit": view_contrast_audit, "mismatch_dates": mismatch_dates, "patients_to_review": patients_to_review, "visual_review_audit": visual_review_audit,
     "candidate_scores": candidate_scores, "audit_scores": audit_scores, "candidate_counts": candidate_counts, "series_claims": series_claims, "series_one_to_one": series_one_to_one,
 }
 ORACLE_SQL = {
+    "benchmark_usability": USABILITY_SQL,
     "exam_risk_audit": EXAM_RISK_SQL, "view_contrast_audit": VIEW_CONTRAST_SQL, "mismatch_dates": MISMATCH_DATES_SQL, "patients_to_review": TO_REVIEW_SQL, "visual_review_audit": VISUAL_REVIEW_SQL,
     "candidate_scores": CANDIDATE_SCORES_SQL, "audit_scores": AUDIT_SCORES_SQL, "candidate_counts": CANDIDATE_COUNTS_SQL, "series_claims": SERIES_CLAIMS_SQL, "series_one_to_one": SERIES_ONE_TO_ONE_SQL,
 }

@@ -114,6 +114,18 @@ def test_missing_scores_are_the_lowest(spark):
         assert len(a) == 9 and {k: pytest.approx(v) for k, v in a.items()} == b
 
 
+def test_cohorts_draw_by_their_own_seeds(spark):
+    people = [(k, "ab"[k % 2], k % 3 % 2) for k in range(60)] + [(100 + k, "one", 1) for k in range(5)] + [(200, None, 0), (201, None, 1), (300, "gap", None), (301, "gap", 1), (302, "gap", 0)]
+    subjects = spark.createDataFrame(people, "patient_id int, dataset string, label int")
+    status = {r["dataset"]: (r["n"], r["n_pos"], r["draw_status"]) for r in bootstrap.cohort_classes(subjects).collect()}
+    assert status["one"] == (5, 5, "one_class_only") and status["gap"][2] == "one_class_only" and status["a"][2] == status[None][2] == "drawn"
+    drawn = bootstrap.with_both_classes(subjects)
+    assert {r["dataset"] for r in drawn.select("dataset").distinct().collect()} == {"a", "b", None}
+    weights = lambda df: {tuple(r) for r in bootstrap.draw_weights(df, 6, 9, cohort="dataset").collect()}
+    own = weights(drawn.where("dataset = 'a'"))
+    assert own == {w for w in weights(drawn.where("dataset is not null")) if w[1] < 60 and w[1] % 2 == 0} and own != {tuple(r) for r in bootstrap.draw_weights(drawn.where("dataset = 'a'"), 6, 9).collect()}
+
+
 def test_replicates_of_no_rows(spark):
     subjects = spark.createDataFrame([], "patient_id int, dataset string, label int")
     preds = spark.createDataFrame([], "run_name string, patient_id int, dataset string, label int, prob double")

@@ -62,6 +62,54 @@ def test_quarantine_manual_phases_metrics_predictions(spark, tmp_path):
         tables.read_predictions(spark, str(tmp_path / "runs"))
 
 
+def test_run_summaries_join_history_config_and_first_test_result(spark, tmp_path):
+    files = {
+        "a/metrics.csv": "epoch,train_loss,val_loss,val_roc_auc\n1,0.9,0.8,0.5\n2,0.7,0.6,0.75\n3,0.5,0.7,0.75\n",
+        "a/run_config.json": json.dumps({"split_summary": {"train_rows": 10, "val_rows": 2, "freeze_encoder": True, "resize_mode": "pad"}, "args": {"image_only": False, "roi_status": ["x", "y"], "input_shape": [4, 5, 6]}}),
+        "a/test_evaluation.json": "{}", "a/best_on_test.json": json.dumps({"checkpoint": "best.pt", "checkpoint_epoch": 2, "metrics": {"roc_auc": 0.5, "curve": [1, 2], "name": "t", "none": None}}), "a/test_metrics.json": json.dumps({"roc_auc": 0.1}),
+        "b/metrics.csv": "step,val_loss\r\n5,\r\n6,0.25\r\n7,0.5\r\n", "c/test_metrics.json": json.dumps({"roc_auc": 0.25, "tn": 3}), "d/run_config.json": json.dumps({"args": {"architecture": "other", "roi_status": "one"}}), "e/metrics.csv": "epoch,train_loss\n4,1\n9,2\n",
+    }
+    for name, body in files.items():
+        (tmp_path / "runs" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "runs" / name).write_text(body)
+    got = {r["run_name"]: r for r in tables.summarize_runs(spark, str(tmp_path / "runs")).collect()}
+    assert set(got) == set("abcde")
+    a, b, c, d, e = (got[k] for k in "abcde")
+    assert (a["epochs"], a["best_epoch"], a["best"]) == (3, 2, {"train_loss": 0.7, "val_loss": 0.6, "val_roc_auc": 0.75})
+    assert (a["test_result_file"], a["test"], a["test_checkpoint"], a["test_checkpoint_epoch"]) == ("best_on_test.json", {"roc_auc": "0.5", "name": "t", "none": None}, "best.pt", 2)
+    assert (a["train_rows"], a["freeze_encoder"], a["random_init_encoder"], a["architecture"], a["image_only"], a["roi_status"], a["input_shape"], a["resize_mode"]) == (10, "true", "false", "nnunet_encoder", "false", "x y", "4x5x6", "pad")
+    assert (b["epochs"], b["best_epoch"], b["best"], b["test"]) == (3, None, {"val_loss": 0.25}, None)
+    assert (c["test_result_file"], c["test"], c["test_checkpoint"], c["epochs"]) == ("test_metrics.json", {"roc_auc": "0.25", "tn": "3"}, None, None)
+    assert (d["architecture"], d["roi_status"], d["resize_mode"]) == ("other", "one", "stretch") and (e["epochs"], e["best_epoch"], e["best"]) == (9, 9, {"train_loss": 2.0})
+    (tmp_path / "none").mkdir()
+    assert tables.summarize_runs(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_legend_summary_object_and_active_audit(spark, tmp_path):
+    (tmp_path / "legend.csv").write_text("column,description\n age , years \nage,older\n,lost\npcr,\n")
+    legend = tables.read_legend(spark, str(tmp_path / "legend.csv"))
+    assert {r["column"]: r["description"] for r in legend.collect()} == {"age": "older", "pcr": None}
+    (tmp_path / "clinical.csv").write_text("patient_id,age,pcr\np1,44,1\np2,x,0\n")
+    clinical = tables.read_clinical(spark, str(tmp_path / "clinical.csv"), "patient_id string, age int, pcr int")
+    assert sorted((r["patient_id"], r["age"]) for r in clinical.collect()) == [("p1", 44), ("p2", None)] and tables.undescribed_columns(clinical, legend) == ["patient_id"]
+    counts = spark.createDataFrame([("b", "x", 1), ("b", None, 2), ("a", 'q"uote', 3), ("b", "x", 4)], "section string, key string, n long")
+    sinks.write_summary_object(counts, str(tmp_path / "s"))
+    written = [f for f in (tmp_path / "s").iterdir() if f.name.startswith("part-")]
+    assert len(written) == 1 and written[0].read_text().strip() == '{"a":{"q\\"uote":3},"b":{"missing":2,"x":5}}'
+    sinks.write_summary_object(counts.where("false"), str(tmp_path / "s0"))
+    assert [f.read_text().strip() for f in (tmp_path / "s0").iterdir() if f.name.startswith("part-")] == ["{}"]
+    (tmp_path / "audit.csv").write_text("patient_id,reconstructed_exam_exists\np1,True\np2,false\np3,\n")
+    assert [r["patient_id"] for r in tables.read_active_audit(spark, str(tmp_path / "audit.csv")).collect()] == ["p1"]
+
+
+def test_split_and_baseline_checks_and_coefficients(spark):
+    runs = spark.createDataFrame([("clinical_logreg",), ("x",), ("clinical_logreg",)], "run_name string")
+    assert dq.baseline_count(runs, "clinical_logreg") == 2 and dq.baseline_count(runs.where("false"), "x") == 0
+    preds = spark.createDataFrame([("r", 1), ("r", 0), ("s", 1), ("t", None)], "run_name string, label int")
+    assert {r["run_name"] for r in dq.one_class_keys(preds, ["run_name"]).collect()} == {"s", "t"}
+    assert [tuple(r) for r in probe.coefficient_table(spark, ["a", "b", "c"], [0.5, -2.0, 0.5]).collect()] == [("b", -2.0), ("a", 0.5), ("c", 0.5)]
+
+
 def test_stream_resumes_and_corrections_win(spark, tmp_path):
     schema = "patient_id string, exam_date string, v int"
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
