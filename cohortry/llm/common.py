@@ -62,6 +62,16 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Bytes of an Arrow batch on its way to or from a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches, for this session from now on: a batch of 10,000 long texts is held by the executor and by each of
+    its workers, and stages with several Python steps hold several."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def text_of(column: str | Column = "text") -> Column:
     """The text, with null read as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
