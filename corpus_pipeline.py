@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.llm import lines, neardup, packing, pii, quality
-from cohortry.llm.common import saved
+from cohortry.llm.common import saved, small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Five-word shingles, similarity 0.8.
@@ -26,6 +26,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier accepts."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.quality_scores(docs, labels).where("good").select(*COLUMNS)
 
@@ -36,6 +37,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A group of near duplicates, as the next stage forms them, is one page of its source: else the lines that its
     copies share would pass for boilerplate, and nothing of the text would be left. A null id is a group of its own.
     """
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     groups = neardup.near_duplicates(docs, **NEAR).groupBy(F.col("doc_id").alias("id")).agg(F.min("component_id").alias("page"))
     paged = docs.join(saved(groups), docs["doc_id"].eqNullSafe(F.col("id")), "left").drop("id")
@@ -44,6 +46,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    small_batches(spark)
     return neardup.drop_near_duplicates(docs, **NEAR).select(*COLUMNS)
 
 
@@ -54,6 +57,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' ids, each with its place in a sequence of 4096."""
+    small_batches(spark)
     import public_tokenizers
 
     pieces = packing.document_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
