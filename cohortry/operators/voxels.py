@@ -1,7 +1,6 @@
-"""Dense volumes: comparisons and helpers that need whole arrays, one row at a time, in Arrow batches.
+"""Volumes: comparisons of dense arrays by column expressions, of long voxel tables by aggregates, and encoders over slices.
 
-A volume is an array of doubles in x-major order with a known shape. Pairs are joined before these run, so a
-helper sees one row; set ``spark.sql.execution.arrow.maxRecordsPerBatch`` low for large volumes.
+A dense volume is an array of doubles in x-major order with a known shape; see ``shapes`` for measures over long voxels.
 """
 
 from __future__ import annotations
@@ -135,122 +134,6 @@ def mutual_information(pairs: DataFrame, key: str, bins: int = 48, least: int =
     return keys.join(found, key, "left")
 
 
-_ROBUST = "low double, median double, high double, foreground double, cx double, cy double, cz double, ex double, ey double, ez double"
-
-
-def robust_features(shape: tuple[int, int, int]) -> Callable[[Column], Column]:
-    """Percentiles 1, 50, 99; share, centre and extent (as fractions) of voxels above the middle of 1 and 99."""
-
-    @F.pandas_udf(_ROBUST)
-    def features(volumes: pd.Series) -> pd.DataFrame:
-        rows = []
-        for v in volumes:
-            a = np.asarray(v, dtype=float).reshape(shape)
-            low, mid, high = np.percentile(a, [1, 50, 99])
-            at = np.argwhere(a > (low + high) / 2) if high > low else np.empty((0, 3))
-            size = np.array(shape)
-            center, extent = ((at.mean(axis=0) / size, (np.ptp(at, axis=0) + 1) / size) if len(at) else (np.full(3, np.nan), np.zeros(3)))
-            rows.append((low, mid, high, len(at) / a.size, *center, *extent))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in _ROBUST.split(", ")])
-
-    return features
-
-
-def orientation_match(shape: tuple[int, int, int]) -> Callable[[Column, Column], Column]:
-    """Best of eight flips, with and without swapping equal x and y: struct(transform, corr, label)."""
-
-    @F.pandas_udf("transform string, corr double, label string")
-    def best(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-        rows = []
-        for a, b in zip(left, right, strict=True):
-            x, y = (np.asarray(v, dtype=float).reshape(shape) for v in (a, b))
-            found = ("none", -np.inf)
-            for swap in (False, True) if shape[0] == shape[1] else (False,):
-                base = y.transpose(1, 0, 2) if swap else y
-                for bits in range(8):
-                    turned = np.flip(base, [k for k in range(3) if bits >> k & 1])
-                    if x.std() > 1e-8 and turned.std() > 1e-8:
-                        corr = float(np.corrcoef(x.ravel(), turned.ravel())[0, 1])
-                        if corr > found[1] + 1e-12:
-                            found = (f"{'swap' if swap else 'keep'}{bits}", corr)
-            corr = found[1] if np.isfinite(found[1]) else None
-            label = next((n for n, t in (("equivalent", 0.999), ("very_similar", 0.98), ("similar", 0.90)) if corr is not None and corr >= t), "different")
-            rows.append((found[0], corr, label))
-        return pd.DataFrame(rows, columns=["transform", "corr", "label"])
-
-    return best
-
-
-def _box_mean(a: np.ndarray, w: int) -> np.ndarray:
-    s = np.cumsum(np.cumsum(np.pad(a, ((1, 0), (1, 0))), axis=0), axis=1)
-    return (s[w:, w:] - s[:-w, w:] - s[w:, :-w] + s[:-w, :-w]) / (w * w)
-
-
-def ssim(a: np.ndarray, b: np.ndarray, window: int = 7) -> float:
-    """Mean structural similarity of two images, uniform window, sample covariance, range of ``a`` and ``b`` together."""
-    w = min(window, *a.shape)
-    span = max(a.max(), b.max()) - min(a.min(), b.min())
-    if span <= 0:
-        return 1.0
-    c1, c2, fix = (0.01 * span) ** 2, (0.03 * span) ** 2, w * w / max(w * w - 1, 1)
-    ma, mb = _box_mean(a, w), _box_mean(b, w)
-    va, vb, vab = fix * (_box_mean(a * a, w) - ma * ma), fix * (_box_mean(b * b, w) - mb * mb), fix * (_box_mean(a * b, w) - ma * mb)
-    return float((((2 * ma * mb + c1) * (2 * vab + c2)) / ((ma**2 + mb**2 + c1) * (va + vb + c2))).mean())
-
-
-def surface_distance(a: np.ndarray, b: np.ndarray, spacing: np.ndarray, percentile: float = 95, step: int = 512) -> float | None:
-    """95th percentile of distances from either surface to the other, in mm; None if a mask is empty."""
-
-    def surface(m: np.ndarray) -> np.ndarray:
-        p = np.pad(m, 1)
-        inner = p[1:-1, 1:-1, 1:-1].copy()
-        for axis in range(3):
-            inner &= np.roll(p, 1, axis)[1:-1, 1:-1, 1:-1] & np.roll(p, -1, axis)[1:-1, 1:-1, 1:-1]
-        return np.argwhere(m & ~inner) * spacing
-
-    x, y = surface(a), surface(b)
-    if not len(x) or not len(y):
-        return None
-    near = lambda p, q: np.concatenate([np.sqrt(((p[k : k + step, None] - q[None]) ** 2).sum(-1).min(1)) for k in range(0, len(p), step)])
-    return float(np.percentile(np.concatenate([near(x, y), near(y, x)]), percentile))
-
-
-def largest_component(mask: np.ndarray) -> np.ndarray:
-    """The largest 26-connected part of a mask; the first of equals."""
-    left, best = {tuple(p) for p in np.argwhere(mask).tolist()}, set()
-    while left:
-        part, todo = set(), [min(left)]
-        left.discard(todo[0])
-        while todo:
-            p = todo.pop()
-            part.add(p)
-            for d in np.ndindex(3, 3, 3):
-                q = (p[0] + d[0] - 1, p[1] + d[1] - 1, p[2] + d[2] - 1)
-                if q in left:
-                    left.discard(q)
-                    todo.append(q)
-        best = max(best, part, key=len) if best else part
-    out = np.zeros(mask.shape, dtype=bool)
-    for p in best:
-        out[p] = True
-    return out
-
-
-def helper_measures(shape: tuple[int, int, int], above: float, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> Callable[[Column, Column], Column]:
-    """struct(mean_ssim of three projections, hd95 and largest part of the masks over a threshold)."""
-
-    @F.pandas_udf("mean_ssim double, hd95 double, largest long")
-    def measures(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-        rows = []
-        for a, b in zip(left, right, strict=True):
-            x, y = (np.asarray(v, dtype=float).reshape(shape) for v in (a, b))
-            similar = [ssim(x.max(axis=k), y.max(axis=k)) for k in range(3)]
-            rows.append((float(np.mean(similar)), surface_distance(x > above, y > above, np.array(spacing)), int(largest_component(x > above).sum())))
-        return pd.DataFrame(rows, columns=["mean_ssim", "hd95", "largest"])
-
-    return measures
-
-
 def encode_slices(slices: DataFrame, make_encoder: Callable[[], Callable[[np.ndarray], np.ndarray]], key: list[str], column: str = "slice") -> DataFrame:
     """``key``, ``embedding``, ``error``: a frozen encoder over slices of one length, built once a task.
 

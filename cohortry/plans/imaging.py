@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
-from ..operators import features, masks, voxels
+from ..operators import features, masks, shapes, voxels
 from .common import r6, rounded, table
 
 SHAPE, ABOVE, ML = (4, 4, 4), 0.1, 0.008
@@ -183,13 +183,94 @@ FUSE_SQL = f"""WITH {VOLUMES_SQL}, l AS (SELECT volume_id // 4 AS patient_id, vo
 SELECT a.patient_id, 192 AS width, round(a.v[1], 6) AS first, round(b.v[1], 6) AS second, round(c.v[64], 6) AS last FROM l a JOIN l b ON a.patient_id = b.patient_id AND b.m = 0 JOIN l c ON a.patient_id = c.patient_id AND c.m = 3 WHERE a.m = 2"""
 
 
-def volume_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flips, structural similarity, surface distance, components and robust features of each pair."""
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Both volumes of each pair as long voxels."""
     p = _pairs(spark, sf_dir)
-    found = p.select(
-        "volume_id", voxels.orientation_match(SHAPE)("voxels", "other").alias("o"), voxels.helper_measures(SHAPE, ABOVE)("voxels", "other").alias("m"), voxels.robust_features(SHAPE)("voxels").alias("f")
-    )
-    return found.select("volume_id", "o.*", "m.*", "f.*")
+    return shapes.long_voxels(p, "voxels", SHAPE), shapes.long_voxels(p, "other", SHAPE)
+
+
+_SIDES_SQL = f"""{VOLUMES_SQL}, sides AS (SELECT a.volume_id, a.x, a.y, a.z, a.v AS a, b.v AS b FROM vox a JOIN vox b ON b.volume_id = a.volume_id + 10 AND a.x = b.x AND a.y = b.y AND a.z = b.z)"""
+
+
+def robust_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shapes.robust_features(_sides(spark, sf_dir)[0], SHAPE)
+    return rounded(found, *[c for c in found.columns if c != "volume_id"])
+
+
+_ROBUST_SQL = """q AS (SELECT volume_id, quantile_cont(a, 0.01) AS low, quantile_cont(a, 0.5) AS median, quantile_cont(a, 0.99) AS high FROM sides GROUP BY volume_id),
+robust AS (SELECT s.volume_id, round(low, 6) AS low, round(median, 6) AS median, round(high, 6) AS high, round(count(*) FILTER (a > (low + high) / 2) / count(*), 6) AS foreground,
+  round(avg(x) FILTER (a > (low + high) / 2) / 4, 6) AS cx, round(avg(y) FILTER (a > (low + high) / 2) / 4, 6) AS cy, round(avg(z) FILTER (a > (low + high) / 2) / 4, 6) AS cz,
+  round((max(x) FILTER (a > (low + high) / 2) - min(x) FILTER (a > (low + high) / 2) + 1) / 4, 6) AS ex, round((max(y) FILTER (a > (low + high) / 2) - min(y) FILTER (a > (low + high) / 2) + 1) / 4, 6) AS ey,
+  round((max(z) FILTER (a > (low + high) / 2) - min(z) FILTER (a > (low + high) / 2) + 1) / 4, 6) AS ez FROM sides s JOIN q USING (volume_id) GROUP BY s.volume_id, low, median, high)"""
+ROBUST_SQL = f"WITH {_SIDES_SQL}, {_ROBUST_SQL} SELECT * FROM robust"
+
+
+def orientation_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(shapes.orientation_match(*_sides(spark, sf_dir), SHAPE), "corr")
+
+
+_ORIENTATION_SQL = """turned AS (SELECT volume_id, o, CASE WHEN o % 2 = 1 THEN 3 - p ELSE p END AS x, CASE WHEN o // 2 % 2 = 1 THEN 3 - q ELSE q END AS y, CASE WHEN o // 4 % 2 = 1 THEN 3 - z ELSE z END AS z, b
+  FROM (SELECT volume_id, o, b, z, CASE WHEN o >= 8 THEN y ELSE x END AS p, CASE WHEN o >= 8 THEN x ELSE y END AS q FROM sides, range(16) AS r(o))),
+fits AS (SELECT volume_id, o, corr(s.a, t.b) AS c FROM turned t JOIN sides s USING (volume_id, x, y, z) GROUP BY volume_id, o),
+fit AS (SELECT volume_id, min(o) AS o, max(top) AS c FROM (SELECT *, max(c) OVER (PARTITION BY volume_id) AS top FROM fits) WHERE c > top - 1e-12 GROUP BY volume_id),
+orientation AS (SELECT volume_id, CASE WHEN o >= 8 THEN 'swap' ELSE 'keep' END || o % 8 AS transform, round(c, 6) AS corr, CASE WHEN c >= 0.999 THEN 'equivalent' WHEN c >= 0.98 THEN 'very_similar' WHEN c >= 0.9 THEN 'similar' ELSE 'different' END AS label FROM fit)"""
+ORIENTATION_SQL = f"WITH {_SIDES_SQL}, {_ORIENTATION_SQL} SELECT * FROM orientation"
+
+
+def projection_ssim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(shapes.projection_ssim(*_sides(spark, sf_dir), SHAPE), "ssim")
+
+
+#: A 4 x 4 image is one window.
+_SSIM_SQL = """images AS (SELECT volume_id, 'x' AS axis, max(a) AS a, max(b) AS b FROM sides GROUP BY volume_id, y, z UNION ALL SELECT volume_id, 'y', max(a), max(b) FROM sides GROUP BY volume_id, x, z UNION ALL SELECT volume_id, 'z', max(a), max(b) FROM sides GROUP BY volume_id, x, y),
+w AS (SELECT volume_id, axis, avg(a) AS ma, avg(b) AS mb, var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS vab, greatest(max(a), max(b)) - least(min(a), min(b)) AS span FROM images GROUP BY volume_id, axis),
+alike AS (SELECT volume_id, axis, (2 * ma * mb + pow(0.01 * span, 2)) * (2 * vab + pow(0.03 * span, 2)) / ((ma * ma + mb * mb + pow(0.01 * span, 2)) * (va + vb + pow(0.03 * span, 2))) AS ssim FROM w)"""
+SSIM_SQL = f"WITH {_SIDES_SQL}, {_SSIM_SQL} SELECT volume_id, axis, round(ssim, 6) AS ssim FROM alike"
+
+
+def _masks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(side.where(F.col("v") > ABOVE).select(*shapes.PLACE) for side in _sides(spark, sf_dir))
+
+
+def surface_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(shapes.surface_distances(*_masks(spark, sf_dir), SHAPE), "distance")
+
+
+#: All surface points of one mask against all of the other.
+_DISTANCE_SQL = f"""points AS (SELECT volume_id, 0 AS side, x, y, z FROM sides WHERE a > {ABOVE} UNION ALL SELECT volume_id, 1, x, y, z FROM sides WHERE b > {ABOVE}),
+inner_ AS (SELECT p.volume_id, p.side, p.x, p.y, p.z FROM points p JOIN points q ON p.volume_id = q.volume_id AND p.side = q.side AND abs(p.x - q.x) + abs(p.y - q.y) + abs(p.z - q.z) = 1 GROUP BY ALL HAVING count(*) = 6),
+edge AS (SELECT * FROM points EXCEPT ALL SELECT * FROM inner_),
+near AS (SELECT p.volume_id, p.side, p.x, p.y, p.z, sqrt(min((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z))) AS d FROM edge p JOIN edge q ON p.volume_id = q.volume_id AND p.side <> q.side GROUP BY ALL),
+distances AS (SELECT volume_id, count(*) AS n, round(quantile_cont(d, 0.95), 6) AS distance FROM near GROUP BY volume_id)"""
+DISTANCE_SQL = f"WITH {_SIDES_SQL}, {_DISTANCE_SQL} SELECT * FROM distances"
+
+
+def largest_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shapes.largest_components(_masks(spark, sf_dir)[0], SHAPE)
+
+
+#: All voxels that each voxel reaches, then the least of them.
+_PARTS_SQL = f"""m AS (SELECT volume_id, x, y, z, (x * 4 + y) * 4 + z AS node FROM sides WHERE a > {ABOVE}),
+e AS (SELECT p.volume_id, p.node AS u, q.node AS w FROM m p JOIN m q ON p.volume_id = q.volume_id AND abs(p.x - q.x) <= 1 AND abs(p.y - q.y) <= 1 AND abs(p.z - q.z) <= 1),
+reach AS (SELECT volume_id, u, w FROM e UNION SELECT r.volume_id, r.u, e.w FROM reach r JOIN e ON r.volume_id = e.volume_id AND r.w = e.u),
+parts AS (SELECT volume_id, part, count(*) AS voxels FROM (SELECT volume_id, u, min(w) AS part FROM reach GROUP BY volume_id, u) GROUP BY volume_id, part),
+largest AS (SELECT volume_id, part, voxels FROM (SELECT *, row_number() OVER (PARTITION BY volume_id ORDER BY voxels DESC, part) AS r FROM parts) WHERE r = 1)"""
+LARGEST_SQL = f"WITH RECURSIVE {_SIDES_SQL}, {_PARTS_SQL} SELECT volume_id, part::BIGINT AS part, voxels FROM largest"
+
+
+def volume_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flips, structural similarity, surface distance, largest component and robust features of each pair, side by side."""
+    similar = shapes.projection_ssim(*_sides(spark, sf_dir), SHAPE).groupBy("volume_id").agg(F.avg("ssim").alias("mean_ssim"))
+    hd95 = surface_distances(spark, sf_dir).select("volume_id", F.col("distance").alias("hd95"))
+    largest = largest_components(spark, sf_dir).select("volume_id", F.col("voxels").alias("largest"))
+    out = orientation_match(spark, sf_dir).join(robust_features(spark, sf_dir), "volume_id").join(similar, "volume_id")
+    out = out.join(hd95, "volume_id", "left").join(largest, "volume_id", "left")
+    return rounded(out.withColumn("largest", F.coalesce("largest", F.lit(0).cast("long"))), "mean_ssim")
+
+
+HELPERS_SQL = f"""WITH RECURSIVE {_SIDES_SQL}, {_ORIENTATION_SQL}, {_ROBUST_SQL}, {_SSIM_SQL}, {_DISTANCE_SQL}, {_PARTS_SQL}
+SELECT o.*, r.* EXCLUDE (volume_id), mean_ssim, distance AS hd95, coalesce(voxels, 0) AS largest FROM orientation o JOIN robust r USING (volume_id)
+JOIN (SELECT volume_id, round(avg(ssim), 6) AS mean_ssim FROM alike GROUP BY volume_id) USING (volume_id) LEFT JOIN distances USING (volume_id) LEFT JOIN largest USING (volume_id)"""
 
 
 def encode_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,9 +300,11 @@ PATH_SQL = r"""SELECT page_id, string_split(regexp_replace(url, '^[a-z]+://', ''
 QUERIES = {
     "mask_stats_crop": mask_stats_crop, "busiest_slice": busiest_slice, "mask_dice": mask_dice, "overlap_summary": overlap_summary, "volume_compare": volume_compare,
     "max_projections": max_projections, "mutual_information": mutual_information, "geometry_rules": geometry_rules, "embedding_pool": embedding_pool, "embedding_fuse": embedding_fuse,
+    "robust_features": robust_features, "orientation_match": orientation_match, "projection_ssim": projection_ssim, "surface_distances": surface_distances, "largest_components": largest_components,
     "volume_helpers": volume_helpers, "encode_slices": encode_slices, "path_rules": path_rules,
 }
 ORACLE_SQL = {
+    "robust_features": ROBUST_SQL, "orientation_match": ORIENTATION_SQL, "projection_ssim": SSIM_SQL, "surface_distances": DISTANCE_SQL, "largest_components": LARGEST_SQL, "volume_helpers": HELPERS_SQL,
     "mask_stats_crop": MASK_SQL, "busiest_slice": SLICE_SQL, "mask_dice": DICE_SQL, "overlap_summary": SUMMARY_SQL, "volume_compare": COMPARE_SQL, "max_projections": MIP_SQL,
     "mutual_information": NMI_SQL, "geometry_rules": GEOMETRY_SQL, "embedding_pool": POOL_SQL, "embedding_fuse": FUSE_SQL, "path_rules": PATH_SQL,
 }

@@ -179,25 +179,6 @@ def test_corrections_win_are_merged_and_compacted(spark, tmp_path):
     assert held() == want()
 
 
-def test_array_helpers():
-    a = np.arange(100.0).reshape(10, 10)
-    assert voxels.ssim(a, a) == pytest.approx(1) and voxels.ssim(a, a[::-1]) < 0.5
-    m = np.zeros((6, 6, 6), dtype=bool)
-    m[1:3, 1:3, 1:3] = True
-    m[5, 5, 5] = True
-    assert voxels.largest_component(m).sum() == 8
-    n = np.roll(m, 1, axis=0)
-    assert voxels.surface_distance(m, m, np.ones(3)) == 0 and 0 < voxels.surface_distance(m, n, np.ones(3)) <= 6
-    assert voxels.surface_distance(m, np.zeros_like(m), np.ones(3)) is None
-
-
-def test_flipped_copy_is_equivalent(spark):
-    v = np.random.default_rng(0).normal(size=(4, 4, 4))
-    df = spark.createDataFrame([(v.ravel().tolist(), v[::-1].ravel().tolist()), ([1.0] * 64, [1.0] * 64)], "a array<double>, b array<double>")
-    got = df.select(voxels.orientation_match((4, 4, 4))("a", "b").alias("o")).select("o.*").collect()
-    assert (got[0]["transform"], got[0]["label"]) == ("keep1", "equivalent") and got[1]["corr"] is None
-
-
 def test_failing_slices_carry_their_error(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "k int, slice array<double>")
     got = {r["k"]: r for r in voxels.encode_slices(df, lambda: lambda b: b @ np.ones((2, 1)), ["k"]).collect()}
