@@ -246,6 +246,31 @@ def test_packing_needs_no_more_sequences_than_best_fit_decreasing(low, high):
     assert found <= brute.best_fit_decreasing(lengths, 4096)
 
 
+HARD = {"thirds": [2049, 1366, 1025, 820, 683, 586], "halves": list(range(1024, 2049)), "mixed": [3000, 1500, 1100, 900, 700, 513, 300, 40]}
+
+
+@pytest.mark.parametrize("name", sorted(HARD))
+def test_packing_by_configurations_beats_best_fit_where_greedy_loses(name):
+    rng = np.random.default_rng(17)
+    lengths = rng.choice(HARD[name], 20480).tolist()
+    found = _packed_as_sequences(packing.plan_sequences({n: lengths.count(n) for n in set(lengths)}, 4096), lengths)
+    assert found <= brute.best_fit_decreasing(lengths, 4096)
+    if name == "thirds":  # the linear program's own bound, but for rounding down its six configurations
+        chosen = packing.configurations(HARD[name], [lengths.count(n) for n in HARD[name]], 4096)
+        assert all(sum(HARD[name][g] for g in slots) <= 4096 for _, slots in chosen)
+        assert found <= sum(times for times, _ in chosen) + 7 and found < 0.99 * brute.best_fit_decreasing(lengths, 4096)
+
+
+def test_configurations_of_a_small_problem_are_optimal():
+    """Six of size 3 and six of size 2 into sequences of 5: each takes one of both."""
+    assert packing.configurations([3, 2], [6, 6], 5) == [(6, [0, 1])] and packing.configurations([], [], 5) == []
+    rng = np.random.default_rng(18)
+    sizes, demand = [60, 45, 31, 20, 11], rng.integers(50, 400, 5).tolist()
+    chosen = packing.configurations(sizes, demand, 100)
+    used = [sum(times * slots.count(g) for times, slots in chosen) for g in range(5)]
+    assert all(u <= d for u, d in zip(used, demand, strict=True)) and all(sum(sizes[g] for g in slots) <= 100 for _, slots in chosen)
+
+
 def test_packing_with_fewer_groups_than_lengths_rounds_up():
     """Rounding costs about a group's cardinality of sequences (50 pieces here)."""
     rng = np.random.default_rng(12)
