@@ -1,7 +1,7 @@
 """Byte-pair encoding by dynamic programming over prefixes, and decoding.
 
 For each prefix of a pre-token there is exactly one token that ends its encoding. It is found among the tokens
-that are suffixes of the prefix (matches of a suffix automaton over the vocabulary) by one test: the token
+that are suffixes of the prefix (matches of an Aho-Corasick automaton over the vocabulary) by one test: the token
 before it, which is the stored one of the shorter prefix, must be able to stand beside it. Following the stored
 tokens back from the end gives the ids. The time is linear in the text, however long a pre-token is.
 """

@@ -57,6 +57,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row is a page of its source, copies too: lines that five copies share go where those are 0.5 % of the source, as the SQL says."""
     kept = lines.drop_boilerplate_lines(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "source", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
