@@ -34,6 +34,10 @@ SECRET = r"^(?=\S*[0-9])(?=\S*[A-Za-z])[A-Za-z0-9+/_-]{20,}=*$"
 #: Characters on either side of a slot in which the words of its patterns are looked for. Words that do not fit in make
 #: no pattern; the ends of a text count as words.
 REACH = 200
+#: A long text is looked at in chunks of at least so many characters, so that work is linear in its length. A chunk ends at white
+#: space behind a character that no pattern carries on over, so a chunk's matches are the whole text's.
+CHUNK = 4096
+CHUNKS = r"(?s).{1,%d}+(?:.*?[^\s0-9().+-](?=\s)|.*+\z)" % CHUNK
 
 
 def _digits(match: Column) -> Column:
@@ -75,8 +79,20 @@ def _places(text: Column, pattern: str, keep, gate: Column) -> Column:
     return F.when(gate, F.aggregate(parts, start, step, lambda state: state["found"])).otherwise(none)
 
 
+def chunks(text: Column) -> Column:
+    """Array of struct(at, text): the chunks of a text with their places in it; they concatenate to the text."""
+    parts = F.when(F.length(text) <= CHUNK, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(CHUNKS), F.lit(0)))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<at:bigint,text:string>>").alias("all"))
+    step = lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), F.concat(s["all"], F.array(F.struct(s["at"].alias("at"), x.alias("text")))).alias("all"))
+    return F.aggregate(parts, start, step, lambda s: s["all"])
+
+
+def _moved(places: Column, by: Column) -> Column:
+    return F.transform(places, lambda p: F.struct((p["start"] + by).alias("start"), (p["end"] + by).alias("end"), p["value"].alias("value")))
+
+
 def base_spans(text: Column) -> dict[str, Column]:
-    """Kind -> array of struct(start, end, value): leftmost matches that do not overlap, failing ones dropped."""
+    """Kind -> array of struct(start, end, value): leftmost matches that do not overlap, failing ones dropped. ``text``: a chunk, or a short text."""
     digit = text.rlike("[0-9]")
     gates = {"email": F.contains(text, F.lit("@")), "ip": digit, "card": digit, "phone": F.contains(text, F.lit("+")) & digit}
     return {k: _places(text, p, lambda m, k=k: _valid(k, m), gates[k]) for k, p in BASE.items()}
@@ -87,11 +103,14 @@ def _plain(words: Column) -> Column:
     return F.nullif(F.lower(F.regexp_replace(F.regexp_replace(F.trim(words), r"\s+", " "), "[0-9]", "0")), F.lit(""))
 
 
-def _patterns(text: Column, start: Column, end: Column) -> Column:
-    """Array of the lexical patterns of a slot: two words before it, one on either side, two behind it."""
-    first = F.greatest(F.lit(0), start - REACH)
-    before = F.concat(F.when(start <= REACH, F.lit("^ ^ ")).otherwise(""), F.substring(text, (first + 1).cast("int"), (start - first).cast("int")))
-    after = F.concat(F.substring(text, (end + 1).cast("int"), F.lit(REACH)), F.when(F.length(text) <= end + REACH, F.lit(" $ $")).otherwise(""))
+def _patterns(near: Column, start: Column, end: Column, first: Column, last: Column) -> Column:
+    """Array of the lexical patterns of a slot: two words before it, one on either side, two behind it.
+
+    ``near``: text around the slot, ``REACH`` characters on either side of it or up to an end of the whole text; ``start``, ``end``:
+    the slot's place in ``near``; ``first``, ``last``: whether the whole text begins or ends within ``REACH``."""
+    begin = F.greatest(F.lit(0), start - REACH)
+    before = F.concat(F.when(first, F.lit("^ ^ ")).otherwise(""), F.substring(near, (begin + 1).cast("int"), (start - begin).cast("int")))
+    after = F.concat(F.substring(near, (end + 1).cast("int"), F.lit(REACH)), F.when(last, F.lit(" $ $")).otherwise(""))
     opening, closing = r"\s*[(\[{<\"'“‘]*$", r"^[)\]}>\"'”’]*\s*"
     two_before = _plain(F.regexp_extract(before, r"(?:^|\s)(\S+\s+\S+?)" + opening, 1))
     one_before = _plain(F.regexp_extract(before, r"(?:^|\s)(\S+?)" + opening, 1))
@@ -104,8 +123,13 @@ def _patterns(text: Column, start: Column, end: Column) -> Column:
 def slots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``text_key``, ``start``, ``end``, ``pattern``, ``instance``, ``base``, ``seed``: base matches and tokens beside
     them, a row for each pattern. ``seed``: a base match, or of a secret's shape."""
-    base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
-    found = base.select("id", "text", F.concat(*base_spans(F.col("text")).values()).alias("seeds"), _places(F.col("text"), TOKEN, lambda m: F.length(m) >= 4, F.lit(True)).alias("tokens"))
+    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
+    cut = texts.select("id", F.xxhash64("text").alias("text_key"), F.length("text").alias("n"), chunks(F.col("text")).alias("chunks"))
+    beside = lambda i: F.coalesce(F.try_element_at("chunks", i)["text"], F.lit(""))
+    # a chunk with what lies within reach of it; the chunk before it, if there is one, is longer than that
+    edges = F.transform("chunks", lambda c, i: F.struct(c["at"].alias("at"), c["text"].alias("text"), F.when(i > 0, F.right(beside(F.greatest(i, F.lit(1))), F.lit(REACH))).otherwise("").alias("left"), F.left(beside(i + 2), F.lit(REACH)).alias("right")))
+    base = cut.select("id", "text_key", "n", F.explode(edges).alias("c")).select("id", "text_key", "n", "c.*").where(F.col("text").rlike("[0-9@]"))
+    found = base.select(*base.columns, F.concat(*base_spans(F.col("text")).values()).alias("seeds"), _places(F.col("text"), TOKEN, lambda m: F.length(m) >= 4, F.lit(True)).alias("tokens"))
     head = lambda v: F.coalesce(F.nullif(F.regexp_extract(v, GLUED, 0), F.lit("")), F.regexp_extract(v, HEAD, 0))
     opened = F.transform("tokens", lambda t: F.struct((t["start"] + F.length(head(t["value"]))).alias("start"), F.substring(t["value"], F.length(head(t["value"])) + 1, F.length(t["value"])).alias("value")))
     trimmed = F.transform(opened, lambda t: F.struct(t["start"].alias("start"), F.regexp_replace(t["value"], TAIL, "").alias("value")))
@@ -114,14 +138,18 @@ def slots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     fits = lambda t: (F.length(t["value"]) >= 4) & t["value"].rlike("[0-9@]") & free(t)
     slot = lambda s, base: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(base).alias("base"))
     both = F.concat(F.transform("seeds", lambda s: slot(s, True)), F.transform(F.filter(placed, fits), lambda t: slot(t, False)))
-    each = found.select("id", "text", F.explode(both).alias("s")).select("id", F.xxhash64("text").alias("text_key"), "s.*", F.explode(_patterns(F.col("text"), F.col("s.start"), F.col("s.end"))).alias("pattern"))
+    near, shift = F.concat("left", "text", "right"), F.length("left")
+    start, end = F.col("at") + F.col("s.start"), F.col("at") + F.col("s.end")
+    each = found.select("id", "text_key", "n", "at", shift.alias("shift"), near.alias("near"), F.explode(both).alias("s"))
+    listed = _patterns(F.col("near"), F.col("s.start") + F.col("shift"), F.col("s.end") + F.col("shift"), start <= REACH, F.col("n") <= end + REACH)
+    each = each.select("id", "text_key", start.alias("start"), end.alias("end"), "s.value", "s.base", F.explode(listed).alias("pattern"))
     return each.select("id", "text_key", "start", "end", "pattern", F.lower("value").alias("instance"), "base", (F.col("base") | F.col("value").rlike(SECRET)).alias("seed"))
 
 
 def score_graph(edges: DataFrame, rounds: int = 3, support: int = 3, least: float = 0.7) -> DataFrame:
     """``pattern``, ``instance``, ``confidence`` (of the pattern), ``score`` (of the instance) for each edge.
 
-    ``edges``: distinct ``pattern``, ``instance``, ``seed``. Seeds score 1, others 0 at first. In each round a pattern's
+    ``edges``: distinct ``pattern``, ``instance``, with ``seed``; an instance is a seed if one of its edges says so. Seeds score 1, others 0 at first. In each round a pattern's
     confidence is the sum of its instances' scores over their number and one more, and 0 with fewer than ``support``
     instances of at least ``least``; an instance that is no seed then scores 1 minus the product of its patterns'
     doubts. So an instance that one round discovers supports other patterns in the next.
@@ -153,8 +181,6 @@ def discovered_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     counts = saved(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support))
     heavy = heavy_keys(counts, ["pattern"], "n")
     edges = spread_join(edges, counts.select("pattern"), ["pattern"], heavy, ["instance"])
-    known = edges.where("seed").select("instance").distinct().withColumn("known", F.lit(True))
-    edges = edges.join(known, "instance", "left").select("pattern", "instance", F.coalesce("known", F.lit(False)).alias("seed"))
     scored = score_graph(edges, rounds, support, least)
     good = saved(scored.where((F.col("confidence") >= least) & (F.col("score") >= least)).select("pattern", "instance"))
     uses = saved(places.where("not base").groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n")).join(good, ["pattern", "instance"]))
@@ -184,9 +210,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         return F.transform(places, lambda p: F.struct(F.lit(number).alias("kind_no"), p["start"].alias("start"), p["end"].alias("end"), F.lit(kind).alias("kind")))
 
     none = F.array().cast("array<struct<kind_no:int,start:bigint,end:bigint,kind:string>>")
-    base = F.concat(*[named(k, p) for k, p in base_spans(text).items()])
+    cut = joined.select("row", "found", chunks(text).alias("chunks"))
+    whole = lambda k: F.flatten(F.transform("chunks", lambda c: _moved(base_spans(c["text"])[k], c["at"])))
+    base = F.concat(*[named(k, whole(k)) for k in BASE])
     more = F.coalesce(named("id", F.col("found")), none)
-    spans = joined.select("row", base.alias("base"), more.alias("more"))
+    spans = cut.select("row", base.alias("base"), more.alias("more"))
     return spans.select("row.*", "base", F.concat("base", "more").alias("spans"))
 
 
@@ -204,14 +232,23 @@ def redact(found: DataFrame, text_col: str = "text") -> DataFrame:
 
     Spans that overlap become one mask, named by the first of them. Rows without spans keep their text, null too.
     """
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
     by_place = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
-    piece = lambda a, b: F.substring(F.col(text_col), (a + 1).cast("int"), (b - a).cast("int"))
+    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+
+    def masked(text: Column, at: Column, inside: Column) -> Column:
+        piece = lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))
+
+        def step(s: Column, x: Column) -> Column:
+            out = F.when(x["start"] - at >= s["at"], F.concat(s["out"], piece(s["at"], x["start"] - at), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise(s["out"])
+            return F.struct(F.greatest(s["at"], -x["back"] - at).alias("at"), out.alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        out = F.when(x["start"] >= s["at"], F.concat(s["out"], piece(s["at"], x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise(s["out"])
-        return F.struct(F.greatest(s["at"], -x["back"]).alias("at"), out.alias("out"))
+        return F.aggregate(inside, state, step, lambda s: F.concat(s["out"], piece(s["at"], F.length(text).cast("bigint"))))
 
-    whole = F.aggregate(by_place, state, step, lambda s: F.concat(s["out"], piece(s["at"], F.length(text_col).cast("bigint"))))
-    masked = F.when(F.size("spans") > 0, whole).otherwise(F.col(text_col))
-    return found.select(*[masked.alias(c) if c == text_col else F.col(c) for c in found.columns if c not in ("base", "spans")])
+    # no span goes beyond its chunk
+    within = lambda c: F.filter("__by_place", lambda s: (s["start"] >= c["at"]) & (s["start"] < c["at"] + F.length(c["text"])))
+    own = [c for c in found.columns if c not in ("base", "spans")]
+    rows = found.select(F.struct(*own).alias("__row"), by_place.alias("__by_place"))
+    text = F.col("__row")[text_col]
+    cut = rows.select("__row", "__by_place", F.when(F.size("__by_place") > 0, chunks(text_of(text))).alias("__chunks"))
+    whole = F.when(F.col("__chunks").isNull(), text).otherwise(F.array_join(F.transform("__chunks", lambda c: masked(c["text"], c["at"], within(c))), ""))
+    return cut.select(*[(whole if c == text_col else F.col("__row")[c]).alias(c) for c in own])
