@@ -1,6 +1,6 @@
 """Exact deduplication by deterministic block naming, in DataFrame operations only.
 
-A text is cut into fixed-size blocks. The distinct blocks are sorted and numbered: a block's number is its
+A text is cut into blocks of a fixed number of bytes. The distinct blocks are sorted and numbered: a block's number is its
 name. Adjacent names are then paired, the distinct pairs sorted and numbered, and so on, until each document
 has one name. Two documents have the same (level, name) exactly if their texts are equal.
 
@@ -32,17 +32,16 @@ def block_identities(
     """One row per distinct (id, text): ``id``, ``text_key``, ``level``, ``name``.
 
     ``(level, name)`` is equal for equal texts and different for different ones, whatever ``fingerprint`` is.
-    Null text is the empty text. ``text_key`` tells apart different texts under one id.
+    Blocks are of ``block_chars`` bytes of UTF-8. Null text is the empty text. ``text_key`` tells apart different texts under one id.
     """
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    count = F.greatest(F.lit(1), F.ceil(F.length("text") / F.lit(block_chars)).cast("int"))
+    count = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / F.lit(block_chars)).cast("int"))
+    # a place in bytes is found at once, one in characters by counting from the start; the array binds the bytes once
+    cut = lambda raw: F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(raw, i * block_chars + 1, F.lit(block_chars)))
     blocks = (
         texts.withColumn("text_key", F.xxhash64("text"))
         .withColumn("n", count)
-        .select(
-            "id", "text_key", "n",
-            F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("text"), i * block_chars + 1, F.lit(block_chars)))).alias("pos", "block"),
-        )
+        .select("id", "text_key", "n", F.posexplode(F.flatten(F.transform(F.array(F.col("text").cast("binary")), cut))).alias("pos", "block"))
         .withColumn("fp", fingerprint(F.col("block")))
     )
     contents = blocks.groupBy("fp", "block").agg(F.count(F.lit(1)).alias("uses"))
