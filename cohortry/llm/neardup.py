@@ -242,8 +242,10 @@ def near_duplicates(
         between = saved(joined.select(F.coalesce("from", "a").alias("a"), F.coalesce("to", "b").alias("b")).distinct())
         tops = saved(connected_components(between))
         ends = labels.unionByName(tops.select("node", F.col("node").alias("label")).join(labels.select("node"), "node", "left_anti"))
-        renamed = ends.join(tops.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left")
-        labels = saved(renamed.select("node", F.coalesce("top", "label").alias("label")))
+        sizes = ends.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
+        tops_of = saved(sizes.join(tops.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").withColumn("top", F.coalesce("top", "label")))
+        renamed = spread_join(ends, tops_of, ["label"], heavy_keys(tops_of, ["label"], "members"), ["node"])
+        labels = saved(renamed.select("node", F.col("top").alias("label")))
     discard(met, sets, pairs, links, named, apart, more, late)
 
     grouped = labels.join(classes, labels["node"] == classes["class"]).join(firsts, "set_key").select("set_key", "label", "first_id")
