@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, text_of
+from .common import heavy_keys, saved, spread_join, text_of
 
 
 def _digest(line: Column) -> Column:
@@ -25,8 +25,13 @@ def _counted(line: Column) -> Column:
     return F.trim(line) != ""
 
 
+def _key(host: str) -> Column:
+    """A host as a key without null."""
+    return F.concat(F.when(F.col(host).isNull(), "-").otherwise("="), F.coalesce(F.col(host).cast("string"), F.lit("")))
+
+
 def line_ratios(docs: DataFrame, host_col: str = "source", text_col: str = "text", page_col: str | None = None) -> DataFrame:
-    """``host``, ``digest`` (16 bytes), ``pages`` (with the line), ``host_pages``, ``ratio`` for every line of every host.
+    """``host``, ``digest`` (16 bytes), ``pages`` and ``rows`` (with the line), ``host_pages``, ``ratio`` for every line of every host.
 
     A page counts once for a line however often it repeats it. Null hosts form one host; null text has no lines.
     Without ``page_col`` each row is a page; with it, the rows of a host with one value (null is a value) are.
@@ -38,12 +43,15 @@ def line_ratios(docs: DataFrame, host_col: str = "source", text_col: str = "text
         F.explode(F.array_distinct(F.transform(F.filter(F.split(text_of(text_col), "\n"), _counted), _digest))).alias("digest"),
     )
     pages = docs.select(F.col(host_col).alias("total_host"), *page)
+    rows = F.count(F.lit(1)).alias("rows")
     if page:
-        lines, pages = lines.distinct(), pages.distinct()
-    counts = lines.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("pages"))
+        pages = pages.distinct()
+        lines = lines.groupBy("host", lines.columns[1], "digest").agg(rows)
+        rows = F.sum("rows").alias("rows")
+    counts = lines.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("pages"), rows)
     totals = pages.groupBy("total_host").agg(F.count(F.lit(1)).alias("host_pages"))
     return counts.join(totals, counts["host"].eqNullSafe(totals["total_host"])).select(
-        "host", "digest", "pages", "host_pages", (F.col("pages") / F.col("host_pages")).alias("ratio")
+        "host", "digest", "pages", "rows", "host_pages", (F.col("pages") / F.col("host_pages")).alias("ratio")
     )
 
 
@@ -66,13 +74,14 @@ def drop_boilerplate_lines(
     * Repeated rows are pages of their own, unless ``page_col`` puts them into one page (see ``line_ratios``).
     * A clashing column named ``n_lines`` or ``n_dropped`` in ``docs`` is replaced.
     """
-    often = saved(line_ratios(docs, host_col, text_col, page_col).where((F.col("pages") >= min_pages) & (F.col("ratio") >= ratio)).select("host", "digest"))
+    often = saved(line_ratios(docs, host_col, text_col, page_col).where((F.col("pages") >= min_pages) & (F.col("ratio") >= ratio)).select(_key("host").alias("key"), "digest", "rows"))
     base = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), text_of(text_col).alias("text"))
     lines = base.select(
-        "id", "host", F.xxhash64("text").alias("text_key"),
+        "id", "host", _key("host").alias("key"), F.xxhash64("text").alias("text_key"),
         F.explode(F.array_distinct(F.transform(F.filter(F.split("text", "\n"), _counted), _digest))).alias("digest"),
     )
-    hits = lines.join(often, lines["host"].eqNullSafe(often["host"]) & (lines["digest"] == often["digest"])).select("id", lines["host"], "text_key", lines["digest"])
+    # a menu line on every page of a large host is one key
+    hits = spread_join(lines, often.select("key", "digest"), ["key", "digest"], heavy_keys(often, ["key", "digest"], "rows"), ["id", "text_key"])
     drops = hits.groupBy("id", "host", "text_key").agg(F.collect_set("digest").alias("dropped"))
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     rows = docs.select(F.struct(*[docs[c] for c in own]).alias("row"))
