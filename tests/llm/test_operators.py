@@ -517,6 +517,35 @@ def test_pii_keeps_clashing_columns_and_null_ids(spark):
     assert got.columns == df.columns and sorted(r["text"] or "" for r in got.collect()) == ["", "", "mail [EMAIL]", "mail [EMAIL]"]
 
 
+def test_pii_of_long_texts_is_that_of_their_chunks(spark):
+    rnd = random.Random(4)
+    words = ["é🙂", "call", "a@b.com", "1.2.3.4", "4242 4242 4242 4242", "+49 30 1234567", "12-", "x.", "7", "\n", "\t\t", "(555) 12", "k=v9"]
+    texts = [" ".join(rnd.choice(words) for _ in range(3000)), "12. " * 3000 + "a@b.com", "w" * 9000 + " +49 30 1234567 " + "v" * 4096 + " 1.2.3.4"]
+    df = docs(spark, texts)
+    assert all("".join(c["text"] for c in r["c"]) == texts[r["doc_id"]] and len(r["c"]) == n for r, n in zip(df.select("doc_id", pii.chunks(F.col("text")).alias("c")).orderBy("doc_id").collect(), [len(pii_chunks(texts[0])), 1, 3], strict=True))
+    found = pii.find_pii(df)
+    for r in found.select("doc_id", pii.spelled("base").alias("b"), F.col("spans")).collect():
+        assert r["b"] == ",".join(f"{k}:{a}:{e}" for k, a, e in brute.base_spans(texts[r["doc_id"]]))
+    masked = {}
+    for r in found.select("doc_id", "spans").collect():
+        at, out, text = 0, "", texts[r["doc_id"]]
+        for start, back, kind in sorted((s["start"], -s["end"], s["kind"]) for s in r["spans"]):
+            if start >= at:
+                out += text[at:start] + f"[{kind.upper()}]"
+            at = max(at, -back)
+        masked[r["doc_id"]] = out + text[at:]
+    assert {r["doc_id"]: r["text"] for r in pii.redact(found).collect()} == masked
+
+
+def pii_chunks(text):
+    """The cut as a loop: at least CHUNK characters, then up to a safe character before white space."""
+    out = []
+    while text:
+        end = next((k + 1 for k in range(pii.CHUNK, len(text) - 1) if text[k] not in " \t\n0123456789().+-" and text[k + 1] in " \t\n"), len(text))
+        out, text = [*out, text[:end]], text[end:]
+    return out
+
+
 def test_redaction_merges_overlaps(spark):
     df = docs(spark, ["x 1.2.3.4@a.b.c y é", None, "+12 345 678 90, 4242424242424242"])
     got = {r["doc_id"]: r["text"] for r in pii.redact(pii.find_pii(df)).collect()}
