@@ -1,16 +1,17 @@
 """Stratified paired bootstrap: one table of draws for all runs, weighted metrics, intervals and paired deltas.
 
-A draw is a hash of (seed, replicate, stratum, slot), so every engine and every rerun draws alike. Draws are packed
-into one list per subject and block of replicates before any run is looked at. The lists are dealt by block, next to
-the subject's predictions of all runs; only then, within a partition, do runs meet draws. So what is shuffled grows
-with subjects x replicates, not with runs x subjects x replicates, while one range of scores holds all predictions. Beyond that
-predictions are dealt by block and range of scores, and the sums of ranges are merged. A range's scores are swept from the
-highest down, for all replicates of a block at once; the sort spills, and the sweep holds one batch.
+A draw is a hash of (seed, replicate, stratum, slot), so every engine and every rerun draws alike. Draws are made from the sizes of strata alone,
+by ranges of slots and blocks of replicates, and sent packed to the chunk of slots they drew: two bytes a draw, and no sort. There a chunk's
+draws are counted in one matrix, next to the predictions of its subjects by all runs, and what leaves is one row of weights for each
+run and distinct score of a chunk and block. So what is shuffled grows with subjects x replicates, not with runs x subjects x replicates, where scores
+are few; else with their distinct ones. Rows of weights are dealt by block, run and range of scores, each range is swept from the highest
+score down for all replicates of a block at once, and the sums of ranges are merged. The sort spills, and the sweep holds one batch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,34 +19,118 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
-from . import metrics
-from .ranking import md5_number, numbered_within, seeded
+from . import metrics, spread
+from ..functions.digest import Numbered, numbered
+from .ranking import numbered_within, seeded
 
 VALUES = ["auroc", "average_precision", "balanced_accuracy"]
 #: Replicates that are swept together.
-BLOCK = 50
+BLOCK = 100
+#: Slots of a stratum whose draws are counted together (at most 65,536).
+CHUNK = 1 << 12
+#: Slots of a stratum that one task draws from at a time.
+SOURCE = 1 << 16
+#: Draws that are hashed together.
+HASHED = 1 << 14
+#: Rows of weights that are swept at a time.
+SWEPT = 2048
 #: Predictions of a range of scores, all runs together, that one task sweeps for a block of replicates.
 RANGE_ROWS = 1 << 20
 
 
-def _draws(subjects: DataFrame, replicates: int, seed: int, strata: tuple[str, ...], subject: str, cohort: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The slot of each subject in its stratum, and the drawn slots: ``strata``, ``replicate``, ``slot``.
+class Draws(NamedTuple):
+    """Draws packed by chunks of ``CHUNK`` slots of a stratum and blocks of ``size`` replicates; columns ``strata`` name the stratum.
 
-    ``subjects`` has one row a subject. Positions within a stratum follow a hash of the subject, then the subject. With ``cohort``, one of the
-    ``strata``, each cohort draws by a seed of its own (``child_seed``).
+    ``subjects``: ``strata``, subject, ``chunk``, ``slot`` (from 0 within the chunk). ``hits``: ``strata``, ``chunk``, ``block`` and ``packed``: how often each
+    replicate of the block drew from the chunk, then the slots drawn, replicate after replicate. A chunk has a row for each ``SOURCE`` draws of its stratum.
     """
-    size = subjects.groupBy(*strata).agg(F.count(F.lit(1)).alias("size"))
-    placed = numbered_within(subjects.select(*strata, subject), list(strata), seeded(seed, subject), subject, "place")
-    ranked = placed.select(*strata, subject, (F.col("place") - 1).cast("int").alias("slot"))
-    slots = ranked.select(*strata, "slot").join(size, list(strata)).withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(BLOCK))))
-    # subjects are few rows beside their draws: they are dealt before the draws are made, or one task would make them all
-    slots = slots.repartition(int(subjects.sparkSession.conf.get("spark.sql.shuffle.partitions")), "slot", "first")
-    slots = slots.withColumn("replicate", F.explode(F.sequence("first", F.least(F.col("first") + BLOCK, F.lit(replicates)) - 1)))
+
+    subjects: DataFrame
+    hits: DataFrame
+    strata: list[str]
+    replicates: int
+    size: int
+
+
+def draw_blocks(
+    subjects: DataFrame, replicates: int, seed: int, strata: tuple[str, ...] = ("dataset", "label"), subject: str = "patient_id", size: int = BLOCK, cohort: str | None = None
+) -> Draws:
+    """In every replicate a stratum draws as many of its slots as it has subjects.
+
+    ``subjects`` has one row a subject; a stratum with a null is not drawn. Positions within a stratum follow a hash of the subject, then the
+    subject. With ``cohort``, one of the ``strata``, each cohort draws by a seed of its own (``child_seed``).
+    """
+    keys = [f"s{k}" for k in range(len(strata))]
     drawn_by = F.lit(str(seed)) if cohort is None else child_seed(seed, cohort).cast("string")
-    text = F.concat_ws("|", drawn_by, F.col("replicate").cast("string"), *[F.col(s).cast("string") for s in strata], F.col("slot").cast("string"))
-    drawn = slots.withColumn("text", text).select(*strata, "replicate", (md5_number(F.col("text")) % F.col("size")).cast("int").alias("slot"))
-    return ranked, drawn
+    rest = F.concat_ws("|", F.lit(""), *[F.col(s).cast("string") for s in strata])
+    own = subjects.where(" and ".join(f"`{s}` is not null" for s in strata)).select(*[F.col(s).alias(k) for s, k in zip(strata, keys, strict=True)], subject, drawn_by.alias("head"), rest.alias("rest"))
+    sizes = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.first("head").alias("head"), F.first("rest").alias("rest"))
+    placed = numbered_within(own.select(*keys, subject), keys, seeded(seed, subject), subject, "place")
+    at = F.col("place") - 1
+    ranked = placed.select(*keys, subject, F.floor(at / CHUNK).cast("int").alias("chunk"), (at % CHUNK).cast("int").alias("slot"))
+    # work is few rows beside the draws: it is dealt before the draws are made, or one task would make them all
+    work = sizes.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(size)))).withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(SOURCE).cast("long"))))
+    work = work.repartition(4 * int(subjects.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    schema = T.StructType([*(sizes.schema[k] for k in keys), T.StructField("chunk", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("packed", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, parts = None, []
+        for batch in batches:
+            for k, row in enumerate(batch.select(["size", "head", "rest", "first", "start"]).to_pylist()):
+                ends = row["start"], min(row["start"] + SOURCE, row["size"])
+                if known != ends:
+                    known, parts = ends, numbered(*ends)
+                drawn: dict[int, tuple[list[int], list[bytes]]] = {}
+                prefixes = [f"{row['head']}|{row['first'] + hit}{row['rest']}|".encode() for hit in range(min(size, replicates - row["first"]))]
+                for hit, slots in _slots(prefixes, parts, row["size"]):
+                    if row["size"] > CHUNK:
+                        slots.sort()
+                    chunks = slots // CHUNK
+                    starts = [*_changes(chunks).tolist(), len(slots)]
+                    for a, b in zip(starts[:-1], starts[1:], strict=True):
+                        counts, there = drawn.setdefault(int(chunks[a]), ([0] * size, []))
+                        counts[hit] = b - a
+                        there.append((slots[a:b] % CHUNK).astype("<u2").tobytes())
+                packed = [np.array(counts, "<i4").tobytes() + b"".join(there) for counts, there in drawn.values()]
+                n = len(packed)
+                made = [pa.array(list(drawn), pa.int32()), pa.array([row["first"] // size] * n, pa.int32()), pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(pa.repeat(batch.column(s)[k], n) for s in keys), *made], names=schema.names)
+
+    return Draws(ranked, work.mapInArrow(run, schema), keys, replicates, size)
+
+
+def _slots(prefixes: list[bytes], parts: list[Numbered], size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The number of each prefix and the slots it draws; prefixes of one length are hashed together, some ``HASHED`` draws at a time."""
+    at, step = 0, max(1, HASHED // sum(p.n for p in parts))
+    while at < len(prefixes):
+        end = at + 1
+        while end < min(at + step, len(prefixes)) and len(prefixes[end]) == len(prefixes[at]):
+            end += 1
+        yield from enumerate(np.concatenate([p.of(prefixes[at:end]) for p in parts], axis=1) % np.uint32(size), at)
+        at = end
+
+
+def _changes(values: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before it; the first does."""
+    return np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+
+
+def _beside(draws: Draws, lists: DataFrame) -> PandasCogroupedOps:
+    """The hits of each chunk and block next to the chunk's ``lists``, which are copied once a block."""
+    keys = [*draws.strata, "chunk", "block"]
+    copied = lists.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((draws.replicates - 1) // draws.size))))
+    return draws.hits.groupBy(*keys).cogroup(copied.groupBy(*keys))
+
+
+def _counted(packed: pa.ChunkedArray, size: int) -> np.ndarray:
+    """How often each replicate of a block (columns) drew each slot of a chunk (rows)."""
+    places = []
+    for one in packed:
+        held = one.as_buffer()
+        places.append(np.frombuffer(held, "<u2", offset=4 * size).astype(np.int64) * size + np.repeat(np.arange(size), np.frombuffer(held, "<i4", size)))
+    return np.bincount(np.concatenate(places), minlength=CHUNK * size).reshape(CHUNK, size).astype(np.int32)
 
 
 def child_seed(seed: int, cohort: str) -> Column:
@@ -68,29 +153,20 @@ def with_both_classes(subjects: DataFrame, cohort: str = "dataset", label: str =
 
 def draw_weights(subjects: DataFrame, replicates: int, seed: int, strata: tuple[str, ...] = ("dataset", "label"), subject: str = "patient_id", cohort: str | None = None) -> DataFrame:
     """``replicate``, ``subject``, ``weight``: how often each subject is drawn; weights of a stratum sum to its size."""
-    ranked, drawn = _draws(subjects, replicates, seed, strata, subject, cohort)
-    counted = drawn.groupBy(*strata, "replicate", "slot").agg(F.count(F.lit(1)).alias("weight"))
-    return counted.join(ranked, [*strata, "slot"]).select("replicate", subject, "weight")
-
-
-def draw_blocks(
-    subjects: DataFrame, replicates: int, seed: int, strata: tuple[str, ...] = ("dataset", "label"), subject: str = "patient_id", size: int = BLOCK, cohort: str | None = None
-) -> DataFrame:
-    """The draws of ``draw_weights`` packed: ``subject``, ``block`` of ``size`` replicates, ``hits`` (the block's
-    replicates that drew the subject, as numbers from 0, once for each draw). A list may come in two rows."""
-    ranked, drawn = _draws(subjects, replicates, seed, strata, subject, cohort)
-    keys = [*strata, "slot", "block"]
-    placed = drawn.select(*strata, "slot", F.floor(F.col("replicate") / size).cast("int").alias("block"), (F.col("replicate") % size).cast("short").alias("hit"))
-    placed = placed.repartition(*keys).sortWithinPartitions(*keys)
-    schema = T.StructType([*(placed.schema[k] for k in keys), T.StructField("hits", T.ArrayType(T.ShortType()))])
+    draws = draw_blocks(subjects, replicates, seed, strata, subject, cohort=cohort)
+    size = draws.size
+    lists = draws.subjects.groupBy(*draws.strata, "chunk").agg(F.sort_array(F.collect_list(F.struct("slot", F.col(subject).alias("subject")))).alias("held"))
+    schema = T.StructType([T.StructField("replicate", T.IntegerType()), subjects.schema[subject], T.StructField("weight", T.LongType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            starts = _starts([batch.column(k) for k in keys])
-            hits = pa.ListArray.from_arrays(pa.array([*starts, batch.num_rows], pa.int32()), batch.column("hit"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(starts, pa.int64())) for k in keys), hits], names=[*keys, "hits"])
+    def met(hits: pa.Table, held: pa.Table) -> pa.Table:
+        # what is empty has no draws: every chunk has its list
+        weights = _counted(hits.column("packed"), size) if hits.num_rows else np.zeros((CHUNK, size), np.int32)
+        replicate, slot = np.nonzero(weights.T)
+        ids = held.column("held").combine_chunks().flatten().field("subject").take(pa.array(slot))
+        first = held.column("block")[0].as_py() * size
+        return pa.table([pa.array((replicate + first).astype(np.int32)), ids, pa.array(weights[slot, replicate].astype(np.int64))], names=schema.names)
 
-    return placed.mapInArrow(run, schema).join(ranked, [*strata, "slot"]).select(subject, "block", "hits")
+    return _beside(draws, lists).applyInArrow(met, schema)
 
 
 def _starts(columns: list[pa.Array]) -> list[int]:
@@ -166,8 +242,8 @@ def _range_of(score: Column, cuts: list[float]) -> Column:
 def _swept(rows: DataFrame, keys: list[str], size: int, sweep: bool) -> DataFrame:
     """``keys``, ``range``, ``replicate`` and ``SUMS`` of ``rows``, which are sorted by block, range, keys, ``kind``, then falling score.
 
-    ``rows``: ``block``, ``range``, ``keys``, ``kind`` (0: what lies above the range, as ``before``; 1: a prediction), ``score``,
-    ``label``, ``predicted``, ``hits``, ``before``. Without ``sweep`` only the first four sums are made, in any order of scores. One batch is held.
+    ``rows``: ``block``, ``range``, ``keys``, ``kind`` (0: what lies above the range, as ``before``; 1: predictions of one score), ``score``,
+    ``label``, ``predicted``, ``weights``, ``before``. Without ``sweep`` only the first four sums are made, in any order of scores. One batch is held.
     """
     made = SUMS if sweep else SUMS[:4]
     schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("range", T.IntegerType()), T.StructField("replicate", T.IntegerType()), *(T.StructField(v, T.DoubleType()) for v in made)])
@@ -181,12 +257,11 @@ def _swept(rows: DataFrame, keys: list[str], size: int, sweep: bool) -> DataFram
             own = [pa.repeat(k, len(there)) for k in (*now[2:], now[1])]
             return pa.RecordBatch.from_arrays([*own, pa.array(there + now[0].as_py() * size, pa.int32()), *map(pa.array, found[:, there])], names=schema.names)
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = batch.column("hits")
-            which = pc.list_parent_indices(lists).to_numpy().astype(np.int64) * size + pc.list_flatten(lists).to_numpy()
-            weights = np.bincount(which, minlength=batch.num_rows * size).reshape(-1, size).astype(float)
+        for batch in (b.slice(at, SWEPT) for b in batches for at in range(0, b.num_rows, SWEPT)):
+            weights = np.zeros((batch.num_rows, size))
+            for k, held in enumerate(batch.column("weights")):
+                if held.is_valid:
+                    weights[k] = _unpacked(held.as_buffer(), size)
             scores, labels, predicted, kinds = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("score", "label", "predicted", "kind"))
             columns = [batch.column(c) for c in ("block", "range", *keys)]
             starts = [*_starts(columns), batch.num_rows]
@@ -216,35 +291,73 @@ def _swept(rows: DataFrame, keys: list[str], size: int, sweep: bool) -> DataFram
     return rows.mapInArrow(run, schema)
 
 
+def _packed_weights(weights: np.ndarray) -> list[bytes | None]:
+    """A row of weights as bytes, one or four a replicate; none where all are 0."""
+    top = weights.max(axis=1, initial=0)
+    return [None if m == 0 else row.astype(np.uint8 if m < 256 else "<i4").tobytes() for m, row in zip(top.tolist(), weights, strict=True)]
+
+
+def _unpacked(held: pa.Buffer, size: int) -> np.ndarray:
+    return np.frombuffer(held, np.uint8 if held.size == size else "<i4")
+
+
+def _weighted_scores(preds: DataFrame, draws: Draws, keys: list[str], subject: str) -> DataFrame:
+    """``block``, ``keys``, ``score``, ``label``, ``predicted`` and ``weights``: how often each replicate of the block drew the chunk's
+    predictions that are alike in all of these. ``preds``: ``keys``, ``subject``, ``score``, ``label``, ``predicted``."""
+    placed = preds.join(draws.subjects, subject)
+    lists = placed.groupBy(*draws.strata, "chunk", *keys).agg(F.collect_list(F.struct("slot", "score", "label", "predicted")).alias("rows"))
+    schema = T.StructType([T.StructField("block", T.IntegerType()), *(lists.schema[k] for k in keys), *(T.StructField(c, k) for c, k in (("score", T.DoubleType()), ("label", T.IntegerType()), ("predicted", T.IntegerType()), ("weights", T.BinaryType())))])
+    size = draws.size
+
+    def met(hits: pa.Table, lists: pa.Table) -> pa.Table:
+        parts = []
+        if hits.num_rows and lists.num_rows:
+            weights = _counted(hits.column("packed"), size)
+            for batch in lists.to_batches():
+                for k in range(batch.num_rows):
+                    rows = batch.column("rows")[k].values
+                    slot, score = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("slot", "score"))
+                    label, predicted = (pc.fill_null(rows.field(c), -1).to_numpy(zero_copy_only=False) for c in ("label", "predicted"))
+                    order = np.lexsort((predicted, label, -score))
+                    score, label, predicted = score[order], label[order], predicted[order]
+                    starts = np.flatnonzero(np.r_[True, (score[1:] != score[:-1]) | (label[1:] != label[:-1]) | (predicted[1:] != predicted[:-1])])
+                    packed = _packed_weights(np.add.reduceat(weights[slot[order]], starts, axis=0))
+                    own = [pa.repeat(batch.column(c)[k], len(starts)) for c in ("block", *keys)]
+                    made = [pa.array(score[starts]), pa.array(label[starts], pa.int32()), pa.array(predicted[starts], pa.int32()), pa.array(packed, pa.binary())]
+                    parts.append(pa.table([*own, *made], names=schema.names).filter(pc.is_valid(pa.array(packed, pa.binary()))))
+        return pa.concat_tables(parts) if parts else pa.table([pa.nulls(0)] * len(schema), names=schema.names)
+
+    return _beside(draws, lists).applyInArrow(met, schema)
+
+
 def replicate_metrics(
-    preds: DataFrame, draws: DataFrame, keys: list[str], threshold: float | str = 0.5, subject: str = "patient_id", size: int = BLOCK, range_rows: int = RANGE_ROWS
+    preds: DataFrame, draws: Draws, keys: list[str], threshold: float | str = 0.5, subject: str = "patient_id", size: int = BLOCK, range_rows: int = RANGE_ROWS
 ) -> DataFrame:
     """Ranking metrics and balanced accuracy of each key and replicate; ``draws`` as ``draw_blocks`` makes them with ``size``.
 
-    A subject has few rows in ``preds``: one a run and key. Predictions are dealt by block of replicates and range of scores, so the number of
-    tasks grows with the rows: a range has some ``range_rows`` of them. What lies above a range (drawn positives and negatives of each
-    run and replicate) is added up first, without moving predictions, and summed over the ranges; from there each range is swept
+    A subject has one row in ``preds`` for each run and key. Weights of predictions are dealt by block of replicates, key and range of scores, so the
+    number of tasks grows with the rows: a range has some ``range_rows`` predictions. What lies above a range (drawn positives and negatives of
+    each run and replicate) is added up first, without moving weights, and summed over the ranges; from there each range is swept
     by itself, and the ranges' sums are added. A score that fills a range by itself is not gathered at all: those sums are all it takes.
-    Few predictions are one range, which starts from nothing. A list of draws is dealt to as many ranges as its subject's scores lie in.
+    Few predictions are one range, which starts from nothing.
 
     Ranking metrics are null where a class was not drawn; replicates that drew no row of a key are left out. Null and NaN scores are the lowest.
     """
     cut = F.col(threshold) if isinstance(threshold, str) else F.lit(threshold)
     names = [f"k{n}" for n in range(len(keys))]
     prob = F.col("prob").cast("double")
-    known = preds.withColumn("score", F.when(F.isnan(prob) | prob.isNull(), F.lit(float("-inf"))).otherwise(prob))
+    score = F.when(F.isnan(prob) | prob.isNull(), F.lit(float("-inf"))).otherwise(prob)
+    known = preds.select(subject, *[F.col(k).alias(n) for n, k in zip(names, keys, strict=True)], score.alias("score"), F.col("label").cast("int").alias("label"), metrics.predicted_label(F.col("prob"), cut).alias("predicted"))
     cuts = score_cuts(known.select("score"), range_rows)
-    row = F.struct(*[F.col(k).alias(n) for n, k in zip(names, keys, strict=True)], "score", F.col("label").cast("int").alias("label"), metrics.predicted_label(F.col("prob"), cut).alias("predicted"))
-    rows = known.withColumn("range", _range_of(F.col("score"), cuts).cast("int")).groupBy(subject, "range").agg(F.collect_list(row).alias("rows"))
-    met = draws.join(rows, subject).select("block", "range", "hits", "rows")
     none = F.lit(None).cast("array<struct<hit:int,pos:double,neg:double>>")
     order = ["block", "range", *names, "kind"]
-    lined = lambda df: df.select("block", "range", "hits", F.lit(1).alias("kind"), none.alias("before"), F.inline("rows"))
+    met = _weighted_scores(known, draws, names, subject).withColumns({"range": _range_of(F.col("score"), cuts).cast("int"), "kind": F.lit(1), "before": none})
     if not cuts:
-        swept = _swept(lined(met.repartition("block")).sortWithinPartitions(*order, F.desc("score")), names, size, True)
+        swept = _swept(met.repartition("block", *names).sortWithinPartitions(*order, F.desc("score")), names, size, True)
         return _metrics_of(swept, names).toDF(*keys, "replicate", *VALUES)
+    met = spread.saved(met)
     # partial sums of a partition are one row for each range, run and replicate, however many predictions there are
-    totals = _swept(lined(met).sortWithinPartitions(*order), names, size, False).groupBy(*names, "range", "replicate").agg(*[F.sum(c).alias(c) for c in SUMS[:4]])
+    totals = _swept(met.sortWithinPartitions(*order), names, size, False).groupBy(*names, "range", "replicate").agg(*[F.sum(c).alias(c) for c in SUMS[:4]])
     above = Window.partitionBy(*names, "replicate").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(above), F.lit(0.0)) for c in ("pos", "neg")})
     high, low = F.col("pos") + F.col("pos_before"), F.col("neg") + F.col("neg_before")
@@ -252,12 +365,8 @@ def replicate_metrics(
     block = F.floor(F.col("replicate") / size).cast("int")
     hit = F.struct((F.col("replicate") % size).alias("hit"), F.col("pos_before").alias("pos"), F.col("neg_before").alias("neg"))
     before = totals.where("range % 2 = 0").groupBy(block.alias("block"), "range", *names).agg(F.collect_list(hit).alias("before")).withColumn("kind", F.lit(0))
-    dealt = met.where("range % 2 = 0").withColumn("kind", F.lit(1)).unionByName(before, allowMissingColumns=True).repartition("block", "range")
-    # a row of sums keeps its own keys; a row of predictions gets its keys from the list
-    empty = F.array(F.struct(*[F.col(n) for n in names], F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("label"), F.lit(None).cast("int").alias("predicted")))
-    each = F.inline(F.when(F.col("kind") == 0, empty).otherwise(F.col("rows")))
-    lists = dealt.select("block", "range", F.coalesce("hits", F.array().cast("array<smallint>")).alias("hits"), "kind", "before", each)
-    swept = _swept(lists.sortWithinPartitions(*order, F.desc("score")), names, size, True)
+    dealt = met.where("range % 2 = 0").unionByName(before, allowMissingColumns=True).repartition("block", "range", *names)
+    swept = _swept(dealt.sortWithinPartitions(*order, F.desc("score")), names, size, True)
     return _metrics_of(swept.unionByName(alone.select(*swept.columns)).groupBy(*names, "replicate").agg(*[F.sum(c).alias(c) for c in SUMS]), names).toDF(*keys, "replicate", *VALUES)
 
 
