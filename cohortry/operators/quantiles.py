@@ -1,6 +1,7 @@
 """Exact quantiles of groups of any size: large groups are narrowed down by histograms, never gathered.
 
-Groups of few rows are left to the built-in exact percentile. For each rank that is asked of a large group, rows within a bracket of
+Groups of few rows are sorted as lists. Between two ranks values are ``low * (1 - share) + high * share`` in one rounding of the sum (as DuckDB
+computes it), so that what is compared with a quantile falls on the same side of it in both engines. For each rank that is asked of a large group, rows within a bracket of
 values are counted in buckets between its ends, and the bucket that holds the rank is the next bracket, until few rows
 are left in it or all are equal. What is shuffled in a round is one row for each task and bucket; the driver sees one row for
 each large group (fewer than rows / ``SMALL``) and rank.
@@ -20,6 +21,8 @@ SMALL = 1 << 20
 BUCKETS = 4096
 #: Largest finite double: infinite values are placed there when buckets are cut.
 MOST = 1.7976931348623157e308
+#: Parts a double into two halves, whose products are exact.
+_SPLIT = 134217729.0
 
 
 def _held(value: Column) -> Column:
@@ -48,6 +51,37 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return out
 
 
+def _between(values: Column, n: Column, at: list[float]) -> Column:
+    """The quantiles ``at`` of ``n`` sorted ``values``. The one rounding is made of the exact errors of the product and of the sum.
+
+    Each step is a transform of the step before, so a value is computed once however often it is used.
+    """
+
+    def ranks(p: Column) -> Column:
+        where = (n - 1) * p
+        return F.struct(F.get(values, F.floor(where).cast("int")).alias("low"), F.get(values, F.ceil(where).cast("int")).alias("high"), (where - F.floor(where)).alias("share"))
+
+    def products(r: Column) -> Column:
+        rest = 1 - r["share"]
+        return F.struct(r["low"].alias("low"), r["high"].alias("high"), rest.alias("rest"), (r["low"] * rest).alias("ab"), (r["high"] * r["share"]).alias("c"), (r["low"] * _SPLIT).alias("aw"), (rest * _SPLIT).alias("bw"))
+
+    def halves(r: Column) -> Column:
+        ah, bh = r["aw"] - (r["aw"] - r["low"]), r["bw"] - (r["bw"] - r["rest"])
+        kept = [r[c].alias(c) for c in ("low", "high", "ab", "c")]
+        return F.struct(*kept, ah.alias("ah"), (r["low"] - ah).alias("al"), bh.alias("bh"), (r["rest"] - bh).alias("bl"), (r["ab"] + r["c"]).alias("sum"), (r["ab"] + r["c"] - r["ab"]).alias("back"))
+
+    def rounded(r: Column) -> Column:
+        lost = ((r["ah"] * r["bh"] - r["ab"]) + r["ah"] * r["bl"] + r["al"] * r["bh"]) + r["al"] * r["bl"]
+        fused = r["sum"] + (((r["ab"] - (r["sum"] - r["back"])) + (r["c"] - r["back"])) + lost)
+        fine = F.greatest(F.abs(r["low"]), F.abs(r["high"])) < 1e290
+        return F.when(r["low"] == r["high"], r["low"]).when(fine, fused).otherwise(r["sum"])
+
+    found = F.array(*[F.lit(float(p)) for p in at])
+    for step in (ranks, products, halves, rounded):
+        found = F.transform(found, step)
+    return found
+
+
 def exact_quantiles(values: DataFrame, keys: list[str], at: list[float], value: str = "value", small: int = SMALL) -> DataFrame:
     """``keys``, ``n``, ``low``, ``high``, ``quantiles`` (array, one for each of ``at``) with linear interpolation between ranks.
 
@@ -58,8 +92,12 @@ def exact_quantiles(values: DataFrame, keys: list[str], at: list[float], value:
     ends = [F.count("__v").alias("n"), F.min("__v").alias("low"), F.max("__v").alias("high")]
     sizes = own.groupBy(*keys).agg(*ends)
     large = sizes.where(F.col("n") > small).collect()
-    fractions = F.array(*[F.lit(float(p)) for p in at])
-    direct = lambda df: df.groupBy(*keys).agg(*ends, F.percentile("__v", fractions).alias("quantiles"))
+
+    def direct(df: DataFrame) -> DataFrame:
+        held = df.groupBy(*keys).agg(*ends, F.sort_array(F.collect_list("__v")).alias("__sorted"))
+        each = _between(F.col("__sorted"), F.col("n"), at)
+        return held.select(*keys, "n", "low", "high", F.when(F.col("n") > 0, each).alias("quantiles"))
+
     if not large:
         return direct(own)
     kinds = [sizes.schema[k].dataType for k in keys]
@@ -95,7 +133,9 @@ def exact_quantiles(values: DataFrame, keys: list[str], at: list[float], value:
         for p in at:
             where = (r["n"] - 1) * p
             a, b = math.floor(where), math.ceil(where)
-            out.append(found[g, a] if a == b or found[g, a] == found[g, b] else (b - where) * found[g, a] + (where - a) * found[g, b])
+            low, high, share = found[g, a], found[g, b], where - a
+            fine = max(abs(low), abs(high)) < 1e290
+            out.append(low if low == high else math.fma(low, 1 - share, high * share) if fine else low * (1 - share) + high * share)
         rows.append((*(r[k] for k in keys), r["n"], r["low"], r["high"], out))
     done = literal_rows(spark, [*keys, "n", "low", "high", "quantiles"], [*kinds, "bigint", "double", "double", "array<double>"], rows)
     return done if rest is None else rest.unionByName(done)
