@@ -48,9 +48,10 @@ def reset_split(files: DataFrame, tolerance: float = 1e-3) -> DataFrame:
     """
     order = Window.partitionBy("series").orderBy("ord")
     step = F.col("proj") - F.lag("proj").over(order)
-    full = files.groupBy("series").agg(F.count_if(F.col("proj").isNull()).alias("missing")).where("missing = 0").select("series")
-    steps = files.join(full, "series", "left_semi").withColumn("step", step)
-    usual = steps.where(F.abs("step") > tolerance).groupBy("series").agg(F.when(F.median("step") >= 0, 1.0).otherwise(-1.0).alias("direction"))
+    steps = files.select("series", "ord", "proj").withColumn("step", step)
+    moves = F.median(F.when(F.abs("step") > tolerance, F.col("step")))
+    usual = steps.groupBy("series").agg(moves.alias("usual"), F.count_if(F.col("proj").isNull()).alias("missing")).where("missing = 0 and usual is not null")
+    usual = usual.select("series", F.when(F.col("usual") >= 0, 1.0).otherwise(-1.0).alias("direction"))
     back = F.coalesce((F.col("direction") * F.col("step") < -tolerance).cast("int"), F.lit(0))
     split = steps.join(usual, "series").withColumn("back", back).select("series", "ord", F.sum("back").over(order).cast("int").alias("phase"))
     sizes = split.groupBy("series", "phase").agg(F.count(F.lit(1)).alias("size"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import manifests, phases
+from ..operators.spread import dealt_by
 from .common import r6, table
 
 GAP, TOLERANCE = 1500, 1e-3
@@ -61,6 +62,7 @@ def phase_split_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    orders = dealt_by(orders, ["o_custkey"], 4 * orders.count())  # some four files an order
     four = orders.withColumn("k", F.explode(F.sequence(F.lit(1), F.when(F.col("o_custkey") % 4 == 0, F.col("o_orderkey") % 4 + 3).otherwise(4).cast("int"))))
     return four.select(F.col("o_custkey").alias("series"), (F.col("o_orderkey") * 10 + F.col("k")).alias("ord"), F.col("k").cast("double").alias("proj"), (F.col("o_orderkey") % 86400).cast("int").alias("t"))
 
