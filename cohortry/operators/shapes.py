@@ -44,6 +44,8 @@ def robust_features(table: DataFrame, shape: Shape, value: str = "v") -> DataFra
     return joined.groupBy(*keys).agg((F.count_if(above) / F.count(F.lit(1))).alias("foreground"), *centre, *extent)
 
 
+#: Voxels of a volume whose orbits meet in one task.
+SLAB = 1 << 16
 #: Names of correlations, from the highest limit down.
 LIKENESS = [("equivalent", 0.999), ("very_similar", 0.98), ("similar", 0.90)]
 
@@ -52,16 +54,30 @@ def orientation_match(left: DataFrame, right: DataFrame, shape: Shape) -> DataFr
     """Per volume of ``left`` the flip (and, where x and y are as long, swap) of ``right`` that fits it best: ``transform`` (``keep`` or ``swap`` and
     the flipped axes as bits), ``corr``, ``label``. ``none`` and null where a side is constant; of equals (to 1e-12) the first transform.
 
-    Each voxel is sent to its place under every transform and meets one voxel there; what is grouped is a volume and a transform.
+    The places that transforms take to each other (16 at most) are an orbit, and no transform leads out of it: each voxel moves once, to its
+    orbit, and meets its partners of all transforms there. Orbits of a volume are dealt by slabs of some ``SLAB`` voxels, so a small volume's
+    sums are made in one task and a large one's in many.
     """
-    swaps = (False, True) if shape[0] == shape[1] else (False,)
+    nx, ny, nz = shape
+    swaps = (False, True) if nx == ny else (False,)
+    fold = [F.least(F.col(a), F.lit(n - 1) - F.col(a)) for a, n in zip(AXES, shape, strict=True)]
+    first, second = (F.least(*fold[:2]), F.greatest(*fold[:2])) if nx == ny else fold[:2]
+    orbit = ((first * ny + second) * nz + fold[2]).cast("long")
+    slabs = -(-nx * ny * nz // SLAB)
+    sides = [side.where(_inside(shape)).select("volume_id", orbit.alias("orbit"), F.lit(k).alias("side"), _index(shape).alias("node"), F.col("v").cast("double").alias("v")) for k, side in enumerate((left, right))]
+    dealt = sides[0].unionByName(sides[1]).withColumn("slab", F.pmod(F.xxhash64("orbit"), F.lit(slabs)).cast("int")).repartition("volume_id", "slab")
+    held = [F.collect_list(F.when(F.col("side") == k, F.struct("node", "v"))).alias(name) for k, name in enumerate(("here", "there"))]
+    orbits = dealt.groupBy("volume_id", "slab", "orbit").agg(*held)
+    sent = orbits.select("volume_id", F.col("here"), F.explode("there").alias("q"))
     placed = []
+    x, y, z = F.floor(F.col("q.node") / (ny * nz)), F.floor(F.col("q.node") / nz) % ny, F.col("q.node") % nz
     for order, (swap, bits) in enumerate((s, b) for s in swaps for b in range(8)):
-        base = [F.col("y"), F.col("x"), F.col("z")] if swap else [F.col(a) for a in AXES]
-        turned = [F.lit(n - 1) - c if bits >> k & 1 else c for k, (c, n) in enumerate(zip(base, shape, strict=True))]
-        placed.append(F.struct(F.lit(order).alias("order"), F.lit(f"{'swap' if swap else 'keep'}{bits}").alias("transform"), *[c.cast("int").alias(a) for a, c in zip(AXES, turned, strict=True)]))
-    sent = right.select("volume_id", F.col("v").alias("b"), F.explode(F.array(*placed)).alias("p")).select("volume_id", "b", "p.*")
-    pairs = sent.join(left.select(*PLACE, F.col("v").alias("a")), PLACE)
+        turned = [F.lit(n - 1) - c if bits >> k & 1 else c for k, (c, n) in enumerate(zip([y, x, z] if swap else [x, y, z], shape, strict=True))]
+        node = ((turned[0] * ny + turned[1]) * nz + turned[2]).cast("long")
+        placed.append(F.struct(F.lit(order).alias("order"), F.lit(f"{'swap' if swap else 'keep'}{bits}").alias("transform"), node.alias("to")))
+    met = sent.select("volume_id", "here", F.col("q.v").alias("b"), F.explode(F.array(*placed)).alias("p"))
+    met = met.select("volume_id", "p.order", "p.transform", "p.to", "b", F.explode("here").alias("e")).where("e.node = to")
+    pairs = met.select("volume_id", "order", "transform", F.col("e.v").alias("a"), "b")
     found = voxels.pair_statistics(pairs, ["volume_id", "order", "transform"], least=1).where(F.col("corr").isNotNull())
     top = found.groupBy("volume_id").agg(F.max("corr").alias("top"))
     best = found.join(top, "volume_id").where(F.col("corr") > F.col("top") - 1e-12).groupBy("volume_id").agg(F.min(F.struct("order", "transform", "corr")).alias("best"))
