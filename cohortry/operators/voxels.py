@@ -121,17 +121,19 @@ def mutual_information(pairs: DataFrame, key: str, bins: int = 48, least: int =
     """
     fine = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
     place = lambda c: F.least(F.lit(bins - 1), F.floor(F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(1.0)) * bins).cast("int"))
-    keys = pairs.select(key).distinct()
-    cells = pairs.where(fine("a") & fine("b")).groupBy(key, place("a").alias("i"), place("b").alias("j")).agg(F.count(F.lit(1)).alias("n"))
-
-    def entropy(by: list[str], name: str) -> DataFrame:
-        sums = cells.groupBy(key, *by).agg(F.sum("n").alias("n"))
-        return sums.groupBy(key).agg((F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias(name), F.sum("n").alias(f"n_{name}"))
-
-    joined = entropy(["i"], "ha").join(entropy(["j"], "hb"), key).join(entropy(["i", "j"], "hab"), key)
-    shared = (F.col("ha") + F.col("hb") - F.col("hab")) * 2 / (F.col("ha") + F.col("hb"))
-    found = joined.select(key, F.when((F.col("n_ha") >= least) & (F.col("ha") + F.col("hb") > 1e-8), shared).alias("nmi"))
-    return keys.join(found, key, "left")
+    both = fine("a") & fine("b")
+    cells = pairs.groupBy(key, F.when(both, place("a")).alias("i"), F.when(both, place("b")).alias("j")).agg(F.count(F.lit(1)).alias("n"))
+    # a cell counts in its row, in its column and by itself; that of the pairs left out counts nowhere
+    kinds = F.array(*[F.struct(F.lit(name).alias("kind"), i.alias("i"), j.alias("j")) for name, i, j in (("a", F.col("i"), F.lit(-1)), ("b", F.lit(-1), F.col("j")), ("ab", F.col("i"), F.col("j")))])
+    sums = cells.select(key, F.col("i").isNotNull().alias("in"), "n", F.explode(kinds).alias("c")).groupBy(key, "in", "c.kind", "c.i", "c.j").agg(F.sum("n").alias("n"))
+
+    def entropy(kind: str) -> Column:
+        n = F.when(F.col("in") & (F.col("kind") == kind), F.col("n"))
+        return F.log(F.sum(n)) - F.sum(n * F.log(n)) / F.sum(n)
+
+    found = sums.groupBy(key).agg(*[entropy(kind).alias(f"h{kind}") for kind in ("a", "b", "ab")], F.sum(F.when(F.col("in") & (F.col("kind") == "ab"), F.col("n"))).alias("n"))
+    ha, hb = F.col("ha"), F.col("hb")
+    return found.select(key, F.when(F.col(key).isNotNull() & (F.col("n") >= least) & (ha + hb > 1e-8), (ha + hb - F.col("hab")) * 2 / (ha + hb)).alias("nmi"))
 
 
 def encode_slices(slices: DataFrame, make_encoder: Callable[[], Callable[[np.ndarray], np.ndarray]], key: list[str], column: str = "slice") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
-from ..operators import features, masks, shapes, voxels
+from ..operators import features, masks, shapes, spread, voxels
 from .common import r6, rounded, table
 
 SHAPE, ABOVE, ML = (4, 4, 4), 0.1, 0.008
@@ -54,7 +54,8 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each volume with its successor of the same label."""
     a = _volumes(spark, sf_dir)
     b = a.select((F.col("volume_id") - 10).alias("volume_id"), F.col("voxels").alias("other"))
-    return a.join(b, "volume_id")
+    size = 64 * a.count()
+    return spread.dealt_by(a, ["volume_id"], size).join(spread.dealt_by(b, ["volume_id"], size), "volume_id")
 
 
 PAIRS_SQL = "pairs AS (SELECT a.volume_id, a.v AS a, b.v AS b FROM volumes a JOIN volumes b ON b.volume_id = a.volume_id + 10)"
