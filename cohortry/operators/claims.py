@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spread import dealt_by, discard, saved
+from .spread import dealt_by, discard, heavy_keys, saved, spread_join
 
 
 def _first(order: list[str]) -> Column:
@@ -16,14 +16,19 @@ def _first(order: list[str]) -> Column:
     return F.struct(*[x for c in order for x in (F.col(c).isNotNull(), F.col(c))])
 
 
-def first_claims(claims: DataFrame, series: list[str], order: list[str]) -> DataFrame:
+def first_claims(claims: DataFrame, series: list[str], order: list[str], size: int | None = None) -> DataFrame:
     """``claims`` with ``taken``: true where the row is the first, by ``order``, that names its series. Later claims of a series get nothing.
 
     ``order`` tells all claims of a series apart (repeated rows are all first). A series that very many claim is one row once each task has
-    combined its claims; only that row is joined back. A null series is never taken.
+    combined its claims; only that row is joined back. A null series is never taken. With ``size`` (rows of ``claims``, a saved table then) series are
+    dealt into tasks of bounded size, and claims of a series that holds much of the table are spread.
     """
-    firsts = claims.where(_known(series)).groupBy(*series).agg(F.min(_first(order)).alias("__least"))
-    joined = claims.join(firsts, series, "left")
+    firsts = claims.where(_known(series)).groupBy(*series).agg(F.min(_first(order)).alias("__least"), F.count(F.lit(1)).alias("__size"))
+    if size is None:
+        joined = claims.join(firsts.drop("__size"), series, "left")
+    else:
+        firsts = saved(firsts)
+        joined = spread_join(claims.drop("taken"), firsts.drop("__size"), series, heavy_keys(firsts, series, "__size"), order, "left", size=size)
     return joined.withColumn("taken", F.coalesce(_first(order) == F.col("__least"), F.lit(False))).drop("__least")
 
 
