@@ -40,7 +40,7 @@ def test_claims_of_groups_pass_once(spark, monkeypatch):
     assert twice.count() == 2 * len(want)
 
 
-@pytest.mark.parametrize("query", ["phase_split_reset", "mutual_information"])
+@pytest.mark.parametrize("query", ["phase_split_reset", "mutual_information", "candidate_scores", "audit_scores", "series_claims", "family_group_scores", "best_series_per_exam"])
 def test_tasks_grow_with_the_table(spark, monkeypatch, query):
     monkeypatch.setattr(spread, "TASK_ROWS", 500)
     assert parts_of(catalog.QUERIES[query](spark, SMALL)) > 4
@@ -56,3 +56,20 @@ def test_transforms_are_made_behind_the_shuffle(spark, monkeypatch):
     assert len(got) == 1 and got[0]["transform"].startswith("swap") and got[0]["corr"] == pytest.approx(1)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert -1 < plan.index("Generate") < plan.index("RepartitionByExpression")
+
+
+def test_a_wanted_series_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(spread, "HEAVY_ROWS", 10)
+    rows = [(None if k % 19 == 0 else 1 if k % 2 else k % 7, k) for k in range(300, 0, -1)]
+    df = spread.saved(spark.createDataFrame(rows, "series int, turn int"))
+    got = claims.first_claims(df, ["series"], ["turn"], 300)
+    want = {}
+    for s, t in sorted(rows, key=lambda r: r[1]):
+        if s is not None:
+            want.setdefault(s, t)
+    assert got.count() == 300 and {r["series"]: r["turn"] for r in got.where("taken").collect()} == want
+
+
+def test_counts_of_candidates_meet_in_dealt_tasks(spark):
+    plan = catalog.QUERIES["candidate_counts"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") >= 3
