@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import manifests, qc, selection, status
+from ..operators.spread import dealt_by
 from .common import r6, rounded, table
 
 
@@ -233,8 +234,11 @@ SUMMARY_SQL = """SELECT l_orderkey, count(*) AS n_series, string_agg(l_returnfla
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as candidate series of an exam; the part gives name, tokens and image count."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("l_linenumber"))
-    j = lines.join(part, lines["l_partkey"] == part["p_partkey"])
+    each = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    size = each.count()
+    lines = dealt_by(each, ["l_orderkey"], size).groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("l_linenumber"))
+    j = dealt_by(lines, ["l_partkey"], size).join(dealt_by(part, ["p_partkey"], size), lines["l_partkey"] == part["p_partkey"])
+    j = dealt_by(j, ["l_orderkey"], size)
     return j.select(F.col("l_orderkey").alias("exam"), F.col("l_partkey").alias("uid"), F.col("p_name").alias("name"), F.col("p_size").alias("images"), "p_type", "l_linenumber",
                     F.array_sort(F.array_distinct(F.split("p_name", " "))).alias("tokens"))
 
@@ -257,6 +261,7 @@ def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _candidates(spark, sf_dir).withColumn("key", F.array_join("tokens", " "))
     anchor = c.groupBy("exam").agg(F.min_by(F.struct("key", "tokens", "uid"), "uid").alias("a"))
     moved = anchor.select((F.col("exam") + 1).alias("exam"), F.col("a.key").alias("anchor_key"), F.col("a.tokens").alias("anchor_tokens"), F.col("a.uid").alias("anchor_uid"))
+    moved = dealt_by(moved, ["exam"], table(spark, sf_dir, "lineitem").count())
     return selection.family_groups(c.join(moved, "exam"), ["exam"], "anchor_key", "anchor_tokens", "anchor_uid")
 
 
