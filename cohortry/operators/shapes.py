@@ -128,27 +128,23 @@ def _moved(mask: DataFrame, steps: list[tuple[int, int, int]], *more: str) -> Da
 def components(mask: DataFrame, shape: Shape) -> DataFrame:
     """``volume_id``, ``node`` (the voxel's place in x-major order), ``part`` (the smallest node of its 26-connected part) of every mask voxel.
 
-    Hooking and jumping: each round every part looks at its neighbours' parts, joins the least one that it sees, and voxels follow their part
-    twice; a round is written, so a lost executor costs a round. It ends when no part sees a smaller one, in a number of rounds that
-    grows with the logarithm of a part's length.
+    Hooking and jumping: each round every part joins the least part that it touches, hooks are followed to their ends, and edges are drawn anew
+    between the parts that are left, each once, so that later rounds move few rows; a round is written, so a lost executor costs a
+    round. It ends when no parts touch, in a number of rounds that grows with the logarithm of a part's length. No side of a join goes through
+    the driver: saved tables of few columns are small as files and large as rows, so their joins are marked as merges.
     """
-    own = mask.select(*PLACE).distinct().withColumn("node", _index(shape))
+    own = spread.saved(mask.select(*PLACE).distinct().withColumn("node", _index(shape)))
     forward = [s for s in np.ndindex(3, 3, 3) if s > (1, 1, 1)]
     steps = [tuple(d - 1 for d in s) for s in forward]
-    near = _moved(own, steps, "node").where(_inside(shape)).withColumn("other", _index(shape)).select("volume_id", "node", "other")
-    edges = spread.saved(near.join(own.select("volume_id", F.col("node").alias("other")), ["volume_id", "other"], "left_semi"))
+    near = _moved(own, steps, "node").where(_inside(shape)).withColumn("other", _index(shape)).select("volume_id", F.col("node").alias("low"), F.col("other").alias("part"))
+    edges = spread.saved(near.join(own.select("volume_id", F.col("node").alias("part")).hint("merge"), ["volume_id", "part"], "left_semi"))
     now = spread.saved(own.select("volume_id", "node", F.col("node").alias("part")))
-    while True:
-        names = now.select("volume_id", F.col("node").alias("other"), F.col("part").alias("other_part"))
-        seen = edges.join(now, ["volume_id", "node"]).join(names, ["volume_id", "other"]).where("part <> other_part")
-        hooks = seen.groupBy("volume_id", F.greatest("part", "other_part").alias("part")).agg(F.min(F.least("part", "other_part")).alias("to"))
-        hooks = spread.saved(hooks)
-        if hooks.isEmpty():
-            spread.discard(edges, hooks)
-            return now
+    spread.discard(own)
+    while not edges.isEmpty():
+        hooks = spread.saved(edges.groupBy("volume_id", "part").agg(F.min("low").alias("to")))
         # hooks go from a part to a smaller one: their chains are followed to the end, twice as far each time
         while True:
-            further = hooks.join(hooks.select("volume_id", F.col("part").alias("to"), F.col("to").alias("next")), ["volume_id", "to"], "left")
+            further = hooks.join(hooks.select("volume_id", F.col("part").alias("to"), F.col("to").alias("next")).hint("merge"), ["volume_id", "to"], "left")
             longer = spread.saved(further.select("volume_id", "part", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
             moved = longer.where("moved").limit(1).count()
             spread.discard(hooks)
@@ -156,9 +152,16 @@ def components(mask: DataFrame, shape: Shape) -> DataFrame:
             hooks.shared_path = path
             if not moved:
                 break
-        after = spread.saved(now.join(hooks, ["volume_id", "part"], "left").select("volume_id", "node", F.coalesce("to", "part").alias("part")))
-        spread.discard(now, hooks)
-        now = after
+        after = spread.saved(now.join(hooks.hint("merge"), ["volume_id", "part"], "left").select("volume_id", "node", F.coalesce("to", "part").alias("part")))
+        # the larger end of an edge always has a hook
+        ends = edges.join(hooks.hint("merge"), ["volume_id", "part"]).select("volume_id", "low", F.col("to").alias("high"))
+        ends = ends.join(hooks.select("volume_id", F.col("part").alias("low"), "to").hint("merge"), ["volume_id", "low"], "left").withColumn("low", F.coalesce("to", "low"))
+        ends = ends.where("low <> high").select("volume_id", F.least("low", "high").alias("low"), F.greatest("low", "high").alias("part"))
+        left = spread.saved(ends.distinct())
+        spread.discard(now, hooks, edges)
+        now, edges = after, left
+    spread.discard(edges)
+    return now
 
 
 def largest_components(mask: DataFrame, shape: Shape) -> DataFrame:

@@ -73,3 +73,13 @@ def test_a_wanted_series_is_spread(spark, monkeypatch):
 def test_counts_of_candidates_meet_in_dealt_tasks(spark):
     plan = catalog.QUERIES["candidate_counts"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") >= 3
+
+
+def test_components_send_no_table_through_the_driver(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(spread, "saved", lambda d, save=spread.saved: plans.append(d._jdf.queryExecution().executedPlan().toString()) or save(d))
+    rows = [(v, x, 0, z) for v in range(30) for x in range(9) for z in range(9) if x % 2 == 0 or z == 8 * (x // 2 % 2)]
+    mask = spark.createDataFrame(rows, "volume_id int, x int, y int, z int")
+    got = shapes.components(mask, (9, 1, 9))
+    assert got.count() == len(rows) and {r["part"] for r in got.collect()} == {0}
+    assert any("SortMergeJoin" in p for p in plans) and not [p for p in plans if "Broadcast" in p]
