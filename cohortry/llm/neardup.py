@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, heavy_keys, numbered, remembered, saved, spread_join
+from .common import bucketed, discard, heavy_keys, numbered, possible, remembered, saved, spread_join
 from .graph import connected_components
 
 #: Words that a worker remembers; a full memory is emptied.
@@ -135,11 +135,28 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes whose sets have 100 * intersection >= percent * union."""
+    """Pairs (a, b) of classes whose sets have 100 * intersection >= percent * union; ``pairs`` is saved, ``sets`` in buckets by class.
+
+    Most pairs meet the sets where they lie. Those with a class of very many pairs are spread, and only their sets move.
+    """
+    heavy = [heavy_keys(pairs.groupBy(c).agg(F.count(F.lit(1)).alias("uses")), [c], "uses") for c in ("a", "b")]
+    if heavy == [None, None]:
+        return _linked(pairs, sets, percent, heavy)
+    marked = pairs.withColumn("__hot", F.lit(False))
+    for c, keys in zip(("a", "b"), heavy, strict=True):
+        if keys is not None:
+            marked = marked.join(F.broadcast(keys), c, "left").withColumn("__hot", F.col("__hot") | F.col("__heavy").isNotNull()).drop("__heavy")
+    marked = saved(marked)
+    light, hot = (marked.where(c).drop("__hot") for c in ("not __hot", "__hot"))
+    used = saved(hot.select(F.col("a").alias("class")).unionByName(hot.select(F.col("b").alias("class"))).distinct())
+    moved = possible(sets, used, ["class"], used.count()).where("possible").drop("possible")
+    return _linked(light, sets, percent, [None, None]).unionByName(_linked(hot, moved, percent, heavy))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int, heavy: list[DataFrame | None]) -> DataFrame:
     left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("right"))
     common = F.size(F.array_intersect("left", "right"))
-    heavy = [heavy_keys(pairs.groupBy(c).agg(F.count(F.lit(1)).alias("uses")), [c], "uses") for c in ("a", "b")]
     both = spread_join(spread_join(pairs, left, ["a"], heavy[0], ["b"]), right, ["b"], heavy[1], ["a"]).select("a", "b", common.alias("common"), (F.size("left") + F.size("right")).alias("total"))
     return both.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b")
 
@@ -206,19 +223,23 @@ def near_duplicates(
     places = placed.select("set_key", "n", F.posexplode("buckets").alias("band", "bucket"))
     crowded = saved(places.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1"))
     heavy = heavy_keys(crowded, ["bucket"], "classes")
+    # most buckets hold one class: their places do not move
+    places = possible(places, crowded, ["bucket"], crowded.count()).where("possible").drop("possible")
     found = saved(spread_join(places, crowded.select("bucket"), ["bucket"], heavy, ["set_key"]))
     classes = numbered(found.select("set_key").distinct(), "set_key", name="class")
     met = saved(found.join(classes, "set_key").select("class", "n", "band", "bucket"))
     discard(crowded, found)
 
-    wanted = classes.join(firsts, "set_key").select(F.col("first_id").alias(id_col), F.col("set_key").alias("want_key"), "class")
-    known = wanted.where(F.col(id_col).isNotNull())
-    texts = docs.select(id_col, text_col).join(known.select(id_col).distinct(), id_col, "left_semi")
+    wanted = saved(classes.join(firsts, "set_key").select(F.col("first_id").alias(id_col), F.col("set_key").alias("want_key"), "class"))
+    known = wanted.where(F.col(id_col).isNotNull()).select(id_col)
+    texts = possible(docs.select(id_col, text_col), known, [id_col], wanted.count(), "__possible").where("__possible").drop("__possible")
+    texts = texts.join(known.distinct(), id_col, "left_semi")
     lacking = wanted.where(F.col(id_col).isNull())
     if not lacking.isEmpty():
         texts = texts.unionByName(docs.select(id_col, text_col).where(F.col(id_col).isNull()))
     sets = shingle_sets(texts, id_col, text_col, size).select("set_key", "shingles")
-    sets = saved(sets.join(wanted.select(F.col("want_key").alias("set_key"), "class"), "set_key").dropDuplicates(["class"]).select("class", "shingles"))
+    sets = bucketed(sets.join(wanted.select(F.col("want_key").alias("set_key"), "class"), "set_key").select("class", "shingles"), "class")
+    discard(wanted)
 
     pivots = met.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("class", "bucket"), "class", "n")).alias("p"))
     pivots = pivots.select("bucket", F.col("p.class").alias("other"), F.col("p.n").alias("other_n"))
@@ -263,5 +284,10 @@ def near_duplicates(
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, one id of each group, with all their columns."""
-    kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("__kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept_id"]), "left_semi")
+    found = near_duplicates(docs, id_col, text_col, **options).groupBy(F.col(id_col).alias("__id")).agg(F.bool_or("kept").alias("stays"))
+    gone = saved(found.where("not stays").select("__id"))
+    # fewer rows go than stay: most stay where they are
+    rows = possible(docs.withColumn("__id", F.col(id_col)), gone, ["__id"], gone.count(), "__possible")
+    own = [F.col(c) for c in docs.columns]
+    judged = rows.where("__possible").join(gone.withColumnRenamed("__id", "__gone_id"), F.col("__id").eqNullSafe(F.col("__gone_id")), "left_anti")
+    return rows.where("not __possible").select(*own).unionByName(judged.select(*own))
