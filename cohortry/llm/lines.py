@@ -30,26 +30,38 @@ def _key(host: str) -> Column:
     return F.concat(F.when(F.col(host).isNull(), "-").otherwise("="), F.coalesce(F.col(host).cast("string"), F.lit("")))
 
 
-def line_ratios(docs: DataFrame, host_col: str = "source", text_col: str = "text", page_col: str | None = None) -> DataFrame:
+def _with_pages(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    named = pages.select(F.col("id").alias("__page_id"), "page")
+    return rows.join(named, rows["id"].eqNullSafe(named["__page_id"]), "left").drop("__page_id")
+
+
+def line_ratios(
+    docs: DataFrame, host_col: str = "source", text_col: str = "text", page_col: str | None = None, pages: DataFrame | None = None, id_col: str = "doc_id"
+) -> DataFrame:
     """``host``, ``digest`` (16 bytes), ``pages`` and ``rows`` (with the line), ``host_pages``, ``ratio`` for every line of every host.
 
     A page counts once for a line however often it repeats it. Null hosts form one host; null text has no lines.
-    Without ``page_col`` each row is a page; with it, the rows of a host with one value (null is a value) are.
+    Without ``page_col`` each row is a page; with it, the rows of a host with one value (null is a value) are. ``pages`` (``id``, ``page``,
+    one row an id) stands for such a column: digests meet it, texts do not move.
     """
     page = [] if page_col is None else [F.col(page_col).alias("page")]
-    lines = docs.select(
-        F.col(host_col).alias("host"),
-        *page,
-        F.explode(F.array_distinct(F.transform(F.filter(F.split(text_of(text_col), "\n"), _counted), _digest))).alias("digest"),
-    )
-    pages = docs.select(F.col(host_col).alias("total_host"), *page)
+    digests = F.array_distinct(F.transform(F.filter(F.split(text_of(text_col), "\n"), _counted), _digest))
+    of_host = docs.select(F.col(host_col).alias("total_host"), *page)
+    if pages is None:
+        lines = docs.select(F.col(host_col).alias("host"), *page, F.explode(digests).alias("digest"))
+    else:
+        page = ["page"]
+        held = _with_pages(docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), digests.alias("digests")), pages)
+        # outer, so that no filter makes the digests once more
+        lines = held.select("host", "page", F.explode_outer("digests").alias("digest")).where("digest is not null")
+        of_host = _with_pages(docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("total_host")), pages).drop("id")
     rows = F.count(F.lit(1)).alias("rows")
     if page:
-        pages = pages.distinct()
+        of_host = of_host.distinct()
         lines = lines.groupBy("host", lines.columns[1], "digest").agg(rows)
         rows = F.sum("rows").alias("rows")
     counts = lines.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("pages"), rows)
-    totals = pages.groupBy("total_host").agg(F.count(F.lit(1)).alias("host_pages"))
+    totals = of_host.groupBy("total_host").agg(F.count(F.lit(1)).alias("host_pages"))
     return counts.join(totals, counts["host"].eqNullSafe(totals["total_host"])).select(
         "host", "digest", "pages", "rows", "host_pages", (F.col("pages") / F.col("host_pages")).alias("ratio")
     )
@@ -63,6 +75,7 @@ def drop_boilerplate_lines(
     ratio: float = 0.005,
     min_pages: int = 5,
     page_col: str | None = None,
+    pages: DataFrame | None = None,
 ) -> DataFrame:
     """``docs`` with its columns and rows, boilerplate lines cut from ``text_col``; adds ``n_lines``, ``n_dropped``.
 
@@ -71,10 +84,10 @@ def drop_boilerplate_lines(
 
     * Null or empty text: kept as it is, ``n_lines`` 0. Blank lines stay. Lines compare without change.
     * Null hosts form one host. An empty table gives no rows.
-    * Repeated rows are pages of their own, unless ``page_col`` puts them into one page (see ``line_ratios``).
+    * Repeated rows are pages of their own, unless ``page_col`` or ``pages`` puts them into one page (see ``line_ratios``).
     * A clashing column named ``n_lines`` or ``n_dropped`` in ``docs`` is replaced.
     """
-    often = saved(line_ratios(docs, host_col, text_col, page_col).where((F.col("pages") >= min_pages) & (F.col("ratio") >= ratio)).select(_key("host").alias("key"), "digest", "rows"))
+    often = saved(line_ratios(docs, host_col, text_col, page_col, pages, id_col).where((F.col("pages") >= min_pages) & (F.col("ratio") >= ratio)).select(_key("host").alias("key"), "digest", "rows"))
     base = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), text_of(text_col).alias("text"))
     lines = base.select(
         "id", "host", _key("host").alias("key"), F.xxhash64("text").alias("text_key"),

@@ -40,8 +40,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = docs.select(*COLUMNS)
     groups = neardup.near_duplicates(docs, **NEAR).groupBy(F.col("doc_id").alias("id")).agg(F.min("component_id").alias("page"))
-    paged = docs.join(saved(groups), docs["doc_id"].eqNullSafe(F.col("id")), "left").drop("id")
-    return _counted(lines.drop_boilerplate_lines(paged, page_col="page"))
+    return _counted(lines.drop_boilerplate_lines(docs, pages=saved(groups)))
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
