@@ -13,10 +13,11 @@ from __future__ import annotations
 import os
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,15 +26,20 @@ from pyspark.sql import types as T
 from .bpe import byte_alphabet
 from .common import remembered, saved
 
-#: Words that a worker remembers, some 80 MB at most; of a full memory the words of the batch at hand stay.
+#: Words that a worker remembers, some 80 MB at most, in two halves: when the newer is full the older is dropped, and words met
+#: since then stay. A word is remembered once it stands twice among the texts at hand, as most others do not come again.
 MEMORY = 300_000
 MEMORY_CHARS = 64
+#: Characters of texts whose words are looked up together.
+RUN_CHARS = 4 << 20
+#: What of ``WordTokenizer.unusual`` a Latin-1 text can hold.
+UNUSUAL_LATIN = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 #: Bits of a piece's number among those of its length.
 NUMBER_BITS = 43
 
 
 class WordTokenizer:
-    """A tokenizer whose pre-tokens never cross white space, called once for each new word of a batch."""
+    """A tokenizer whose pre-tokens never cross white space, called once for the new words of a batch."""
 
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,6 +51,7 @@ class WordTokenizer:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.bytes_of = [k.to_bytes(4, "little") for k in range(max(self.tokenizer.get_vocab().values()) + 1)]
         #: What makes words of a text depend on more than themselves, or lower-casing on the library's tables.
         self.unusual = re.compile("[^\x00-ɏ]|[\x1c-\x1f]|<\\|").search
@@ -59,7 +66,7 @@ class WordTokenizer:
         spelt = pretoken if pretoken.isascii() and pretoken.isprintable() else pretoken.encode().decode("latin-1").translate(self.alphabet)
         return b"".join([self.bytes_of[x.id] for x in self.tokenizer.model.tokenize(spelt)])
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
         """New words. Letters, or letters and marks behind them, are pre-tokens as they stand; others are asked for whole."""
         known, fresh, ask = self.known, {}, []
 
@@ -79,24 +86,76 @@ class WordTokenizer:
         fresh.update(zip(ask, self._encode(ask), strict=True))
         return fresh
 
+    def _ids_of(self, words: list[str], again: list[bool]) -> list[bytes]:
+        """Ids of each of ``words``, which are distinct; those that are met ``again`` are remembered."""
+        found = list(map(self.known.get, words))
+        new = []
+        for k in [k for k, ids in enumerate(found) if ids is None]:
+            found[k] = self.older.get(words[k])
+            if found[k] is None:
+                new.append(words[k])
+            else:
+                self.known[words[k]] = found[k]
+        fresh = self._learn(new)
+        for k in [k for k, ids in enumerate(found) if ids is None]:
+            found[k] = fresh[words[k]]
+            if again[k] and len(words[k]) <= MEMORY_CHARS:
+                self.known[words[k]] = found[k]
+        if len(self.known) > MEMORY // 2:
+            self.older, self.known = self.known, {}
+        return found
+
+    def _odd(self, text: str) -> bool:
+        """Whether ``unusual`` finds something, asked at less cost where the text is ASCII or Latin-1."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.unusual(text) is not None
+        return any(mark in text for mark in UNUSUAL_LATIN)
+
+    def _encode_usual(self, texts: list[str]) -> list[bytes]:
+        """Texts without ``unusual``, split and their words numbered by Arrow: a word is looked up once, however often it stands there."""
+        # of white space beyond ASCII, these texts can hold two characters
+        lowered = [t.lower() if t.isascii() else t.lower().replace("\x85", " ").replace("\xa0", " ") for t in texts]
+        words = pc.ascii_split_whitespace(pa.array(lowered, pa.large_string()))
+        numbers = words.flatten().dictionary_encode()
+        at = numbers.indices.to_numpy()
+        again = np.bincount(at, minlength=len(numbers.dictionary)) > 1
+        found = self._ids_of(numbers.dictionary.to_numpy(zero_copy_only=False).tolist(), again.tolist())
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        n, first = sizes[at], (np.cumsum(sizes) - sizes)[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        place = np.repeat(first - ends[:-1], n) + np.arange(ends[-1])
+        ids = np.frombuffer(b"".join(found), dtype="<u4")[place].tobytes()
+        return [ids[a:b] for a, b in pairwise((ends[words.offsets.to_numpy()] * 4).tolist())]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if t is None or self.unusual(t) else t.lower().split() for t in texts]
-        missing = set(chain.from_iterable(filter(None, split))) - self.known.keys()
-        fresh = self._learn(missing) if missing else {}
-        if len(self.known) + len(fresh) > MEMORY:
-            here = set(chain.from_iterable(filter(None, split)))
-            self.known = {w: ids for w, ids in self.known.items() if w in here}
-        self.known.update(fresh)
-        get = self.known.__getitem__
-        out = [b"" if words is None else b"".join(map(get, words)) for words in split]
-        whole = [k for k, (t, words) in enumerate(zip(texts, split, strict=True)) if words is None and t]
-        for k, ids in zip(whole, self._encode([texts[k] for k in whole]), strict=True):
-            out[k] = ids
-        for w in [w for w in fresh if len(w) > MEMORY_CHARS]:
-            del self.known[w]
+        out = [b""] * len(texts)
+        usual, whole = [], []
+        for k, t in enumerate(texts):
+            if t:
+                (whole if self._odd(t) else usual).append(k)
+        for encode, chosen in ((self._encode_usual, usual), (self._encode, whole)):
+            for run in _runs(chosen, texts):
+                for k, ids in zip(run, encode([texts[k] for k in run]), strict=True):
+                    out[k] = ids
         return out
 
 
+def _runs(chosen: list[int], texts: list[str | None]) -> Iterator[list[int]]:
+    """``chosen`` in runs of at most ``RUN_CHARS`` characters, or of one text."""
+    run: list[int] = []
+    held = 0
+    for k in chosen:
+        if run and held + len(texts[k]) > RUN_CHARS:
+            yield run
+            run, held = [], 0
+        run.append(k)
+        held += len(texts[k])
+    if run:
+        yield run
+
+
 def _tokenizer(tokenizer_json: str) -> WordTokenizer:
     return remembered(f"words {hash(tokenizer_json)}", lambda: WordTokenizer(tokenizer_json))
 
