@@ -1,8 +1,8 @@
 """Boilerplate lines by their frequency within a site, in DataFrame operations.
 
 A site's pages that hold a line, divided by the site's pages, is the line's ratio. Lines at or above a ratio
-are dropped from the pages of that site only. Counting moves 16-byte line digests, never texts; the text moves
-once, to meet its own list of dropped digests.
+are dropped from the pages of that site only. Counting moves 16-byte line digests, never texts; a text that may
+lose lines moves once, to meet its own list of dropped digests.
 
 Copies of one text are not evidence of boilerplate. Where groups of copies are known, ``page_col`` names the group
 of a row, and all rows of a group count as one page of their site, in the pages with a line and in all pages.
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import heavy_keys, saved, spread_join, text_of
+from .common import heavy_keys, possible, saved, spread_join, text_of
 
 
 def _digest(line: Column) -> Column:
@@ -95,12 +95,16 @@ def drop_boilerplate_lines(
     )
     # a menu line on every page of a large host is one key
     hits = spread_join(lines, often.select("key", "digest"), ["key", "digest"], heavy_keys(often, ["key", "digest"], "rows"), ["id", "text_key"])
-    drops = hits.groupBy("id", "host", "text_key").agg(F.collect_set("digest").alias("dropped"))
+    drops = saved(hits.groupBy("id", "host", "text_key").agg(F.collect_set("digest").alias("dropped")))
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     rows = docs.select(F.struct(*[docs[c] for c in own]).alias("row"))
     of = lambda c: F.col("row")[c]
     text = text_of(of(text_col))
-    joined = rows.join(drops, of(id_col).eqNullSafe(drops["id"]) & of(host_col).eqNullSafe(drops["host"]) & (F.xxhash64(text) == drops["text_key"]), "left")
+    # texts that surely lose no line stay where they are
+    marked = possible(rows.withColumn("__text_key", F.xxhash64(text)), drops.select(F.col("text_key").alias("__text_key")), ["__text_key"], drops.count())
+    joined = marked.where("possible").join(drops, of(id_col).eqNullSafe(drops["id"]) & of(host_col).eqNullSafe(drops["host"]) & (F.col("__text_key") == drops["text_key"]), "left")
+    whole = marked.where("not possible").select("row", F.lit(None).cast(drops.schema["dropped"].dataType).alias("dropped"))
+    joined = joined.select("row", "dropped").unionByName(whole)
     split = F.split(text, "\n")
     kept = F.filter(split, lambda x: ~_counted(x) | ~F.array_contains(F.col("dropped"), _digest(x)))
     n_lines = F.when(text == "", 0).otherwise(F.size(split))

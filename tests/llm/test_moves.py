@@ -48,6 +48,34 @@ def test_pages_meet_digests(spark):
     assert cut.exceptAll(lines.drop_boilerplate_lines(joined, ratio=0.2, min_pages=3, page_col="page").drop("page")).isEmpty() and cut.count() == 60
 
 
+def test_texts_that_lose_no_line_do_not_move(spark):
+    """Only texts with a dropped line meet their list; the others pass beside the join. Ids may be null or repeated."""
+    rows = [(None if k % 9 == 0 else k // 2, "s" if k % 3 else None, f"menu\nline {k}" if k % 10 == 0 else f"line {k}\n\nown {k}" if k % 4 else None) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cut = lines.drop_boilerplate_lines(docs)
+        got = sorted(map(repr, cut.collect()))
+        plan = cut._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = [(i, s, t and t.replace("menu\n", ""), t.count("\n") + 1 if t else 0, int("menu" in (t or ""))) for i, s, t in rows]
+    assert got == sorted(map(repr, spark.createDataFrame(want, cut.schema).collect()))
+    beside = plan[plan.index("Union") :]
+    assert beside.count("SortMergeJoin") == 1 and "Filter NOT" in beside
+
+
+def test_batches_of_long_texts_are_bounded(spark):
+    names = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        common.small_batches(spark)
+        assert int(spark.conf.get(names[0])) <= 4 << 20 and int(spark.conf.get(names[1])) <= 512
+    finally:
+        for n, value in zip(names, before, strict=True):
+            spark.conf.set(n, value)
+
+
 def test_rows_that_stay_do_not_move(spark):
     """Null and repeated ids as before: an id stays where one of its rows is kept."""
     text = " ".join(f"w{k}" for k in range(60))
