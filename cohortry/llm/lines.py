@@ -100,9 +100,9 @@ def drop_boilerplate_lines(
     rows = docs.select(F.struct(*[docs[c] for c in own]).alias("row"))
     of = lambda c: F.col("row")[c]
     text = text_of(of(text_col))
-    # texts that surely lose no line stay where they are
+    # texts that surely lose no line stay where they are; a merge, as lists of digests are small as files and large as rows
     marked = possible(rows.withColumn("__text_key", F.xxhash64(text)), drops.select(F.col("text_key").alias("__text_key")), ["__text_key"], drops.count())
-    joined = marked.where("possible").join(drops, of(id_col).eqNullSafe(drops["id"]) & of(host_col).eqNullSafe(drops["host"]) & (F.col("__text_key") == drops["text_key"]), "left")
+    joined = marked.where("possible").join(drops.hint("merge"), of(id_col).eqNullSafe(drops["id"]) & of(host_col).eqNullSafe(drops["host"]) & (F.col("__text_key") == drops["text_key"]), "left")
     whole = marked.where("not possible").select("row", F.lit(None).cast(drops.schema["dropped"].dataType).alias("dropped"))
     joined = joined.select("row", "dropped").unionByName(whole)
     split = F.split(text, "\n")
